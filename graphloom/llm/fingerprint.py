@@ -26,15 +26,16 @@ def sketch(text: Column, words: int = SHINGLE_WORDS, fraction: float = FRACTION,
     A text of fewer words than a shingle has one shingle, all its words; one
     without words has none.
     """
-    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    tokens = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
     def of_tokens(w: Column) -> Column:
-        named = F.transform(w, lambda x: F.xxhash64(x))
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
-        # neighbours' hashes, each turned by its place, make the shingle's
-        return F.when(F.size(w) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(
-            F.transform(starts, lambda i: F.xxhash64(F.slice(named, i, words)).bitwiseAND(F.lit(_TOP - 1)))
-        )
+        return F.transform(w, lambda x: F.xxhash64(x))
+
+    def of_words(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - words, F.lit(0)))
+        # a place past the end is null and adds nothing to the hash
+        shingles = F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(words))).bitwiseAND(F.lit(_TOP - 1)))
+        return F.when(F.size(h) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(shingles)
 
     limit = int(fraction * _TOP)
 
@@ -51,8 +52,8 @@ def sketch(text: Column, words: int = SHINGLE_WORDS, fraction: float = FRACTION,
         return F.transform(F.array(F.array_sort(F.array_distinct(F.filter(h, lambda x: x < F.lit(limit))))), by_fraction)[0]
 
     # one-element arrays bind a value once for a whole expression
-    once = F.transform(F.array(tokens), of_tokens)
-    return F.transform(once, of_hashes)[0]
+    hashed = F.transform(F.array(tokens), of_tokens)
+    return F.transform(F.transform(hashed, of_words), of_hashes)[0]
 
 
 def _common(a: Column, b: Column) -> tuple[Column, Column, Column]:
