@@ -1,6 +1,7 @@
 """Packing documents into fixed-length sequences as a cutting-stock problem.
 
-Every document's tokens are cut into full sequences and one remainder. The
+Every document's tokens are cut into full sequences and a remainder, which is
+cut once more if longer than half a sequence. The
 histogram of piece lengths, in classes of ``unit`` tokens, is a linear program
 over patterns (how many pieces of each class a sequence holds). Columns are
 generated: the duals price the classes and a knapsack dynamic program finds the
@@ -100,8 +101,10 @@ def _pieces(path: str, length: int, end_id: int):
                 row, start, size, crc = [], [], [], []
                 for i, (hi, n) in enumerate(zip(ends.tolist(), counts.tolist())):
                     own = np.append(ids[hi - n : hi], np.uint32(end_id)).astype("<u4")
-                    for at in range(0, n + 1, length):
-                        piece = own[at : at + length]
+                    full = (n + 1) // length * length
+                    cuts = list(range(0, full, length)) + list(range(full, n + 1, length // 2))
+                    for at, to in zip(cuts, [*cuts[1:], n + 1]):
+                        piece = own[at:to]
                         row.append(first + i)
                         start.append(at)
                         size.append(len(piece))

@@ -68,9 +68,9 @@ def _candidates(k: int, m: int):
                     continue
                 h = words.hashes()
                 seed, valid = _seeds(h, words.doc, k, m)
-                full, _ = windows(h, words.doc, k)
                 second, _ = windows(mix(h ^ _SECOND), words.doc, k)
                 node, _ = windows(h, words.doc, k - 1)
+                node >>= np.uint64(32)
                 begins = np.concatenate([[0], np.cumsum(words.counts)])
                 keep = np.zeros(len(valid), bool)
                 for i in range(s.rows):
@@ -81,56 +81,66 @@ def _candidates(k: int, m: int):
                 owner = words.doc[at]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(full[at].view(np.int64)),
+                        pa.array(((node[at] << np.uint64(32)) | node[at + 1]).view(np.int64)),
                         pa.array((second[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         batch.column("id").take(pa.array(owner + s.first)),
                         pa.array((at - begins[owner]).astype(np.int32)),
-                        pa.array(node[at].view(np.int64)),
-                        pa.array(node[at + 1].view(np.int64)),
                     ],
-                    ["edge", "check", "id", "pos", "head", "tail"],
+                    ["edge", "check", "id", "pos"],
                 )
 
     return candidates
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in text_slices(batch.column("text")):
+            data = s.data.tobytes()
+            digests = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(s.offsets, s.offsets[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").slice(s.first, s.rows), pa.array(digests, pa.binary()), pa.array(find_words(s).counts.astype(np.int32))], ["id", "digest", "n_words"]
+            )
+
+
 def repeated_spans(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, start, n_windows, source, source_start): spans of windows that start in an earlier document too.
 
     The span's words [start, start + n_windows + k - 1) stand in document
-    ``source`` from ``source_start`` on, and ``source`` < ``id``. A window is
-    told from others by 96 bits of two independent hashes of its words.
+    ``source`` from ``source_start`` on, and ``source`` < ``id``. An edge is
+    named by its two nodes, 32 bits each, and 32 more bits of another hash of
+    its words. A node shared by chance cuts a path in two and does no more.
+    A copy of a whole text is one span; only the first copy enters the graph.
     Several spans of one document may overlap.
     """
     kind = docs.schema[key].dataType.simpleString()
     base = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).where("id is not null and text is not null")
+    digests = materialize(base.mapInArrow(_digests, f"id {kind}, digest binary, n_words int").where(F.col("n_words") >= k))
+    firsts = materialize(digests.groupBy("digest").agg(F.min("id").alias("source")))
+    owners = materialize(digests.join(firsts, "digest").select("id", "source", "n_words"))
+    discard(digests, firsts)
+    copies = owners.where("id > source").select("id", F.lit(0).alias("start"), (F.col("n_words") - (k - 1)).alias("n_windows"), "source", F.lit(0).alias("source_start"))
     seeds = materialize(base.mapInArrow(_sample(k, seed_words), f"seed bigint, id {kind}"))
     repeated = materialize(seeds.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("seed"))
-    hits = materialize(seeds.join(repeated, "seed", "left_semi").groupBy("id").agg(F.collect_list("seed").alias("seeds")))
+    leaders = owners.where("id = source").select("id")
+    hits = materialize(seeds.join(repeated, "seed", "left_semi").groupBy("id").agg(F.collect_list("seed").alias("seeds")).join(leaders, "id", "left_semi"))
     discard(seeds, repeated)
     found = base.join(hits, "id").select("id", "text", "seeds")
-    schema = f"edge bigint, check int, id {kind}, pos int, head bigint, tail bigint"
-    occurrences = materialize(found.mapInArrow(_candidates(k, seed_words), schema))
+    occurrences = materialize(found.mapInArrow(_candidates(k, seed_words), f"edge bigint, check int, id {kind}, pos int"))
     discard(hits)
-    edges = occurrences.groupBy("edge", "check").agg(
-        F.min("id").alias("source"), F.max("id").alias("last"), F.min("head").alias("head"), F.min("tail").alias("tail")
-    )
+    edges = occurrences.groupBy("edge", "check").agg(F.min("id").alias("source"), F.max("id").alias("last"))
     edges = materialize(edges.where("source < last").drop("last"))
     # nodes at which two repeated edges begin or end: no path goes through them
-    nodes = edges.select(F.col("head").alias("node"), F.lit(1).alias("begin"), F.lit(0).alias("end")).union(
-        edges.select(F.col("tail").alias("node"), F.lit(0).alias("begin"), F.lit(1).alias("end"))
-    )
-    branching = materialize(nodes.groupBy("node").agg(F.sum("begin").alias("b"), F.sum("end").alias("e")).where("b > 1 or e > 1").select("node"))
+    head, tail = F.shiftrightunsigned("edge", 32).alias("node"), F.col("edge").bitwiseAND(F.lit((1 << 32) - 1)).alias("node")
+    ends = edges.select(head, F.lit(1).alias("begin"), F.lit(0).alias("end")).union(edges.select(tail, F.lit(0).alias("begin"), F.lit(1).alias("end")))
+    branching = materialize(ends.groupBy("node").agg(F.sum("begin").alias("b"), F.sum("end").alias("e")).where("b > 1 or e > 1").select("node"))
+    met = materialize(occurrences.join(edges, ["edge", "check"]).select("edge", "check", "id", "pos", "source"))
+    discard(occurrences, edges)
     # an edge's coordinates in its source, where it may stand more than once: the first counts
-    met = materialize(occurrences.join(edges.select("edge", "check", "source"), ["edge", "check"]).select("edge", "check", "id", "pos", "source"))
-    discard(occurrences)
-    placed = met.where("id = source").groupBy("edge", "check", "source").agg(F.min("pos").alias("at"))
-    forks = branching.select(F.col("node").alias("tail"), F.lit(True).alias("fork"))
-    placed = materialize(placed.join(edges.select("edge", "check", "tail"), ["edge", "check"]))
-    discard(edges)
-    placed = placed.join(forks, "tail", "left")
+    placed = materialize(met.where("id = source").groupBy("edge", "check", "source").agg(F.min("pos").alias("at")))
+    forks = branching.select("node", F.lit(True).alias("fork"))
+    placed = placed.withColumn("node", tail).join(forks, "node", "left")
     along = Window.partitionBy("source").orderBy("at")
-    cut = F.coalesce((F.lag("at").over(along) < F.col("at") - 1) | F.lag("fork").over(along), F.lag("at").over(along).isNull())
+    cut = F.lag("at").over(along).isNull() | (F.lag("at").over(along) < F.col("at") - 1) | F.coalesce(F.lag("fork").over(along), F.lit(False))
     paths = placed.withColumn("cut", cut.cast("int")).withColumn("path", F.sum("cut").over(along))
     paths = materialize(paths.select("edge", "check", "at", "path"))
     discard(branching)
@@ -140,11 +150,13 @@ def repeated_spans(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS, ke
         .groupBy("id", "source", "path", (F.col("pos") - F.col("at")).alias("shift"))
         .agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count(F.lit(1)).alias("n"), F.collect_list("pos").alias("all"))
     )
-    # coordinates must agree: as many windows as the span is long, else each run on its own
+    # source coordinates must agree: as many windows as the span is long, else each window on its own
     whole = F.when(F.col("n") == F.col("hi") - F.col("lo") + 1, F.array(F.struct(F.col("lo").alias("start"), F.col("n").cast("int").alias("n_windows"))))
     single = F.transform(F.array_distinct("all"), lambda p: F.struct(p.alias("start"), F.lit(1).alias("n_windows")))
-    return spans.withColumn("part", F.explode(F.coalesce(whole, single))).select(
-        "id", F.col("part.start").alias("start"), F.col("part.n_windows").alias("n_windows"), "source", (F.col("part.start") - F.col("shift")).alias("source_start")
+    return copies.union(
+        spans.withColumn("part", F.explode(F.coalesce(whole, single))).select(
+            "id", F.col("part.start").alias("start"), F.col("part.n_windows").alias("n_windows"), "source", (F.col("part.start") - F.col("shift")).alias("source_start")
+        )
     )
 
 
