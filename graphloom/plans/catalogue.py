@@ -1,6 +1,15 @@
+"""All queries of the library outside the training-data operators, with their SQL."""
+
+from __future__ import annotations
+
+from . import graph
+
+MODULES = (graph,)
+
+
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: text for m in MODULES for name, text in m.SQL.items()}
