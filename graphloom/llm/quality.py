@@ -23,6 +23,8 @@ SAMPLE_PER_CLASS = 3000
 COST = 1.0
 EPOCHS = 25
 STEEPNESS = 3.0
+#: Bytes of text whose dense indicators are held at once.
+SLICE_BYTES = 1 << 18
 
 
 def _indicators(s: Slice) -> np.ndarray:
@@ -71,7 +73,7 @@ def _indicators(s: Slice) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for s in text_slices(batch.column("text")):
+        for s in text_slices(batch.column("text"), SLICE_BYTES):
             row, at = np.nonzero(_indicators(s))
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(s.rows + 1)), pa.int32()), pa.array(at, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(s.first, s.rows), batch.column("y").slice(s.first, s.rows), lists], ["id", "y", "at"])
@@ -148,7 +150,7 @@ def train_joined(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def _score(model: QualityModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in text_slices(batch.column("text")):
+            for s in text_slices(batch.column("text"), SLICE_BYTES):
                 p = model.score(_indicators(s)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(s.first, s.rows), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
