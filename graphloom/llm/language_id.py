@@ -25,6 +25,8 @@ EXHAUSTIVE = 6
 RANDOM_BITS = 63
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
+#: Bytes of text whose dense gram counts are held at once.
+SLICE_BYTES = 1 << 18
 
 
 def _grams(s: Slice) -> np.ndarray:
@@ -55,7 +57,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: dict[str, int] = {}
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
-        for s in text_slices(batch.column("text")):
+        for s in text_slices(batch.column("text"), SLICE_BYTES):
             grams = _grams(s)
             own = langs[s.first : s.first + s.rows]
             for lang in set(own.tolist()):
@@ -136,7 +138,7 @@ def _predict(model: LanguageModel):
         names = np.array([*model.langs, UNKNOWN], object)
         for batch in batches:
             letters = batch.column("letters").fill_null(False).to_numpy(zero_copy_only=False)
-            for s in text_slices(batch.column("text")):
+            for s in text_slices(batch.column("text"), SLICE_BYTES):
                 best, score, vague = model.decode(_grams(s))
                 known = letters[s.first : s.first + s.rows]
                 best = np.where(known, best, -1)
