@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph
+from . import graph, reports, search
 
-MODULES = (graph,)
+MODULES = (graph, search, reports)
 
 
 def queries():

@@ -30,10 +30,10 @@ edges AS (
   SELECT doc_id, 'doc-' || doc_id AS title, CASE doc_id % 3 WHEN 0 THEN 'tenant_a' WHEN 1 THEN '__shared__:alpha' ELSE '__shared__:beta' END AS tenant_id,
          text, source, n_chars FROM documents)""",
     "chunks": """cut AS (
-  SELECT doc_id, text, unnest(range(0, length(text), 1300)) AS at FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, text, unnest(range(0, length(text), 1300)) AS p0 FROM documents WHERE text IS NOT NULL),
 chunks AS (
-  SELECT doc_id, (at // 1300)::INT AS chunk_index, doc_id || ':' || (at // 1300) AS chunk_id, substr(text, at + 1, 1500) AS chunk_text
-  FROM cut WHERE regexp_matches(substr(text, at + 1, 1500), '\\S'))""".replace("\\\\", "\\"),
+  SELECT doc_id, (p0 // 1300)::INT AS chunk_index, doc_id || ':' || (p0 // 1300) AS chunk_id, substr(text, p0 + 1, 1500) AS chunk_text
+  FROM cut WHERE regexp_matches(substr(text, p0 + 1, 1500), '\\S'))""".replace("\\\\", "\\"),
     "costs": """costs AS (
   SELECT event_id AS log_id, 'u' || user_id AS tenant_id, event_type AS operation_type, value AS total_cost_usd,
          json_extract_string(props, '$.k')::BIGINT AS input_tokens, ts AS created_at FROM events)""",
