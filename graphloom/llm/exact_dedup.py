@@ -112,4 +112,5 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with their columns."""
     kept = materialize(exact_duplicates(docs, key, text).where("kept").select(F.col(key).alias("_kept")).distinct())
-    return docs.join(kept, docs[key] == kept["_kept"], "left_semi")
+    # ids grow with the documents: the same join at every size
+    return docs.join(kept.hint("merge"), docs[key] == kept["_kept"], "left_semi")
