@@ -40,16 +40,16 @@ def sketch(text: Column, words: int = SHINGLE_WORDS, fraction: float = FRACTION,
     limit = int(fraction * _TOP)
 
     def of_hashes(h: Column) -> Column:
-        few = F.array_sort(F.array_distinct(h))
+        def by_few(few: Column) -> Column:
+            return F.when(F.size(few) <= least, F.struct(F.lit(_TOP - 1).cast("bigint").alias("bound"), few.alias("hashes"))).otherwise(
+                F.struct((few[least - 1] + 1).alias("bound"), F.slice(few, 1, least).alias("hashes"))
+            )
 
         def by_fraction(below: Column) -> Column:
-            return (
-                F.when(F.size(below) >= least, F.struct(F.lit(limit).cast("bigint").alias("bound"), below.alias("hashes")))
-                .when(F.size(few) <= least, F.struct(F.lit(_TOP - 1).cast("bigint").alias("bound"), few.alias("hashes")))
-                .otherwise(F.struct((few[least - 1] + 1).alias("bound"), F.slice(few, 1, least).alias("hashes")))
-            )
+            enough = F.struct(F.lit(limit).cast("bigint").alias("bound"), below.alias("hashes"))
+            return F.when(F.size(below) >= least, enough).otherwise(F.transform(F.array(F.sort_array(F.array_distinct(h))), by_few)[0])
 
-        return F.transform(F.array(F.array_sort(F.array_distinct(F.filter(h, lambda x: x < F.lit(limit))))), by_fraction)[0]
+        return F.transform(F.array(F.sort_array(F.array_distinct(F.filter(h, lambda x: x < F.lit(limit))))), by_fraction)[0]
 
     # one-element arrays bind a value once for a whole expression
     hashed = F.transform(F.array(tokens), of_tokens)
@@ -77,7 +77,7 @@ def containment(a: Column, b: Column) -> Column:
 def merge(a: Column, b: Column) -> Column:
     """The sketch of the union of two sketched sets."""
     bound = F.least(a["bound"], b["bound"])
-    return F.struct(bound.alias("bound"), F.array_sort(F.filter(F.array_union(a["hashes"], b["hashes"]), lambda h: h < bound)).alias("hashes"))
+    return F.struct(bound.alias("bound"), F.sort_array(F.filter(F.array_union(a["hashes"], b["hashes"]), lambda h: h < bound)).alias("hashes"))
 
 
 def as_text(s: Column) -> Column:
