@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph, reports, search
+from . import graph, ingest, reports, search
 
-MODULES = (graph, search, reports)
+MODULES = (graph, search, reports, ingest)
 
 
 def queries():
