@@ -31,9 +31,27 @@ MAX_COLUMNS = 4000
 CACHE_WORDS = 400_000
 ROWS_PER_SALT = 20_000
 
+#: UTF-8 bytes of the Unicode blanks beyond ASCII.
+_TWO_BYTE_BLANKS = ((0xC2, 0x85), (0xC2, 0xA0))
+_THREE_BYTE_BLANKS = (
+    (0xE1, 0x9A, 0x80), *((0xE2, 0x80, b) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80),
+)
+
 _tokenizers: dict = {}
 
 
+def _after_wide_blank(d: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a Unicode blank beyond ASCII ends before each position of valid UTF-8 bytes."""
+    out = np.zeros(len(at), bool)
+    wide = np.flatnonzero(d[at - 1] >= 0x80)
+    a, b, c = (d[at[wide] - n] for n in (3, 2, 1))
+    for y, z in _TWO_BYTE_BLANKS:
+        out[wide] |= (b == y) & (c == z)
+    for x, y, z in _THREE_BYTE_BLANKS:
+        out[wide] |= (a == x) & (b == y) & (c == z)
+    return out
+
+
 def _tokenizer(path: str):
     """The tokenizer of a file and its word cache, once for each Python worker."""
     if path not in _tokenizers:
@@ -51,7 +69,8 @@ def token_ids(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np
 
     The byte-level pre-tokenizer never joins what stands before a space that
     follows a non-space with what stands after, so each such word is encoded on
-    its own, once for each slice and mostly once for each worker.
+    its own, once for each slice and mostly once for each worker. Its spaces are
+    Unicode's: a run of blanks is never cut.
     """
     tokenizer, cache = _tokenizer(path)
     for s in text_slices(column, 1 << 22):
@@ -59,6 +78,8 @@ def token_ids(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np
         blank = (d == 32) | ((d >= 9) & (d <= 13))
         cut = np.zeros(len(d) + 1, bool)
         cut[1:-1] = (d[1:] == 32) & ~blank[:-1]
+        spaces = np.flatnonzero(cut)
+        cut[spaces[_after_wide_blank(d, spaces)]] = False
         filled = s.offsets[:-1][np.diff(s.offsets) > 0]
         cut[filled] = True
         cut[len(d)] = False

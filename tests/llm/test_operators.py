@@ -143,6 +143,14 @@ def test_packing_special_token_and_spaces(spark):
     check_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path)
 
 
+def test_packing_runs_of_unicode_blanks(spark):
+    path = queries.tokenizer_path()
+    blanks = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    texts = ["a \u00a0 \u00a0 b", "a \u00a0 \u00a0", "a\u00a0 \u00a0 \u00a0 b", "é \u00e0 \u2014 b"]
+    texts += [f"{a}{b}{a} {b} {a} b {b} {b}" for a in map(chr, blanks) for b in map(chr, blanks)]
+    check_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path)
+
+
 def test_patterns_cover_demand():
     rng = np.random.default_rng(1)
     demand = {int(c): int(n) for c, n in zip(range(1, 33), rng.integers(0, 400, 32)) if n}
