@@ -204,6 +204,23 @@ def test_mixing(docs, odd, empty):
     assert mixed.columns == docs.columns and mixed.count() > 0
 
 
+def test_mixing_spreads_repeats_over_training(spark):
+    rows = [(i, "w " * 9 + "w", "a" if i < 10 else "b") for i in range(210)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    even = {"weights": (1, 1), "tilts": (0.0,)}
+    got = mixing.mix(df, **even).where("source_size = 100").collect()
+    assert len(got) == 10 and all(r.target == 300 and r.taken == 30 for r in got)
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.first_due)]
+    mixed = [r.doc_id for r in mixing.mixed_documents(df, **even).collect()]
+    assert [i for i in mixed if i < 10] == order * 3
+    # 'a' is 300 of 2100 words and its weight is level, so each of its documents has six of 'b' before the next
+    at = np.array([k for k, i in enumerate(mixed) if i < 10])
+    assert len(mixed) == 210 and np.abs(at - 7 * np.arange(30)).max() <= 1
+    due = {r.doc_id: [m.due for m in r.meetings] for r in mixing.meetings(df, **even).collect()}
+    for k, i in enumerate(order):
+        assert due[i] == pytest.approx([(k + 10 * r) / 30 for r in range(3)])
+
+
 def test_due_time_inverts_the_integral(spark):
     df = spark.createDataFrame([(t / 10, tilt) for t in range(11) for tilt in (-0.5, 0.0, 0.5)], "t double, tilt double")
     share = (1 - F.col("tilt")) * F.col("t") + F.col("tilt") * F.col("t") * F.col("t")
