@@ -130,8 +130,10 @@ def keyword_search(spark, sf):
     return retrieval.keyword_ranks(_questions(spark, sf), chunks(spark, sf))
 
 
-def _chunk_vector():
-    return ((F.col("doc_id") * 31 + F.col("chunk_index")) % 500).alias("vec_id")
+def _with_vector(spark, sf, df, number):
+    """Rows with the ``vec_id`` of their number, modulo the count of all vectors: one broadcast row."""
+    every = _vectors(spark, sf).agg(F.count(F.lit(1)).alias("n_vectors"))
+    return df.crossJoin(F.broadcast(every)).withColumn("vec_id", F.try_mod(number, F.col("n_vectors"))).drop("n_vectors")
 
 
 def hybrid_search(spark, sf):
@@ -139,10 +141,12 @@ def hybrid_search(spark, sf):
 
     c, q = chunks(spark, sf), _questions(spark, sf)
     kw = retrieval.keyword_ranks(q, c)
-    asked = q.withColumn("vec_id", F.col("conv_id") % 500).join(_vectors(spark, sf).select("vec_id", F.col("embedding").alias("query")), "vec_id").select("query_id", "query")
-    near = vectors.nearest(asked, _vectors(spark, sf).where("vec_id < 500").select("vec_id", "embedding"), 20)
+    v = _vectors(spark, sf).select("vec_id", "embedding")
+    asked = _with_vector(spark, sf, q, F.col("conv_id")).join(v.withColumnRenamed("embedding", "query"), "vec_id").select("query_id", "query")
+    near = vectors.nearest(asked, v, 20)
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    vec = near.drop("rank").join(c.select("chunk_id", _chunk_vector()), "vec_id").withColumn("rank", F.row_number().over(order)).where("rank <= 20")
+    held = _with_vector(spark, sf, c, F.col("doc_id") * 31 + F.col("chunk_index")).select("chunk_id", "vec_id")
+    vec = near.drop("rank").join(held, "vec_id").withColumn("rank", F.row_number().over(order)).where("rank <= 20")
     n = retrieval.mentions(c, _names(spark, sf)).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
     hot = Window.partitionBy("query_id").orderBy(F.desc("n"), "chunk_id")
     linked = kw.select("query_id", "chunk_id").join(n, "chunk_id").withColumn("rank", F.row_number().over(hot))

@@ -19,3 +19,13 @@ def test_query(spark, sf_dir, name):
         assert difference(df, SQL[name], sf_dir) == ""
     else:
         assert df.count() > 0
+
+
+def test_hybrid_search_ranks_every_vector(spark, sf_dir, tmp_path):
+    """Vectors past the first 500 are candidates: over the table of 2000 the registered SQL without its cut agrees."""
+    for f in Path(sf_dir).iterdir():
+        (tmp_path / f.name).symlink_to(f)
+    (tmp_path / "embeddings.parquet").unlink()
+    (tmp_path / "embeddings.parquet").symlink_to("/root/testdata/sf0.1/embeddings.parquet")
+    whole = SQL["hybrid_search"].replace(" WHERE vec_id < 500", "").replace("% 500", "% (SELECT count(*) FROM embeddings)")
+    assert difference(QUERIES["hybrid_search"](spark, str(tmp_path)), whole, str(tmp_path)) == ""
