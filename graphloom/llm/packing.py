@@ -14,6 +14,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .words import text_slices
+from .words import Slice, text_slices
 
 SEQUENCE = 2048
 UNIT = 4
 END_ID = 1
 MAX_COLUMNS = 4000
+#: The word store turns when it holds more words than this; a word takes about 200 bytes.
 CACHE_WORDS = 400_000
+#: Words encoded by one call.
+LIST_WORDS = 2000
 ROWS_PER_SALT = 20_000
 
 #: UTF-8 bytes of the Unicode blanks beyond ASCII.
@@ -37,7 +42,13 @@ _THREE_BYTE_BLANKS = (
     (0xE1, 0x9A, 0x80), *((0xE2, 0x80, b) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80),
 )
 
-_tokenizers: dict = {}
+_BLANK, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
+#: Kinds of bytes; 0 is anything that isn't surely of one of them.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127] = _MARK
+_KINDS[48:58] = _DIGIT
+_KINDS[65:91] = _KINDS[97:123] = _LETTER
+_KINDS[9:14] = _KINDS[32] = _BLANK
 
 
 def _after_wide_blank(d: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -52,87 +63,157 @@ def _after_wide_blank(d: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tokenizer(path: str):
-    """The tokenizer of a file and its word cache, once for each Python worker."""
-    if path not in _tokenizers:
+class _Store:
+    """Token ids of words, one after the other, and each word's place among them."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        n = len(self.place)
+        upto = self.ends[n - 1] if n else 0
+        while upto + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(words) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[upto : upto + len(ids)] = ids
+        self.ends[n : n + len(words)] = upto + np.cumsum(sizes)
+        self.place.update(zip(words, range(n, n + len(words))))
+        return np.arange(n, n + len(words))
+
+    def find(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at ``places``, and how many each has."""
+        ends = self.ends[places]
+        sizes = ends - np.where(places > 0, self.ends[places - 1], 0)
+        total = np.cumsum(sizes)
+        n = int(total[-1]) if len(total) else 0
+        return self.ids[np.repeat(ends - total, sizes) + np.arange(n)], sizes
+
+
+class WordEncoder:
+    """A byte-level BPE tokenizer that encodes each word once while it is in use.
+
+    Words met since the last turn of the store are in ``young``; at a turn it
+    becomes ``old``, and a word met again moves back, so that frequent words stay.
+    """
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(names.values()) + 1, np.int64)  # bytes of text that each id stands for
+        for name, i in names.items():
+            self.width[i] = len(name)
+        for name in self.special:
+            self.width[self.tokenizer.token_to_id(name)] = len(name.encode())
+        self.young, self.old = _Store(), _Store()
 
+    def __call__(self, words: list[str], widths: np.ndarray) -> tuple[_Store, np.ndarray]:
+        """A store, and the places in it of all ``words``, whose lengths in bytes are ``widths``."""
+        if len(self.young.place) > CACHE_WORDS:
+            self.young, self.old = _Store(), self.young
+        places = self.young.find(words)
+        missing = np.flatnonzero(places < 0)
+        before = self.old.find([words[i] for i in missing.tolist()])
+        again = missing[before >= 0]
+        places[again] = self.young.add([words[i] for i in again.tolist()], *self.old.take(before[before >= 0]))
+        new = missing[before < 0]
+        for lo in range(0, len(new), LIST_WORDS):
+            at = new[lo : lo + LIST_WORDS]
+            some = [words[i] for i in at.tolist()]
+            # a list of words is encoded word by word into one row of ids; the ids' widths tell where each word ends
+            ids = np.array(self.tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            upto = np.cumsum(self.width[ids])
+            ends = np.searchsorted(upto, np.cumsum(widths[at])) + 1
+            if not np.array_equal(upto[ends - 1], np.cumsum(widths[at])):
+                raise ValueError("not a byte-level tokenizer: its tokens don't cover the text")
+            places[at] = self.young.add(some, ids, np.diff(ends, prepend=0))
+        return self.young, places
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """The encoder of a file, once for each Python worker."""
+    return WordEncoder(path)
 
-def token_ids(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For slices of texts: first row, all token ids, and each row's number of ids.
 
-    The byte-level pre-tokenizer never joins what stands before a space that
-    follows a non-space with what stands after, so each such word is encoded on
-    its own, once for each slice and mostly once for each worker. Its spaces are
-    Unicode's: a run of blanks is never cut.
+def _word_starts(s: Slice, special: list[str]) -> np.ndarray:
+    """Where the pre-tokenizer surely begins anew, whatever stands around.
+
+    That is before a space after anything but a blank (its blanks are Unicode's:
+    a run of them is never cut), and between an ASCII letter, digit or mark and
+    one of another of these kinds, unless the first is an apostrophe. A special
+    token's own name is never cut.
     """
-    tokenizer, cache = _tokenizer(path)
+    d = s.data
+    kind = _KINDS[d]
+    cut = np.zeros(len(d) + 1, bool)
+    cut[1:-1] = (d[1:] == 32) & (kind[:-1] != _BLANK)
+    spaces = np.flatnonzero(cut)
+    cut[spaces[_after_wide_blank(d, spaces)]] = False
+    cut[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > _BLANK) & (kind[:-1] > _BLANK) & (d[:-1] != 39)
+    whole = d.tobytes()
+    for name in special:
+        at, name = -1, name.encode()
+        while (at := whole.find(name, at + 1)) >= 0:
+            cut[at + 1 : at + len(name)] = False
+    cut[s.offsets[:-1][s.lengths() > 0]] = True
+    cut[len(d)] = False
+    return np.flatnonzero(cut)
+
+
+def token_ids(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For slices of texts: first row, all token ids, and each row's number of ids."""
+    encoder = _encoder(path)
     for s in text_slices(column, 1 << 22):
-        d = s.data
-        blank = (d == 32) | ((d >= 9) & (d <= 13))
-        cut = np.zeros(len(d) + 1, bool)
-        cut[1:-1] = (d[1:] == 32) & ~blank[:-1]
-        spaces = np.flatnonzero(cut)
-        cut[spaces[_after_wide_blank(d, spaces)]] = False
-        filled = s.offsets[:-1][np.diff(s.offsets) > 0]
-        cut[filled] = True
-        cut[len(d)] = False
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(d))
-        parts = np.bincount(np.searchsorted(s.offsets, starts, "right") - 1, minlength=s.rows) if len(starts) else np.zeros(s.rows, np.int64)
+        starts = _word_starts(s, encoder.special)
         if not len(starts):
             yield s.first, np.zeros(0, np.uint32), np.zeros(s.rows, np.int64)
             continue
-        words = pa.Array.from_buffers(
-            pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, ends[-1]).astype(np.int64).tobytes()), pa.py_buffer(d.tobytes())]
-        ).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        new = [w for w in names if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = names
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, np.uint32)
-        found = [cache[w] for w in names]
-        size = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate(found)
-        first = np.cumsum(size) - size
-        code = words.indices.to_numpy()
-        n = size[code]
-        total = np.cumsum(n)
-        ids = flat[np.repeat(first[code] - (total - n), n) + np.arange(total[-1])]
-        bounds = np.concatenate([[0], np.cumsum(parts)])
-        upto = np.concatenate([[0], total])[bounds]
-        yield s.first, ids, np.diff(upto)
+        bounds = np.append(starts, len(s.data))
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(s.data)]).dictionary_encode()
+        names = words.dictionary
+        store, places = encoder(names.to_pylist(), pc.binary_length(names).to_numpy())
+        ids, sizes = store.take(places[words.indices.to_numpy()])
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        yield s.first, ids, np.diff(upto[np.searchsorted(starts, s.offsets)])
+
+
+def cut_pieces(counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and length of all pieces of documents of ``counts`` ids: full sequences, then at most two halves."""
+    full, rest = counts // length, counts % length
+    halves = -(-rest // (length // 2))
+    n = full + halves
+    row = np.repeat(np.arange(len(counts)), n)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.where(nth < full[row], nth * length, full[row] * length + (nth - full[row]) * (length // 2))
+    last = np.ones(len(row), bool)
+    last[:-1] = row[1:] != row[:-1]
+    end = np.where(last, counts[row], np.append(start[1:], 0))
+    return row, start, end - start
 
 
 def _pieces(path: str, length: int, end_id: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, ids, counts in token_ids(batch.column("text"), path):
-                ends = np.cumsum(counts)
-                row, start, size, crc = [], [], [], []
-                for i, (hi, n) in enumerate(zip(ends.tolist(), counts.tolist())):
-                    own = np.append(ids[hi - n : hi], np.uint32(end_id)).astype("<u4")
-                    full = (n + 1) // length * length
-                    cuts = list(range(0, full, length)) + list(range(full, n + 1, length // 2))
-                    for at, to in zip(cuts, [*cuts[1:], n + 1]):
-                        piece = own[at:to]
-                        row.append(first + i)
-                        start.append(at)
-                        size.append(len(piece))
-                        crc.append(zlib.crc32(piece.tobytes()))
-                row = np.array(row, np.int64)
+                own = np.insert(ids, np.cumsum(counts), end_id).astype("<u4", copy=False)
+                counts = counts + 1
+                row, start, size = cut_pieces(counts, length)
+                ends = np.cumsum(size)
+                view = memoryview(own).cast("B")
+                crc = [zlib.crc32(view[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(row)), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(counts[row - first] + 1, pa.int64())],
+                    [batch.column("id").take(pa.array(first + row)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(counts[row])],
                     ["id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,32 @@ def test_packing_runs_of_unicode_blanks(spark):
     check_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path)
 
 
+def test_token_ids_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    parts = list("aZ09'' .,!<|>\n\t _-éß中\u00a0\u3000\u0301²Ⅷ\x00\x1c\x7f😀") + ["'s", "'re", "'ll", "<|endoftext|>", "12", " a"]
+    rng = np.random.default_rng(3)
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 30, 20_000)]
+    got = []
+    for _, ids, counts in packing.token_ids(pa.array(texts), path):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_word_store_turns_and_keeps_words_in_use(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    encoder = packing.WordEncoder(queries.tokenizer_path())
+    for k in range(10):
+        words = ["the", " of", *(f" w{i}" for i in range(20 * k, 20 * k + 20))]
+        store, places = encoder(words, np.array([len(w) for w in words]))
+        ids, sizes = store.take(places)
+        want = [encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+        assert len(encoder.young.place) <= 50 + 22
+
+
 def test_patterns_cover_demand():
     rng = np.random.default_rng(1)
     demand = {int(c): int(n) for c, n in zip(range(1, 33), rng.integers(0, 400, 32)) if n}
