@@ -4,13 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder is set if driver and executors are one
+    process; on a cluster each machine would write to a folder of its own and
+    rows would be lost, so that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder that spark.checkpoint.dir names; where it is unset (tests), a temporary one."""
+    """Checkpoint ``df`` in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
