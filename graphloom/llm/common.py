@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
+_scopes: list[list[DataFrame]] = []
 
-    Where it is unset (a test on one machine) a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+
+@contextmanager
+def owned_tables() -> Iterator[None]:
+    """Tables written inside are deleted at the end; results that read them must be written or collected before."""
+    mine: list[DataFrame] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        discard(*mine)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -39,6 +45,8 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
