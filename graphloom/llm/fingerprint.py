@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches, in DataFrame functions only.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range.
-Sketches of parts merge to the sketch of the whole, and containment and
-similarity of very unequal documents can be estimated from them. Where fewer
-than ``least`` hashes lie below the fraction, the ``least`` smallest are kept.
+A sketch keeps every shingle hash below a fixed fraction of the hash range, the
+same for texts of any length. Sketches of parts merge to the sketch of the
+whole, and containment and similarity of very unequal documents can be
+estimated from them. A sketch also counts its text's shingles: where none lies
+below the fraction, that tells a short text from an empty one.
 """
 
 from __future__ import annotations
@@ -11,22 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_count
 
 SHINGLE_WORDS = 5
-FRACTION = 1 / 16
-LEAST = 32
+FRACTION = 1 / 4
 _TOP = 1 << 63
-BUCKET_BITS = 8
+#: Documents of a range whose next documents one task finds, about, and the most ranges there are.
+RANGE_ROWS, MAX_RANGES = 256, 20_000
 
 
-def sketch(text: Column, words: int = SHINGLE_WORDS, fraction: float = FRACTION, least: int = LEAST) -> Column:
-    """struct(bound, hashes): the sorted kept hashes, and the bound below which all hashes of the text are kept.
+def sketch(text: Column, words: int = SHINGLE_WORDS, fraction: float = FRACTION) -> Column:
+    """struct(shingles, hashes): how many shingles the text has, and its sorted distinct hashes below the fraction.
 
     A text of fewer words than a shingle has one shingle, all its words; one
     without words has none.
     """
     tokens = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    limit = F.lit(int(fraction * _TOP))
 
     def of_tokens(w: Column) -> Column:
         return F.transform(w, lambda x: F.xxhash64(x))
@@ -37,47 +39,34 @@ def sketch(text: Column, words: int = SHINGLE_WORDS, fraction: float = FRACTION,
         shingles = F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(words))).bitwiseAND(F.lit(_TOP - 1)))
         return F.when(F.size(h) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(shingles)
 
-    limit = int(fraction * _TOP)
-
     def of_hashes(h: Column) -> Column:
-        def by_few(few: Column) -> Column:
-            return F.when(F.size(few) <= least, F.struct(F.lit(_TOP - 1).cast("bigint").alias("bound"), few.alias("hashes"))).otherwise(
-                F.struct((few[least - 1] + 1).alias("bound"), F.slice(few, 1, least).alias("hashes"))
-            )
-
-        def by_fraction(below: Column) -> Column:
-            enough = F.struct(F.lit(limit).cast("bigint").alias("bound"), below.alias("hashes"))
-            return F.when(F.size(below) >= least, enough).otherwise(F.transform(F.array(F.sort_array(F.array_distinct(h))), by_few)[0])
-
-        return F.transform(F.array(F.sort_array(F.array_distinct(F.filter(h, lambda x: x < F.lit(limit))))), by_fraction)[0]
+        return F.struct(F.size(h).alias("shingles"), F.sort_array(F.array_distinct(F.filter(h, lambda x: x < limit))).alias("hashes"))
 
     # one-element arrays bind a value once for a whole expression
     hashed = F.transform(F.array(tokens), of_tokens)
     return F.transform(F.transform(hashed, of_words), of_hashes)[0]
 
 
-def _common(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    bound = F.least(a["bound"], b["bound"])
-    x, y = F.filter(a["hashes"], lambda h: h < bound), F.filter(b["hashes"], lambda h: h < bound)
-    return x, y, F.size(F.array_intersect(x, y))
+def _estimate(a: Column, b: Column, all_of: Column) -> Column:
+    """The share of hashes in both sketches among ``all_of``; without any of those, 1 if both texts are empty, else 0."""
+    both = F.size(F.array_intersect(a["hashes"], b["hashes"]))
+    neither = F.when((a["shingles"] == 0) & (b["shingles"] == 0), 1.0).otherwise(0.0)
+    return F.coalesce(F.try_divide(both, all_of), neither).cast("double")
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches; 1 for two empty ones, 0 for one."""
-    x, y, both = _common(a, b)
-    return F.when((F.size(a["hashes"]) == 0) & (F.size(b["hashes"]) == 0), 1.0).otherwise(F.coalesce(F.try_divide(both, F.size(x) + F.size(y) - both), F.lit(0.0)).cast("double"))
+    """Estimated Jaccard similarity of two sketches; where neither holds a hash, 1 for two texts without words, else 0."""
+    return _estimate(a, b, F.size(F.array_union(a["hashes"], b["hashes"])))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first sketch's shingles that the second has too."""
-    x, _, both = _common(a, b)
-    return F.when(F.size(a["hashes"]) == 0, 1.0).otherwise(F.coalesce(F.try_divide(both, F.size(x)), F.lit(0.0)).cast("double"))
+    """Estimated share of the first sketch's shingles that the second has too; all, for a text without words."""
+    return F.when(a["shingles"] == 0, 1.0).otherwise(_estimate(a, b, F.size(a["hashes"])))
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of the union of two sketched sets."""
-    bound = F.least(a["bound"], b["bound"])
-    return F.struct(bound.alias("bound"), F.sort_array(F.filter(F.array_union(a["hashes"], b["hashes"]), lambda h: h < bound)).alias("hashes"))
+    """The sketch of the union of two sketched sets; ``shingles`` then counts repeats."""
+    return F.struct((a["shingles"] + b["shingles"]).alias("shingles"), F.sort_array(F.array_union(a["hashes"], b["hashes"])).alias("hashes"))
 
 
 def as_text(s: Column) -> Column:
@@ -85,45 +74,62 @@ def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s["hashes"], lambda h: F.lower(F.hex(h))), ",")
 
 
-def _next_range(heads: DataFrame) -> DataFrame:
-    """(range, n_range): the next range that has rows; after the last comes the first.
+def _place(key: Column, kind: str) -> Column:
+    """A whole number that orders as the key does, but for ties: the key, or the first bytes of its text."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return key.cast("bigint")
+    return F.conv(F.rpad(F.hex(F.substring(key.cast("string").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
 
-    Ranges of ranges find it, so that no task sees more than one in 2**16 ids of all.
-    """
-    ranges = heads.select("range").withColumn("wide", F.shiftright("range", BUCKET_BITS))
-    ranges = ranges.withColumn("n_range", F.lead("range").over(Window.partitionBy("wide").orderBy("range")))
-    wides = ranges.groupBy("wide").agg(F.min("range").alias("first"))
-    wides = wides.withColumn("n_first", F.coalesce(F.lead("first").over(Window.orderBy("wide")), F.min("first").over(Window.partitionBy())))
-    return materialize(ranges.join(wides, "wide").select("range", F.coalesce("n_range", "n_first").alias("n_range")))
+
+def _range(place: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are at or below the place: a binary search in one constant array."""
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    fits = lambda at, step: F.coalesce(F.get(table, at + step - 1) <= place, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, fraction: float = FRACTION, least: int = LEAST) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, fraction: float = FRACTION) -> DataFrame:
     """Per document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text ends in as much of the next document's start as a quarter
-    of its characters, in place of its own. A null text is empty. Rows repeated
-    with their key stand next to each other, by text. Rows without a key stand
-    in no order and are left out. A single document is its own next one. An
-    empty table gives an empty result; other columns are ignored.
+    of its characters, in place of its own. A null text is empty. Rows without a
+    key come last in order. Rows of one key stand next to each other, by text,
+    in one range. A single document is its own next one. The key is a whole
+    number, or a string in the order of its bytes. An empty table gives an empty
+    result; other columns are ignored. Documents are dealt out in ranges of the
+    order, cut at quantiles of the keys, at most ``MAX_RANGES`` however many
+    documents there are.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    rows = rows.withColumn("sketch", sketch(F.col("text"), words, fraction, least))
-    options = (words, fraction, least)
-    rows = rows.withColumn("range", F.shiftright("id", BUCKET_BITS))
-    own = Window.partitionBy("range").orderBy("id", "text")
-    ahead = {"nth": F.row_number().over(own), "n_id": F.lead("id").over(own), "n_text": F.lead("text").over(own), "n_sketch": F.lead("sketch").over(own)}
-    rows = _against_next(rows.withColumns(ahead), options)
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    place = _place(F.col("id"), kind)
+    n = row_count(rows.select("id"))
+    ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
+    cuts = [i / ranges for i in range(1, ranges)]
+    found = rows.agg(F.percentile_approx(place, cuts, 10 * MAX_RANGES)).first()[0] if cuts else None
+    bounds = sorted(set(found or []))
+    # rows without a key: ranges of their own after the others, by a hash of their texts
+    after = F.lit(len(bounds) + 1) + F.pmod(F.xxhash64("text"), F.lit(ranges)).cast("int")
+    rows = rows.withColumn("range", F.when(place.isNull(), after).otherwise(_range(place, bounds))).withColumn("sketch", sketch(F.col("text"), words, fraction))
+    options = (words, fraction)
+    own = Window.partitionBy("range").orderBy(F.asc_nulls_last("id"), "text")
+    ahead = {"nth": F.row_number().over(own), "n_text": F.lead("text").over(own), "n_sketch": F.lead("sketch").over(own)}
+    rows = rows.withColumns(ahead).withColumn("last", F.col("n_text").isNull())
+    rows = _against_next(rows, options)
     # only the first and last rows of a range keep their text for the meeting across ranges
-    edge = (F.col("nth") == 1) | F.col("n_id").isNull()
+    edge = (F.col("nth") == 1) | F.col("last")
     rows = materialize(rows.withColumns({"text": F.when(edge, F.col("text")), "sketch": F.when(edge, F.col("sketch"))}).drop("n_text", "n_sketch"))
-    heads = materialize(rows.where("nth = 1").select("range", F.col("text").alias("n_text"), F.col("sketch").alias("n_sketch")))
-    ring = _next_range(heads)
-    heads = heads.withColumnRenamed("range", "n_range").join(ring, "n_range").select("range", "n_text", "n_sketch")
-    ends = _against_next(rows.where("n_id is null").select("id", "text", "sketch", "range").join(heads, "range"), options)
+    # one row a range: which range comes next, round to the first
+    ring = rows.where("nth = 1").select("range")
+    ring = ring.withColumn("n_range", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.partitionBy())))
+    heads = rows.where("nth = 1").select(F.col("range").alias("n_range"), F.col("text").alias("n_text"), F.col("sketch").alias("n_sketch"))
+    heads = materialize(heads.join(ring, "n_range").select("range", "n_text", "n_sketch"))
+    ends = _against_next(rows.where("last").select("id", "text", "sketch", "range").join(heads, "range"), options)
     out = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    result = rows.where("n_id is not null").select(out).union(ends.select(out))
-    return result.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)
+    return rows.where("NOT last").select(out).union(ends.select(out)).withColumnRenamed("id", key)
 
 
 def _against_next(rows: DataFrame, options: tuple) -> DataFrame:
@@ -137,7 +143,8 @@ def _against_next(rows: DataFrame, options: tuple) -> DataFrame:
             "edited_sha256": F.sha2("edited", 256),
             "fingerprint": as_text(F.col("sketch")),
             "edited_fingerprint": as_text(F.col("edited_sketch")),
-            "near_edited": similarity(F.col("sketch"), F.col("edited_sketch")),
-            "near_next": similarity(F.col("sketch"), F.col("n_sketch")),
+            # equal texts are alike even where no hash of theirs is kept
+            "near_edited": F.when(F.col("text") == F.col("edited"), 1.0).otherwise(similarity(F.col("sketch"), F.col("edited_sketch"))),
+            "near_next": F.when(F.col("text") == F.col("n_text"), 1.0).otherwise(similarity(F.col("sketch"), F.col("n_sketch"))),
         }
     ).drop("edited", "edited_sketch")
