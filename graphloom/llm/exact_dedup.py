@@ -86,31 +86,37 @@ def block_identities(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     return out
 
 
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row_key, id, text, text_sha256): a row's own key is its id and its text's digest, so that an id may stand on several texts."""
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("text_sha256", F.sha2("text", 256))
+    name = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")).cast("binary")
+    return rows.withColumn("row_key", F.concat(F.unhex("text_sha256"), name))
+
+
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: key, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """One row per row: key, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Of equal texts (null counts as empty, nothing else is normalised) the one
-    with the largest key stays. The key names a document: rows repeated with
-    their key and text are one document and give as many equal output rows;
-    they count once each in ``group_size``. A row without a key can't be named
-    and is left out. An empty table gives an empty result; other columns are
-    ignored. The group's size and keeper are partial aggregates, and the join
-    back to the members can be split, so that a hot text is no hot task.
+    with the largest key stays. ``group_size`` counts rows. Rows repeated with
+    key and text all stay or all go. Rows without a key count too and go if a
+    row of their text has a key; else nothing tells them apart and all stay,
+    with a null ``keep_id``. An empty table gives an empty result; other columns
+    are ignored. The group's size and keeper are partial aggregates, and the
+    join back to the members can be split, so that a hot text is no hot task.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.col(key).alias("row_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("row_key is not null")
-    shas = docs.select("row_key", F.sha2("text", 256).alias("text_sha256"))
+    docs = _keyed(docs, key, text)
     named = materialize(block_identities(docs, "row_key", "text", block_bytes).distinct())
-    rows = shas.join(named, "row_key")
-    rows = materialize(rows)
-    groups = materialize(rows.groupBy("n", "name").agg(F.max("row_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    return rows.join(groups, ["n", "name"]).select(
-        F.col("row_key").cast(kind).alias(key), "keep_id", "group_size", (F.col("row_key") == F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    rows = materialize(docs.select("row_key", "id", "text_sha256").join(named, "row_key").drop("row_key"))
+    discard(named)
+    groups = materialize(rows.groupBy("n", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    kept = F.col("id").eqNullSafe(F.col("keep_id"))
+    return rows.join(groups, ["n", "name"]).select(F.col("id").alias(key), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with their columns."""
-    kept = materialize(exact_duplicates(docs, key, text).where("kept").select(F.col(key).alias("_kept")).distinct())
+    """The rows that stay, with their columns."""
+    kept = exact_duplicates(docs, key, text).where("kept").select(F.col(key).alias("_kept"), F.col("text_sha256").alias("_sha256")).distinct()
     # ids grow with the documents: the same join at every size
-    return docs.join(kept.hint("merge"), docs[key] == kept["_kept"], "left_semi")
+    kept = materialize(kept).hint("merge")
+    own = F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256)
+    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]) & (own == kept["_sha256"]), "left_semi")
