@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 21
+SLICE_ROWS = 10_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -75,8 +76,8 @@ class Words:
         return mix(h + (self.ends - self.starts).astype(np.uint64) * _STEP)
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The texts of an Arrow column (null: empty) in slices of about ``limit`` bytes."""
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Slice]:
+    """The texts of an Arrow column (null: empty) in slices of about ``limit`` bytes and at most ``rows`` rows."""
     column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
     if not n:
@@ -86,7 +87,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
         yield Slice(lo, hi - lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 
