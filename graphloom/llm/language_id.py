@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
 from .words import Slice, text_slices
 
 BIGRAMS, TRIGRAMS = 2048, 8192
@@ -25,29 +26,38 @@ EXHAUSTIVE = 6
 RANDOM_BITS = 63
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
-#: Bytes of text whose dense gram counts are held at once.
-SLICE_BYTES = 1 << 18
+#: Bytes and rows of text whose dense gram counts are held at once.
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 256
+#: More learned languages than this mean that the labels are no languages.
+MAX_LANGUAGES = 1000
 
 
 def _grams(s: Slice) -> np.ndarray:
-    """Relative frequencies of the hashed n-grams of each row's letters."""
+    """Relative frequencies of the hashed n-grams of each row's letters.
+
+    Grams are counted for ``SLICE_BYTES`` places at a time, however long a text is.
+    """
     d = s.data
     letter = ((d >= 97) & (d <= 122)) | (d >= 128)
-    x = np.where(letter, d, 32).astype(np.uint32)
-    doc = np.repeat(np.arange(s.rows, dtype=np.int64), s.lengths())
     out = np.zeros((s.rows, DIM), np.float32)
     for n, size, base in ((2, BIGRAMS, 0), (3, TRIGRAMS, BIGRAMS)):
-        if len(x) < n:
-            continue
-        code = x[: len(x) - n + 1].copy()
-        some = letter[: len(code)].copy()
-        for i in range(1, n):
-            code = code * np.uint32(257) + x[i : i + len(code)]
-            some |= letter[i : i + len(code)]
-        bucket = (code * np.uint32(2654435761)) >> np.uint32(32 - int(size).bit_length() + 1)
-        same = (doc[: len(code)] == doc[n - 1 :]) & some
-        flat = doc[: len(code)][same] * size + bucket[same]
-        counts = np.bincount(flat, minlength=s.rows * size).reshape(s.rows, size)
+        counts = np.zeros((s.rows, size), np.int64)
+        for lo in range(0, max(0, len(d) - n + 1), SLICE_BYTES):
+            hi = min(lo + SLICE_BYTES, len(d) - n + 1)
+            first, end = int(np.searchsorted(s.offsets, lo, "right")) - 1, int(np.searchsorted(s.offsets, hi + n - 1))
+            sizes = np.minimum(s.offsets[first + 1 : end + 1], hi + n - 1) - np.maximum(s.offsets[first:end], lo)
+            rows = np.repeat(np.arange(end - first), sizes)
+            part = letter[lo : hi + n - 1]
+            x = np.where(part, d[lo : hi + n - 1], 32).astype(np.uint32)
+            code, some = x[: hi - lo].copy(), part[: hi - lo].copy()
+            for i in range(1, n):
+                code = code * np.uint32(257) + x[i : i + hi - lo]
+                some |= part[i : i + hi - lo]
+            bucket = (code * np.uint32(2654435761)) >> np.uint32(32 - int(size).bit_length() + 1)
+            same = (rows[: hi - lo] == rows[n - 1 :]) & some
+            flat = rows[: hi - lo][same] * size + bucket[same]
+            last = int(rows[-1]) + 1
+            counts[first : first + last] += np.bincount(flat, minlength=last * size).reshape(last, size)
         out[:, base : base + size] = counts / np.maximum(1, counts.sum(1, keepdims=True))
     return out
 
@@ -57,7 +67,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: dict[str, int] = {}
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
-        for s in text_slices(batch.column("text"), SLICE_BYTES):
+        for s in text_slices(batch.column("text"), SLICE_BYTES, SLICE_ROWS):
             grams = _grams(s)
             own = langs[s.first : s.first + s.rows]
             for lang in set(own.tolist()):
@@ -120,10 +130,17 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> LanguageModel:
-    """Fit on all given rows with a language and a text: sums per language and bucket reach the driver."""
+    """Fit on all given rows with a language and a text: sums per language and bucket reach the driver.
+
+    More than ``MAX_LANGUAGES`` languages are an error.
+    """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.lower(F.col(text).cast("string")).alias("text")).where("lang is not null and text is not null")
     totals = rows.mapInArrow(_profiles, "lang string, bucket int, total bigint").groupBy("lang", "bucket").agg(F.sum("total").alias("total"))
+    totals = materialize(totals)
+    if totals.where("bucket < 0").limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in column {lang}")
     got = totals.toPandas()
+    discard(totals)
     counts = got[got.bucket < 0].set_index("lang").total.sort_index()
     profiles = np.zeros((len(counts), DIM))
     place = {x: i for i, x in enumerate(counts.index)}
@@ -138,7 +155,7 @@ def _predict(model: LanguageModel):
         names = np.array([*model.langs, UNKNOWN], object)
         for batch in batches:
             letters = batch.column("letters").fill_null(False).to_numpy(zero_copy_only=False)
-            for s in text_slices(batch.column("text"), SLICE_BYTES):
+            for s in text_slices(batch.column("text"), SLICE_BYTES, SLICE_ROWS):
                 best, score, vague = model.decode(_grams(s))
                 known = letters[s.first : s.first + s.rows]
                 best = np.where(known, best, -1)
@@ -159,8 +176,10 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
     """Per row: key, lang_pred, score, ambiguous.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every
-    row if the model has learned no language. An empty table gives an empty
-    result; other columns are ignored; repeated rows give repeated results.
+    row if the model has learned no language. A null key stays null. Texts are
+    read whole, however long; of equal losses the first language in order wins.
+    An empty table gives an empty result; other columns are ignored; repeated
+    rows give repeated results.
     """
     kind = docs.schema[key].dataType.simpleString()
     x = F.col(text).cast("string")
@@ -169,7 +188,7 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows, with their columns, whose language is known and not ambiguous."""
+    """The rows, with their columns, whose language is known and not ambiguous; a row without an id is judged like others."""
     columns = docs.columns
     whole = docs.select(F.struct(*columns).alias("row"), F.col(text).alias("_text"))
     told = identify(whole, model, "row", "_text").where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous"))
@@ -177,5 +196,5 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -
 
 
 def fold(key: str = "doc_id") -> F.Column:
-    """True for rows that are held out of learning: crc32 of the key as text, modulo 3, is 1."""
+    """True for rows that are held out of learning: crc32 of the key as text, modulo 3, is 1; false for a null key."""
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
