@@ -23,8 +23,8 @@ SAMPLE_PER_CLASS = 3000
 COST = 1.0
 EPOCHS = 25
 STEEPNESS = 3.0
-#: Bytes of text whose dense indicators are held at once.
-SLICE_BYTES = 1 << 18
+#: Bytes and rows of text whose dense indicators are held at once.
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 256
 
 
 def _indicators(s: Slice) -> np.ndarray:
@@ -73,7 +73,7 @@ def _indicators(s: Slice) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for s in text_slices(batch.column("text"), SLICE_BYTES):
+        for s in text_slices(batch.column("text"), SLICE_BYTES, SLICE_ROWS):
             row, at = np.nonzero(_indicators(s))
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(s.rows + 1)), pa.int32()), pa.array(at, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(s.first, s.rows), batch.column("y").slice(s.first, s.rows), lists], ["id", "y", "at"])
@@ -150,7 +150,7 @@ def train_joined(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def _score(model: QualityModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in text_slices(batch.column("text"), SLICE_BYTES):
+            for s in text_slices(batch.column("text"), SLICE_BYTES, SLICE_ROWS):
                 p = model.score(_indicators(s)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(s.first, s.rows), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
@@ -160,9 +160,10 @@ def _score(model: QualityModel):
 def classify(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, score (0 to 1) and predicted (score at least a half).
 
-    Null and empty texts have no indicators and the score of the bias alone.
-    An empty table gives an empty result; other columns are ignored; repeated
-    rows give repeated results.
+    Null and empty texts have no indicators and the score of the bias alone. A
+    null key stays null. Texts are read whole; a task's memory grows with the
+    longest text, by about a hundred bytes a byte. An empty table gives an empty
+    result; other columns are ignored; repeated rows give repeated results.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
