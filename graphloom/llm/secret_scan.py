@@ -43,6 +43,8 @@ RULES = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", added=True, hint="xox[abprs]-"),
 )
 RULE_VERSION = "1"
+#: Matches whose positions are added up in one run.
+RUN = 256
 SPAN = "struct<kind:string,nth:int,start:int,end:int,added:boolean>"
 
 
@@ -50,14 +52,15 @@ def spans_of(text: Column, rule: Rule, nth: int) -> Column:
     """All spans of a rule in a text, in code points, ends exclusive.
 
     The text is split at all matches; the lengths of the parts between and of
-    the matches add up to the positions.
+    the matches add up to the positions, within runs of ``RUN`` matches first
+    and then from run to run, so that work grows with the matches of a text.
     """
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     between = F.split(text, rule.pattern, -1)
     steps = F.zip_with(F.slice(between, 1, F.size(whole)), F.arrays_zip(whole.alias("w"), judged.alias("j")), lambda b, m: F.struct(
         F.length(b).alias("gap"), F.length(m["w"]).alias("size"), F.length(m["j"]).alias("judged")))
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("found"))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def walk(state: Column, step: Column) -> Column:
         start = state["at"] + step["gap"]
@@ -65,8 +68,23 @@ def spans_of(text: Column, rule: Rule, nth: int) -> Column:
         found = F.when(step["judged"] >= rule.least, F.array_append(state["found"], span)).otherwise(state["found"])
         return F.struct((start + step["size"]).alias("at"), found.alias("found"))
 
-    spans = F.aggregate(steps, empty, walk, lambda s: s["found"])
-    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    def run_of(steps: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(steps, i * RUN + 1, RUN), F.struct(F.lit(0).alias("at"), none.alias("found")), walk)
+
+    def moved(span: Column, by: Column) -> Column:
+        return F.struct(span["kind"].alias("kind"), span["nth"].alias("nth"), (span["start"] + by).alias("start"), (span["end"] + by).alias("end"), span["added"].alias("added"))
+
+    def join_run(state: Column, run: Column) -> Column:
+        part = F.transform(run["found"], lambda s: moved(s, state["at"]))
+        return F.struct((state["at"] + run["at"]).alias("at"), F.array_append(state["parts"], part).alias("parts"))
+
+    def positions(steps: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), lambda i: run_of(steps, i))
+        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("parts"))
+        return F.when(F.size(steps) == 0, none).otherwise(F.flatten(F.aggregate(runs, start, join_run)["parts"]))
+
+    # a one-element array binds the steps once for all runs
+    spans = F.transform(F.array(steps), positions)[0]
     return F.when(text.rlike(rule.hint or rule.pattern), spans).otherwise(none)
 
 
