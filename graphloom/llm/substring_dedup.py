@@ -22,11 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .words import find_words, list_array, mix, sliding_min, text_slices, windows
+from .words import find_words, sliding_min, text_slices, windows
 
 K = 13
 SEED_WORDS = 4
-_SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
 def _seeds(h: np.ndarray, doc: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +67,7 @@ def _candidates(k: int, m: int):
                     continue
                 h = words.hashes()
                 seed, valid = _seeds(h, words.doc, k, m)
-                second, _ = windows(mix(h ^ _SECOND), words.doc, k)
                 node, _ = windows(h, words.doc, k - 1)
-                node >>= np.uint64(32)
                 begins = np.concatenate([[0], np.cumsum(words.counts)])
                 keep = np.zeros(len(valid), bool)
                 for i in range(s.rows):
@@ -81,12 +78,12 @@ def _candidates(k: int, m: int):
                 owner = words.doc[at]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(((node[at] << np.uint64(32)) | node[at + 1]).view(np.int64)),
-                        pa.array((second[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        pa.array(node[at].view(np.int64)),
+                        pa.array(node[at + 1].view(np.int64)),
                         batch.column("id").take(pa.array(owner + s.first)),
                         pa.array((at - begins[owner]).astype(np.int32)),
                     ],
-                    ["edge", "check", "id", "pos"],
+                    ["head", "tail", "id", "pos"],
                 )
 
     return candidates
@@ -107,8 +104,7 @@ def repeated_spans(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS, ke
 
     The span's words [start, start + n_windows + k - 1) stand in document
     ``source`` from ``source_start`` on, and ``source`` < ``id``. An edge is
-    named by its two nodes, 32 bits each, and 32 more bits of another hash of
-    its words. A node shared by chance cuts a path in two and does no more.
+    named by its two nodes, 64 bits each.
     A copy of a whole text is one span; only the first copy enters the graph.
     Several spans of one document may overlap.
     """
@@ -125,28 +121,28 @@ def repeated_spans(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS, ke
     hits = materialize(seeds.join(repeated, "seed", "left_semi").groupBy("id").agg(F.collect_list("seed").alias("seeds")).join(leaders, "id", "left_semi"))
     discard(seeds, repeated)
     found = base.join(hits, "id").select("id", "text", "seeds")
-    occurrences = materialize(found.mapInArrow(_candidates(k, seed_words), f"edge bigint, check int, id {kind}, pos int"))
+    occurrences = materialize(found.mapInArrow(_candidates(k, seed_words), f"head bigint, tail bigint, id {kind}, pos int"))
     discard(hits)
-    edges = occurrences.groupBy("edge", "check").agg(F.min("id").alias("source"), F.max("id").alias("last"))
+    edges = occurrences.groupBy("head", "tail").agg(F.min("id").alias("source"), F.max("id").alias("last"))
     edges = materialize(edges.where("source < last").drop("last"))
     # nodes at which two repeated edges begin or end: no path goes through them
-    head, tail = F.shiftrightunsigned("edge", 32).alias("node"), F.col("edge").bitwiseAND(F.lit((1 << 32) - 1)).alias("node")
+    head, tail = F.col("head").alias("node"), F.col("tail").alias("node")
     ends = edges.select(head, F.lit(1).alias("begin"), F.lit(0).alias("end")).union(edges.select(tail, F.lit(0).alias("begin"), F.lit(1).alias("end")))
     branching = materialize(ends.groupBy("node").agg(F.sum("begin").alias("b"), F.sum("end").alias("e")).where("b > 1 or e > 1").select("node"))
-    met = materialize(occurrences.join(edges, ["edge", "check"]).select("edge", "check", "id", "pos", "source"))
+    met = materialize(occurrences.join(edges, ["head", "tail"]).select("head", "tail", "id", "pos", "source"))
     discard(occurrences, edges)
     # an edge's coordinates in its source, where it may stand more than once: the first counts
-    placed = materialize(met.where("id = source").groupBy("edge", "check", "source").agg(F.min("pos").alias("at")))
+    placed = materialize(met.where("id = source").groupBy("head", "tail", "source").agg(F.min("pos").alias("at")))
     forks = branching.select("node", F.lit(True).alias("fork"))
     placed = placed.withColumn("node", tail).join(forks, "node", "left")
     along = Window.partitionBy("source").orderBy("at")
     cut = F.lag("at").over(along).isNull() | (F.lag("at").over(along) < F.col("at") - 1) | F.coalesce(F.lag("fork").over(along), F.lit(False))
     paths = placed.withColumn("cut", cut.cast("int")).withColumn("path", F.sum("cut").over(along))
-    paths = materialize(paths.select("edge", "check", "at", "path"))
+    paths = materialize(paths.select("head", "tail", "at", "path"))
     discard(branching)
     spans = (
         met.where("id > source")
-        .join(paths, ["edge", "check"])
+        .join(paths, ["head", "tail"])
         .groupBy("id", "source", "path", (F.col("pos") - F.col("at")).alias("shift"))
         .agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count(F.lit(1)).alias("n"), F.collect_list("pos").alias("all"))
     )
