@@ -321,7 +321,50 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert max(v[1] for v in want.values()) > 100
     assert near_dup.near_duplicates(empty).count() == 0
     assert near_dup.drop_near_duplicates(odd).columns == odd.columns
-    assert near_dup.prefix_depth() == 6
+    assert near_dup.prefix_depth([]) == 6  # nothing measured: the formula at the threshold
+
+
+def test_prefix_is_shortened_until_the_measured_recall():
+    exact = [(10_000.0, 10_000.0)] * 8
+    assert near_dup.prefix_depth(exact) == 7  # 10,000 texts found whole, and the formula's 0.9957 for 1,000 more
+    assert near_dup.prefix_depth([(1e6, 1e6)] * 8) == 8
+    worse = [(10_000.0, 10_000.0 * (1 - 0.001 * d)) for d in range(1, 9)]
+    assert near_dup.prefix_depth(worse) == 1
+    assert near_dup.prefix_depth([(10_000.0, 10_000.0)] * 4 + [(10_000.0, 9_000.0)] * 4) == 4
+
+
+def test_large_families_and_chains(spark):
+    """A tight family (all in the core), a loose one and a chain of overlapping texts, each larger than a block."""
+    rng = np.random.default_rng(5)
+    rows, n = [], 0
+
+    def add(words):
+        nonlocal n
+        rows.append((n, " ".join(words)))
+        n += 1
+
+    for name, changes in (("tight", 1), ("loose", 4)):
+        base = [f"{name}{i}" for i in range(150)]
+        for k in range(90):
+            w = list(base)
+            for i in rng.choice(150, int(rng.integers(0, changes + 1)), replace=False):
+                w[i] = f"{name}x{k}y{i}"
+            add(w)
+    long = [f"c{i}" for i in range(900)]
+    for k in range(80):
+        add(long[k * 8 : k * 8 + 150])
+    rows += [(None, rows[3][1]), (7, rows[100][1]), (5, rows[5][1]), (None, "one two three four five six"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = brute_links([(i, t or "") for i, t in enumerate(t for _, t in rows)])
+    links = defaultdict(set)
+    for (_, t), (c, k, g) in zip(rows, (want[i] for i in range(len(rows)))):
+        links[t or ""].add(k)
+    for block in (16, 64):
+        said = near_dup.near_duplicates(df, block=block).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_links) for r in said) == sorted((i is None, i or 0, next(iter(links[t or ""]))) for i, t in rows)
+    kept = near_dup.drop_near_duplicates(df, block=16)
+    assert kept.count() == len({g for _, _, g in want.values()})
+    assert sum(r.doc_id is None for r in kept.collect()) == 2
 
 
 def test_url_filter(spark, sf_dir):
@@ -339,6 +382,40 @@ def test_url_filter(spark, sf_dir):
     assert len(known) > 5 and sum((r.p_block >= 0.5) == (r.verdict == "block") for r in known) / len(known) > 0.8
 
 
+def test_url_trees_against_plain_python(spark):
+    """Features, out-of-fold fitting and the trees' votes, each computed anew; and held-out accuracy."""
+    rng = np.random.default_rng(4)
+    tops = ["com", "net", "info", "biz"]
+    urls = [f"http://h{i}.{tops[i % 4]}/{'a/' * int(rng.integers(0, 4))}{rng.integers(0, 10**6)}?{'&'.join('pq'[: 1 + i % 2])}" for i in range(600)]
+    blocked = [float(u.split("/")[2].endswith(("biz", "info"))) for u in urls]
+    df = spark.createDataFrame(list(zip(urls, blocked)), "url string, blocked double")
+    model = url_filter.train(df.limit(400))
+    got = model.block_probability(url_filter.lexical(df)).collect()
+    rates = {r.suffix: r for r in model.suffixes.collect()}
+    for r in got[:100]:
+        u = r.url
+        rest = u.split("://", 1)[1]
+        host, path = rest.split("/")[0], re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        shares = [u.count(c) / len(u) for c in set(u)]
+        want = [len(u), len(host), len([p for p in path.split("/") if p]), host.count(".") + 1, sum(c.isdigit() for c in u) / len(u), host.count("-"),
+                -sum(p * np.log2(p) for p in shares), len(u.split("?")[1].split("&")), float("#" in u), rates[r.suffix].suffix_rate, rates[r.suffix].suffix_rows]
+        assert [r[c] for c in url_filter.FEATURES] == pytest.approx(want)
+
+        def walk(node):
+            while node.numDescendants():
+                split = node.split()
+                node = node.leftChild() if want[split.featureIndex()] <= split.threshold() else node.rightChild()
+            return node.prediction()
+
+        total = sum(w * walk(t._java_obj.rootNode()) for t, w in zip(model.trees.trees, model.trees.treeWeights))
+        assert r.p_block == pytest.approx(1 / (1 + np.exp(-2 * total)))
+    held = [(r.p_block >= 0.5) == r.blocked for r in got if r.url in set(urls[400:])]
+    assert len(held) == 200 and np.mean(held) > 0.95
+    # one URL in a third of all rows counts once
+    hot = df.union(spark.range(300).select(F.lit(urls[0]).alias("url"), F.lit(blocked[0]).alias("blocked")))
+    assert url_filter.train(hot, sample=50).trees is not None
+
+
 def brute_secrets(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
@@ -373,6 +450,9 @@ def test_secret_scan(spark, docs, empty):
         assert not any(got.values())
     spans = secret_scan.digests(findings).where("doc_id = 7").first().spans
     assert "private_key:0:" in spans and "hosting_token:" in spans
+    many = " ".join(f"token={i:06d}" for i in range(2000))
+    found = secret_scan.scan(spark.createDataFrame([("m", many)], "path string, text string"))[0].first().spans
+    assert [(s.start, s.end) for s in found] == [(a, b) for a, _, b, _ in brute_secrets(many)]
     # a second scan with the ledger reads nothing new, and a new rule version everything
     again, grown = secret_scan.scan(odd, ledger, path="doc_id")
     assert grown.count() == ledger.count() and again.count() == odd.count()
@@ -380,6 +460,16 @@ def test_secret_scan(spark, docs, empty):
     assert secret_scan.scan(empty, path="doc_id")[0].count() == 0
 
 
+def test_secret_rescan(spark, sf_dir):
+    got = queries.secret_rescan(spark, sf_dir).collect()
+    texts = {f"doc:{r.doc_id}": r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    texts |= {f"page:{r.page_id}": r.html or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        said = ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute_secrets(texts[r.path]))
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_quality(spark, odd, empty):
     got = queries.op9_quality(spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
@@ -417,7 +507,7 @@ def test_fingerprint(docs, odd, empty):
             assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
             errors += [abs(r.near_edited - jaccard(t, edited)), abs(r.near_next - jaccard(t, nxt))]
             assert (r.fingerprint == r.edited_fingerprint) or t != edited
-        assert np.mean(errors) < 0.06
+        assert np.mean(errors) < (0.06 if df is docs else 0.15)  # odd rows are mostly of a few words
         prints = defaultdict(set)
         for i, t in rows:
             prints[t].add(got[i].fingerprint)
@@ -426,6 +516,27 @@ def test_fingerprint(docs, odd, empty):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_fingerprints_in_ranges(spark, monkeypatch, kind):
+    """Sparse, repeated, negative and missing ids, and ids as strings: each row meets the next in order."""
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 3)
+    rng = np.random.default_rng(2)
+    ids = [int(i) for i in rng.integers(-(10**15), 10**15, 40)] + [5, 5, 5, None, None]
+    rows = [(i if kind == "bigint" or i is None else f"k{i}", f"text {n} of {n % 7} words " + "z " * n) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
+    inner = sorted([r for r in rows if r[0] is not None])
+    nulls = [r for r in rows if r[0] is None]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in fingerprint.fingerprints(df).collect())
+    ways = []
+    for last in (nulls, nulls[::-1]):
+        order, want = inner + last, []
+        for k, (i, t) in enumerate(order):
+            nxt = order[(k + 1) % len(order)][1]
+            want.append((i is None, i or 0, hashlib.sha256((t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]).encode()).hexdigest()))
+        ways.append(sorted(want))
+    assert got in ways
+
+
 def test_sketches_merge_and_contain(spark):
     a, b = " ".join(f"a{i}" for i in range(4000)), " ".join(f"b{i}" for i in range(3000))
     df = spark.createDataFrame([(a, b, a + " " + b)], "a string, b string, c string")
