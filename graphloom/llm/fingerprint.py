@@ -113,38 +113,29 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     bounds = sorted(set(found or []))
     # rows without a key: ranges of their own after the others, by a hash of their texts
     after = F.lit(len(bounds) + 1) + F.pmod(F.xxhash64("text"), F.lit(ranges)).cast("int")
-    rows = rows.withColumn("range", F.when(place.isNull(), after).otherwise(_range(place, bounds))).withColumn("sketch", sketch(F.col("text"), words, fraction))
-    options = (words, fraction)
+    rows = rows.withColumn("range", F.when(place.isNull(), after).otherwise(_range(place, bounds)))
+    # the first text of each range: at most two rows for each of MAX_RANGES ranges
+    first = materialize(rows.groupBy("range").agg(F.min("id").alias("first")))
+    at = F.broadcast(first.withColumnRenamed("range", "r"))
+    heads = rows.join(at, (F.col("range") == F.col("r")) & F.col("id").eqNullSafe(F.col("first"))).groupBy("range").agg(F.min("text").alias("head"))
+    ring = first.select("range", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.partitionBy())).alias("n_range"))
+    heads = materialize(heads.withColumnRenamed("range", "n_range").join(ring, "n_range").select("range", "head"))
     own = Window.partitionBy("range").orderBy(F.asc_nulls_last("id"), "text")
-    ahead = {"nth": F.row_number().over(own), "n_text": F.lead("text").over(own), "n_sketch": F.lead("sketch").over(own)}
-    rows = rows.withColumns(ahead).withColumn("last", F.col("n_text").isNull())
-    rows = _against_next(rows, options)
-    # only the first and last rows of a range keep their text for the meeting across ranges
-    edge = (F.col("nth") == 1) | F.col("last")
-    rows = materialize(rows.withColumns({"text": F.when(edge, F.col("text")), "sketch": F.when(edge, F.col("sketch"))}).drop("n_text", "n_sketch"))
-    # one row a range: which range comes next, round to the first
-    ring = rows.where("nth = 1").select("range")
-    ring = ring.withColumn("n_range", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.partitionBy())))
-    heads = rows.where("nth = 1").select(F.col("range").alias("n_range"), F.col("text").alias("n_text"), F.col("sketch").alias("n_sketch"))
-    heads = materialize(heads.join(ring, "n_range").select("range", "n_text", "n_sketch"))
-    ends = _against_next(rows.where("last").select("id", "text", "sketch", "range").join(heads, "range"), options)
-    out = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return rows.where("NOT last").select(out).union(ends.select(out)).withColumnRenamed("id", key)
+    # sorted alike by the window: a merge join moves no document again
+    rows = rows.withColumn("n_text", F.lead("text").over(own)).join(heads.hint("merge"), "range").withColumn("n_text", F.coalesce("n_text", "head"))
+    return _against_next(rows, (words, fraction)).withColumnRenamed("id", key)
 
 
 def _against_next(rows: DataFrame, options: tuple) -> DataFrame:
-    """``rows`` (text, sketch, n_text, n_sketch) with the result's columns."""
+    """The result's columns for ``rows`` (id, text, n_text)."""
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.expr("cast(n_chars div 4 as int)")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("n_text", F.lit(1), cut)))
-    rows = rows.withColumn("edited_sketch", sketch(F.col("edited"), *options))
-    return rows.withColumns(
-        {
-            "edited_sha256": F.sha2("edited", 256),
-            "fingerprint": as_text(F.col("sketch")),
-            "edited_fingerprint": as_text(F.col("edited_sketch")),
-            # equal texts are alike even where no hash of theirs is kept
-            "near_edited": F.when(F.col("text") == F.col("edited"), 1.0).otherwise(similarity(F.col("sketch"), F.col("edited_sketch"))),
-            "near_next": F.when(F.col("text") == F.col("n_text"), 1.0).otherwise(similarity(F.col("sketch"), F.col("n_sketch"))),
-        }
-    ).drop("edited", "edited_sketch")
+    rows = rows.withColumns({f"{x}_sketch": sketch(F.col(x), *options) for x in ("text", "edited", "n_text")})
+    mine, edited = F.col("text_sketch"), F.col("edited_sketch")
+    return rows.select(
+        "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(mine).alias("fingerprint"), as_text(edited).alias("edited_fingerprint"),
+        # equal texts are alike even where no hash of theirs is kept
+        F.when(F.col("text") == F.col("edited"), 1.0).otherwise(similarity(mine, edited)).alias("near_edited"),
+        F.when(F.col("text") == F.col("n_text"), 1.0).otherwise(similarity(mine, F.col("n_text_sketch"))).alias("near_next"),
+    )
