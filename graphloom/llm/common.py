@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import shared_dir
@@ -29,11 +29,12 @@ def owned_tables() -> Iterator[None]:
         discard(*mine)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, owned: bool = True) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage with replicated storage: a lost executor loses no
-    part of the table. Shuffle files of the write go when it has ended.
+    part of the table. Shuffle files of the write go when it has ended. The
+    table goes with the scope it is written in, if there is one and it is ``owned``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
@@ -45,7 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
-    if _scopes:
+    if owned and _scopes:
         _scopes[-1].append(out)
     return out
 
@@ -62,6 +63,20 @@ def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
+def numbered_in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` written with ``nth`` from 0 in the given order: ranges are numbered on their own, then moved by what stands before."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = materialize(ranged.withColumns({"_range": F.spark_partition_id(), "_within": within}))
+    # as many rows as there are partitions
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = ranged.join(sizes.select("_range", before.alias("_before")), "_range").withColumn("nth", F.col("_before") + F.col("_within"))
+    out = materialize(moved.drop("_range", "_within", "_before"))
+    discard(ranged)
+    return out
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node on an edge; a component is named by its least node.
 
