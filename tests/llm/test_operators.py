@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, fingerprint, language_id, mixing, near_dup, packing, quality, queries, secret_scan, substring_dedup, url_filter
+from graphloom.llm.words import text_slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
@@ -276,6 +277,56 @@ def test_language_id(spark, sf_dir, docs, odd, empty):
     assert language_id.codewords(9).shape[0] == 9
 
 
+def plain_grams(text):
+    """Shares of the hashed grams of a lower-cased text, one gram at a time."""
+    d = text.encode()
+    keep = [b if 97 <= b <= 122 or b >= 128 else 32 for b in d]
+    out = np.zeros(language_id.DIM, np.float32)
+    for n, size, base in ((2, language_id.BIGRAMS, 0), (3, language_id.TRIGRAMS, language_id.BIGRAMS)):
+        counts = Counter()
+        for i in range(len(d) - n + 1):
+            if any(b != 32 for b in keep[i : i + n]):
+                code = 0
+                for b in keep[i : i + n]:
+                    code = (code * 257 + b) & 0xFFFFFFFF
+                counts[((code * 2654435761) & 0xFFFFFFFF) >> (32 - size.bit_length() + 1)] += 1
+        for k, c in counts.items():
+            out[base + k] = np.float32(c / sum(counts.values()))
+    return out
+
+
+def test_language_grams_and_decoding_against_plain_python(docs, monkeypatch):
+    texts = [(t or "").lower() for _, t in texts_of(docs)][:60] + ["", "x", "ab", "éé é"]
+    for block in (7, 1000, 1 << 18):
+        monkeypatch.setattr(language_id, "SLICE_BYTES", block)
+        (s,) = text_slices(pa.array(texts), 1 << 30)
+        assert np.allclose(language_id._grams(s), [plain_grams(t) for t in texts])
+    model = language_id.train(docs)
+    grams = np.array([plain_grams(t) for t in texts])
+    best, score, _ = model.decode(grams)
+    for g, b, p in zip(grams, best, score):
+        losses = []
+        for word in model.code:
+            z = [(sum(g[i] * model.weights[i, j] for i in np.flatnonzero(g)) - model.middle[j]) / model.reach[j] for j in range(len(word))]
+            losses.append(sum(t * np.log1p(np.exp(-2 * v if c else 2 * v)) for t, v, c in zip(model.trust, z, word)))
+        assert losses[b] == pytest.approx(min(losses), abs=1e-3)
+        assert p == pytest.approx(1 / sum(np.exp(-4 * (x - min(losses))) for x in losses), abs=0.02)
+
+
+def test_many_empty_and_short_texts_take_little_memory():
+    """A batch of 100,000 empty and one-word texts, as one executor task may meet it."""
+    import resource
+
+    texts = pa.array(["", "word"] * 50_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100_000)), texts, pa.array([True] * 100_000)], ["id", "text", "letters"])
+    model = language_id.LanguageModel(["a", "b"], np.random.default_rng(0).random((2, language_id.DIM)))
+    quick = quality.fit([np.array([1, 2]), np.array([3])], np.array([0.0, 1.0]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert sum(b.num_rows for b in language_id._predict(model)(iter([batch]))) == 100_000
+    assert sum(b.num_rows for b in quality._score(quick)(iter([batch]))) == 100_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # kilobytes
+
+
 def brute_links(rows):
     sets = {}
     for i, t in rows:
@@ -485,6 +536,39 @@ def test_quality(spark, odd, empty):
     assert quality.train(empty.withColumn("quality", F.lit(1))).score(np.zeros((1, quality.DIM + quality.SHAPES), bool))[0] == 0.5
 
 
+def test_support_vectors_against_a_plain_solver():
+    """The fitted weights' objective is that of the same problem solved by projected gradient over all dual variables."""
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 60).astype(float)
+    rows = [np.unique(rng.integers(0, 40, 12) + 25 * int(c)) for c in y]
+    model = quality.fit(rows, y, epochs=400)
+    size = quality.DIM + quality.SHAPES
+    counts = np.ones((2, size))
+    for x, c in zip(rows, y):
+        counts[int(c), x] += 1
+    has = np.array([(y == 0).sum(), (y == 1).sum()])
+    ratio = np.log((counts[1] / (has[1] + 2)) / (counts[0] / (has[0] + 2)))
+    dense = np.zeros((60, size))
+    for i, x in enumerate(rows):
+        dense[i, x] = ratio[x]
+    dense /= np.sqrt((dense**2).sum(1, keepdims=True))
+    sign = 2 * y - 1
+    bound = 60 / (2 * has[y.astype(int)])
+    gram = (dense @ dense.T + 1) * np.outer(sign, sign)
+    alpha = np.zeros(60)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - 0.02 * (gram @ alpha - 1), 0, bound)
+    dual = lambda a: 0.5 * a @ gram @ a - a.sum()
+    w = (alpha * sign) @ dense
+    margin = dense @ w + (alpha * sign).sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fitted = np.where(ratio != 0, model.weights / ratio, 0)
+    got = dense @ fitted + model.bias
+    primal = lambda v, b, m: 0.5 * (v @ v + b * b) + (bound * np.maximum(0, 1 - sign * m)).sum()
+    assert primal(fitted, model.bias, got) == pytest.approx(primal(w, (alpha * sign).sum(), margin), rel=0.01)
+    assert primal(fitted, model.bias, got) == pytest.approx(-dual(alpha), rel=0.02)
+
+
 def jaccard(a, b):
     sets = []
     for t in (a, b):
@@ -549,6 +633,53 @@ def test_sketches_merge_and_contain(spark):
     assert r.all == 1 and abs(r.part - 4 / 7) < 0.1 and r.merged > 0.97
 
 
+def test_rows_without_an_id_and_odd_columns(spark):
+    """Every operator meets null ids, one id on two texts, repeated rows and columns named like its own."""
+    text = " ".join(f"n{i}" for i in range(40))
+    rows = [(None, text, "en", "a"), (None, None, None, None), (1, "one text here", "en", "a"), (1, "another text there", "en", "a"), (2, text, "en", "b"), (2, text, "en", "b"), (None, "only here", "en", "b")]
+    own = "_due int, _key int, _kept int, _sha256 int, _digest int, position int, row int, size int, cid int, digest int, meetings int, range int, head int, pivot int"
+    df = spark.createDataFrame([(*r, *[0] * 14) for r in rows], f"doc_id bigint, text string, lang string, source string, {own}").repartition(2)
+    exact = exact_dedup.exact_duplicates(df).collect()
+    by_text = Counter(t or "" for _, t, _, _ in rows)
+    assert sorted((r.doc_id or 0, r.group_size, r.kept, r.text_sha256) for r in exact) == sorted(
+        (i or 0, by_text[t or ""], t != text or i == 2, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _, _ in rows
+    )
+    assert exact_dedup.drop_exact_duplicates(df).count() == 6
+    assert near_dup.near_duplicates(df).count() == 7 and near_dup.drop_near_duplicates(df).count() == 6
+    assert sum(r.taken for r in mixing.mix(df).collect()) > 0 and mixing.mix(df).count() == 7
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and any(r.doc_id is None for r in mixed.collect())
+    assert packing.pack(df, queries.tokenizer_path()).where("start = 0").count() == 7
+    assert fingerprint.fingerprints(df).count() == 7
+    assert substring_dedup.remove_repeated(df).count() == 7
+    assert secret_scan.scan(df, path="doc_id")[0].count() == 7
+    model = language_id.train(df)
+    assert language_id.identify(df, model).count() == 7 and language_id.keep_identified(df, model).columns == df.columns
+    assert quality.classify(df, quality.train(df.withColumn("quality", F.lit(1)))).count() == 7
+    names = df.withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))
+    assert near_dup.near_duplicates(names).count() == 7 and exact_dedup.exact_duplicates(names).count() == 7
+
+
+def test_shared_folder_is_demanded_and_cleared(spark, monkeypatch):
+    import os
+
+    from graphloom.llm import common
+    from graphloom.sources import storage
+
+    class Cluster:
+        conf = {}
+        sparkContext = type("c", (), {"master": "local-cluster[3,2,1024]"})
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Cluster)
+    folder = storage.shared_dir(spark).removeprefix("file://") + "/tables"
+    before = set(os.listdir(folder))
+    df = spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "doc_id bigint, text string")
+    with common.owned_tables():
+        assert exact_dedup.drop_exact_duplicates(df).count() == 3 and near_dup.near_duplicates(df).count() == 9
+    assert set(os.listdir(folder)) == before
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
