@@ -18,9 +18,9 @@ ENTRY_TYPES = (
 # The least gain, its share of the best gain, and how many chunks stay.
 GAIN_FLOOR, GAIN_SHARE, GAIN_LEAST, GAIN_MOST = 0.05, 0.3, 3, 10
 
-# Words before a declared name, and words that may stand before those.
+# Words that declare a name, and words that may stand before them.
 DECLARES = ("class", "struct", "interface", "enum", "trait", "object", "module", "fn", "func", "function", "def")
-MODIFIERS = ("public", "private", "protected", "static", "async", "abstract", "final")
+MODIFIERS = ("export", "public", "private", "protected", "static", "async", "abstract", "final")
 
 
 def stem(path: Column) -> Column:
@@ -29,11 +29,23 @@ def stem(path: Column) -> Column:
 
 
 def declarations(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, position, name, qualified_name): names declared at the start of a line, each once for a file, in order."""
-    before = "".join(f"{m}|" for m in MODIFIERS)[:-1]
-    pattern = rf"(?m)^\s*(?:export\s+)?(?:(?:{before})\s+)*(?:{'|'.join(DECLARES)})\s+([A-Za-z_][A-Za-z0-9_]*)"
-    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), 1))
-    rows = files.select(path, F.posexplode(found).alias("position", "name"))
+    """(path, position, name, qualified_name): names declared at the start of a line, each once for a file, in order.
+
+    A line is read word by word: modifiers are skipped, then the word must be
+    one that declares, and the letters, digits and underscores that the next
+    word starts with are the name.
+    """
+
+    def declared(line: Column) -> Column:
+        words = F.split(F.trim(F.replace(line, F.lit("\t"), F.lit(" "))), " +")
+        skipped = F.size(words) - F.size(F.filter(words, lambda w: ~w.isin(*MODIFIERS)))
+        # modifiers count only where they lead; elsewhere the word before the name is another
+        name = F.regexp_substr(F.get(words, skipped + 1), F.lit("^[A-Za-z_]\\w*"))
+        leads = F.size(F.filter(F.slice(words, F.lit(1), skipped), lambda w: w.isin(*MODIFIERS))) == skipped
+        return F.when(F.get(words, skipped).isin(*DECLARES) & leads, name)
+
+    names = F.filter(F.transform(F.split(F.col(text), "\r?\n"), declared), lambda n: n.isNotNull())
+    rows = files.select(path, F.posexplode(F.array_distinct(names)).alias("position", "name"))
     return rows.select(path, "position", "name", F.concat_ws(".", stem(F.col(path)), "name").alias("qualified_name"))
 
 

@@ -61,15 +61,15 @@ def spent(costs: DataFrame, as_of: str, days: int) -> DataFrame:
 
 def catalogue_entries(nodes: DataFrame) -> DataFrame:
     """(entry_id, node_id, entry_type, display_name) of data and business objects, with ids made from their names."""
-    kind = F.when(F.col("node_type") == "DataObject", "kf-data-object").otherwise("kf-business-object")
+    kind = F.when(F.col("node_type") == "DataObject", "data-object").otherwise("business-object")
     chosen = nodes.where(F.col("node_type").isin("DataObject", "BusinessObject"))
     return chosen.select(uuid5(CATALOGUE, F.concat_ws("/", "node_id", "name")).alias("entry_id"), "node_id", kind.alias("entry_type"), F.col("name").alias("display_name"))
 
 
 def catalogue_links(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(source_id, target_id, link_type) of access and realization edges to entries."""
-    kind = F.when(F.col("rel_type") == "Access", "kf-accesses")
-    kind = kind.when((F.col("source_type") == "DataObject") & (F.col("target_type") == "BusinessObject"), "definition").otherwise("kf-realizes")
+    kind = F.when(F.col("rel_type") == "Access", "accesses")
+    kind = kind.when((F.col("source_type") == "DataObject") & (F.col("target_type") == "BusinessObject"), "definition").otherwise("realizes")
     chosen = edges.where(F.col("rel_type").isin("Access", "Realization"))
     return chosen.join(entries, chosen["target_id"] == entries["node_id"], "left_semi").select("source_id", "target_id", kind.alias("link_type"))
 

@@ -246,7 +246,7 @@ WHERE node_type = 'BusinessProcess' AND coalesce(n, 0) < 3""", "nodes", "edges")
     "rule_forbidden_edge": sql("SELECT source_id, target_id FROM edges WHERE source_type = 'ApplicationComponent' AND target_type = 'BusinessProcess' AND rel_type = 'Serving'", "edges"),
     "rule_orphans": sql(
         """, e AS (SELECT * FROM edges WHERE NOT (rel_type = 'Access' AND substr(target_id, 5)::BIGINT % 7 = 0))
-SELECT node_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM e WHERE source_id = n.node_id) AND NOT EXISTS (SELECT 1 FROM e WHERE target_id = n.node_id)""", "nodes", "edges"),
+SELECT node_id FROM nodes ANTI JOIN (SELECT source_id AS node_id FROM e UNION SELECT target_id FROM e) USING (node_id)""", "nodes", "edges"),
     "rule_ambiguous_only": sql(
         "SELECT node_id FROM ways WHERE rel_type IN ('Serving', 'Access') GROUP BY node_id HAVING bool_and(coalesce(confidence, 'EXTRACTED') = 'AMBIGUOUS')", "ways"),
     "rule_high_fan_in": sql("SELECT target_id AS node_id, count(*) AS n FROM edges WHERE rel_type = 'Access' GROUP BY 1 HAVING count(*) > 30", "edges"),

@@ -162,11 +162,16 @@ def event_windows(spark, sf):
     return stream.windowed(progress(spark, sf))
 
 
+def _less(x):
+    """Without the articles between two that are no letters, digits or underscores; of two in a row, which share what is between, the second goes next time."""
+    return rf"regexp_replace({x}, '(^|[^\p{{L}}\p{{N}}_])(a|an|the)($|[^\p{{L}}\p{{N}}_])', '\1 \3', 'g')"
+
+
 _ANSWERS = """, c AS (SELECT conv_id, turn, role, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2, 3),
 qa AS (SELECT u.conv_id || ':' || u.turn AS qa_id, u.text AS given, a.text AS expected FROM c u JOIN c a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'),
 m AS (SELECT qa_id, """ + ", ".join(
-    rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS {x}" for x in ("given", "expected")
+    rf"trim(regexp_replace({_less(_less(rf'''regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', '', 'g')'''))}, '\s+', ' ', 'g')) AS {x}" for x in ("given", "expected")
 ) + """ FROM qa),
 wa AS (SELECT qa_id, word, count(*) AS a FROM (SELECT qa_id, unnest(string_split(given, ' ')) AS word FROM m) WHERE word <> '' GROUP BY 1, 2),
 wb AS (SELECT qa_id, word, count(*) AS b FROM (SELECT qa_id, unnest(string_split(expected, ' ')) AS word FROM m) WHERE word <> '' GROUP BY 1, 2),
@@ -211,7 +216,7 @@ SELECT * FROM nodes WHERE node_id NOT IN (SELECT node_id FROM late) UNION ALL SE
     "cascade_delete": sql("SELECT doc_id, count(*) AS n_chunks FROM chunks WHERE doc_id % 3 <> 0 GROUP BY 1", "chunks"),
     "key_faults": "SELECT 0::BIGINT AS n_null, count_if(n > 1)::BIGINT AS n_repeated FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)",
     "call_costs": """SELECT l_returnflag, count(*) AS calls, round(sum((greatest(l_partkey - l_linenumber, 0) * 0.3::DOUBLE + l_suppkey * 2.5::DOUBLE) / 1e6), 4) AS cost FROM lineitem GROUP BY 1""",
-    "catalog_links": sql("SELECT source_id, target_id, 'kf-accesses' AS link_type FROM edges WHERE rel_type = 'Access'", "edges"),
+    "catalog_links": sql("SELECT source_id, target_id, 'accesses' AS link_type FROM edges WHERE rel_type = 'Access'", "edges"),
     "glossary_terms": sql(
         """, p AS (SELECT source_id AS node_id, target_id AS other_id FROM edges WHERE rel_type = 'Association' UNION SELECT target_id, source_id FROM edges WHERE rel_type = 'Association'),
 g AS (SELECT p.node_id, string_agg(DISTINCT o.name, ',' ORDER BY o.name) AS synonyms FROM p JOIN nodes o ON o.node_id = p.other_id GROUP BY 1)
