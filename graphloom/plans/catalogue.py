@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph, ingest, reports, search
+from . import evaluation, graph, ingest, reports, search, writes
 
-MODULES = (graph, search, reports, ingest)
+MODULES = (graph, search, reports, ingest, writes, evaluation)
 
 
 def queries():
