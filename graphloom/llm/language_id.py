@@ -27,7 +27,7 @@ RANDOM_BITS = 63
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
 #: Bytes and rows of text whose dense gram counts are held at once.
-SLICE_BYTES, SLICE_ROWS = 1 << 18, 256
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 128
 #: More learned languages than this mean that the labels are no languages.
 MAX_LANGUAGES = 1000
 

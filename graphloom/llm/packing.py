@@ -31,7 +31,9 @@ UNIT = 4
 END_ID = 1
 MAX_COLUMNS = 4000
 #: The word store turns when it holds more words than this; a word takes about 200 bytes.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Bytes of text encoded at once.
+SLICE_BYTES = 1 << 21
 #: Words encoded by one call.
 LIST_WORDS = 2000
 ROWS_PER_SALT = 20_000
@@ -174,7 +176,7 @@ def _word_starts(s: Slice, special: list[str]) -> np.ndarray:
 def token_ids(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For slices of texts: first row, all token ids, and each row's number of ids."""
     encoder = _encoder(path)
-    for s in text_slices(column, 1 << 22):
+    for s in text_slices(column, SLICE_BYTES):
         starts = _word_starts(s, encoder.special)
         if not len(starts):
             yield s.first, np.zeros(0, np.uint32), np.zeros(s.rows, np.int64)

@@ -24,7 +24,7 @@ COST = 1.0
 EPOCHS = 25
 STEEPNESS = 3.0
 #: Bytes and rows of text whose dense indicators are held at once.
-SLICE_BYTES, SLICE_ROWS = 1 << 18, 256
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 128
 
 
 def _indicators(s: Slice) -> np.ndarray:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 10_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -24,7 +24,7 @@ def _power_tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of an odd base and of its inverse, modulo 2**64."""
     have = _powers.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << (n - 1).bit_length()
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         tables = []
         for x in (base, inverse):
