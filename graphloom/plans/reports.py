@@ -239,4 +239,12 @@ SELECT job_id, min(ts) AS start, count(*) AS n_events FROM k GROUP BY job_id, n"
     "event_windows": sql("SELECT job_id, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n_events FROM progress GROUP BY 1, 2", "progress"),
 }
 
-QUERIES = {n: globals()[n] for n in [*SQL, "catalog_entries"]}
+_NAMESPACE = "".join(f"\\x{b:02X}" for b in tables.CATALOGUE.bytes)
+SQL["catalog_entries"] = sql(
+    f""", h AS (SELECT *, sha1('{_NAMESPACE}'::BLOB || (node_id || '/' || name)::BLOB) AS h FROM nodes WHERE node_type IN ('DataObject', 'BusinessObject'))
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1)
+  || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS entry_id, node_id, CASE node_type WHEN 'DataObject' THEN 'data-object' ELSE 'business-object' END AS entry_type,
+  name AS display_name FROM h""",
+    "nodes",
+)
+QUERIES = {n: globals()[n] for n in SQL}
