@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 10_000
+TILE_ROWS = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,18 +34,32 @@ def unit(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.where(F.col(column).isNotNull() & (n > 0)).withColumn(column, F.transform(column, lambda x: x.cast("double") / n))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: tuple[str, ...] = ()) -> DataFrame:
+def tiled_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, on: tuple[str, ...] = (), rows: int = TILE_ROWS) -> DataFrame:
+    """All pairs of rows that are equal in ``on``, tile by tile.
+
+    Each side is split by its ids into slices of about ``rows`` rows and copied
+    once for each slice of the other, so that a task joins two slices and a
+    value of ``on`` with most rows is spread over all of them.
+    """
+    a, b = (1 + df.count() // rows for df in (left, right))
+    mine = left.withColumn("_a", F.pmod(F.xxhash64(left_id), F.lit(a))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)).cast("array<bigint>")))
+    other = right.withColumn("_b", F.pmod(F.xxhash64(right_id), F.lit(b))).withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(a - 1)).cast("array<bigint>")))
+    return mine.hint("merge").join(other, ["_a", "_b", *on]).drop("_a", "_b")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: tuple[str, ...] = (), small: int = BROADCAST_ROWS) -> DataFrame:
     """The ``k`` nearest vectors by cosine distance for each query, and for each value of ``within``.
 
     ``queries`` has (query_id, query); ``vectors`` has (vec_id, embedding) and
-    more. Exact: the stated queries run against all vectors. They are broadcast
-    only up to a checked number; the top k are cut in each task before the
-    shuffle.
+    more. Exact: the stated queries run against all vectors. Up to ``small``
+    queries are broadcast, more are met in tiles; the top k are cut in each
+    task before the shuffle.
     """
-    q = unit(queries, "query")
-    if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        q = F.broadcast(q)
-    pairs = unit(vectors, "embedding").crossJoin(q)
+    q, v = unit(queries, "query"), unit(vectors, "embedding")
+    if queries.limit(small + 1).count() <= small:
+        pairs = v.crossJoin(F.broadcast(q))
+    else:
+        pairs = tiled_pairs(v, q, "vec_id", "query_id")
     far = pairs.withColumn("distance", F.round(1 - dot(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
     order = Window.partitionBy("query_id", *within).orderBy("distance", "vec_id")
     return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

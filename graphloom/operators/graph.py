@@ -22,8 +22,8 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """(node_id, degree); a loop counts twice."""
-    ends = edges.select(F.col("source_id").alias("node_id")).unionAll(edges.select("target_id"))
+    """(node_id, degree); a loop counts twice. Edges are read once for both their ends."""
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id"))
     return ends.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
@@ -99,12 +99,13 @@ def impact(edges: DataFrame, node_id: str, max_hops: int = 4, least: float = 0.1
     Confidence is the largest product of factors along a walk of up to
     ``max_hops`` edges that never falls below ``least``; hops are the fewest
     that attain it. Only nodes whose confidence rose go on, so a hub is
-    expanded once per level of confidence.
+    expanded once per level of confidence. The edges are written once, and each
+    hop adds only the nodes that rose.
     """
-    ways = symmetric(edges).select("node_id", "other_id", factor_of(F.col("confidence")).alias("factor")).where("factor > 0")
-    ways = cut(ways.groupBy("node_id", "other_id").agg(F.max("factor").alias("factor")))
-    best = edges.sparkSession.createDataFrame([(node_id, 1.0, 0)], "node_id string, confidence double, hops int")
-    frontier = best
+    narrow = cut(edges.select("source_id", "target_id", factor_of(F.col("confidence")).alias("factor")).where("factor > 0"))
+    ways = narrow.toDF("node_id", "other_id", "factor").unionAll(narrow.select("target_id", "source_id", "factor"))
+    frontier = edges.sparkSession.createDataFrame([(node_id, 1.0, 0)], "node_id string, confidence double, hops int")
+    risen = [frontier]
     for h in range(1, max_hops + 1):
         reached = (
             frontier.join(ways, "node_id")
@@ -113,10 +114,12 @@ def impact(edges: DataFrame, node_id: str, max_hops: int = 4, least: float = 0.1
             .groupBy("node_id")
             .agg(F.max("confidence").alias("confidence"))
         )
-        known = best.select("node_id", F.col("confidence").alias("known"))
+        known = reduce(DataFrame.unionAll, risen).groupBy("node_id").agg(F.max("confidence").alias("known"))
         frontier = cut(reached.join(known, "node_id", "left").where("known IS NULL OR confidence > known").select("node_id", "confidence", F.lit(h).alias("hops")))
-        best = cut(best.join(frontier.select("node_id"), "node_id", "left_anti").unionByName(frontier))
-    return best
+        risen.append(frontier)
+    # a node only rises, so its last row is its best
+    best = F.max(F.struct("confidence", "hops"))
+    return reduce(DataFrame.unionAll, risen).groupBy("node_id").agg(best.alias("best")).select("node_id", "best.confidence", "best.hops")
 
 
 def neighborhood(edges: DataFrame, node_id: str, hops: int = 2, per_relation: int = 100) -> DataFrame:

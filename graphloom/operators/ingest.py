@@ -142,7 +142,9 @@ def prune_by_gain(chunks: DataFrame, query: str = "query_id", chunk: str = "chun
     """
     best = Window.partitionBy(query)
     order = best.orderBy(F.desc(gain), chunk)
-    rows = chunks.select(query, chunk, gain).withColumns({"rank": F.row_number().over(order), "top": F.max(gain).over(best), "all": F.count(F.lit(1)).over(best)})
+    # no rank beyond the most can stay, and enough is a prefix of the order: the first ranks tell all, and tasks cut them before the shuffle
+    rows = chunks.select(query, chunk, gain).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= GAIN_MOST)
+    rows = rows.withColumns({"top": F.max(gain).over(best), "all": F.count(F.lit(1)).over(best)})
     enough = F.col(gain) >= F.greatest(F.lit(GAIN_FLOOR), F.col("top") * GAIN_SHARE)
     rows = rows.withColumn("n_enough", F.count_if(enough).over(best))
     keep = F.least(F.greatest(F.col("n_enough"), F.lit(GAIN_LEAST)), F.lit(GAIN_MOST))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import normalize_answer
+from graphloom.operators.ordered import in_blocks, with_before
 
 
 def token_f1(answers: DataFrame, key: str, given: str, expected: str) -> DataFrame:
@@ -39,11 +40,28 @@ def precision_recall(expected: DataFrame, found: DataFrame, by: str, item: str)
 
 
 def percentiles(df: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, least, median, p90, most), with linear interpolation."""
-    at = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9)))
-    return df.groupBy(by).agg(F.min(value).alias("least"), at.alias("at"), F.max(value).alias("most")).select(
-        by, "least", F.round(F.col("at")[0], 6).alias("median"), F.round(F.col("at")[1], 6).alias("p90"), "most"
-    )
+    """(by, least, median, p90, most), with linear interpolation; exact.
+
+    Values are found by their ranks: equal ones are counted first, and the
+    counts of a group of many values are summed up in many tasks.
+    """
+    weight = F.count(value)  # 0 for null, which keeps a group of nulls
+    counts = df.groupBy(F.col(by).alias("by"), F.col(value).alias("x")).agg(weight.alias("n"))
+    rows = with_before(in_blocks(counts, "by", "x"), "by", ["x"], F.col("n"))
+    sizes = rows.groupBy(F.col("by").alias("_by")).agg(F.sum("n").alias("total"))
+    rows = rows.join(sizes, F.col("by").eqNullSafe(F.col("_by")))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("x")))
+
+    def part(share: float) -> list[Column]:
+        place = (F.col("total") - 1) * share
+        return [at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))]
+
+    shares = {"median": 0.5, "p90": 0.9}
+    found = rows.groupBy("by").agg(F.min("x").alias("least"), F.max("x").alias("most"), *(c.alias(f"{k}{i}") for k, s in shares.items() for i, c in enumerate(part(s))))
+    between = {k: F.round((1 - F.col(f"{k}2")) * F.col(f"{k}0") + F.col(f"{k}2") * F.col(f"{k}1"), 6).alias(k) for k in shares}
+    return found.select(F.col("by").alias(by), "least", between["median"], between["p90"], "most")
 
 
 def arm_winner(scores: DataFrame, arms: list[str]) -> DataFrame:

@@ -5,19 +5,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.registry import RULES
+from graphloom.sources.storage import cut
 from graphloom.sources.tables import layer_of
 
 LISTED = 20
 
 
-def minimum_connections(nodes: DataFrame, edges: DataFrame, entity_type: str, rel_type: str, direction: str, min_count: int) -> DataFrame:
+def degree_table(edges: DataFrame) -> DataFrame:
+    """(node_id, node_type, rel_type, direction, n, doubted): the number of a node's edges and of the AMBIGUOUS among them.
+
+    One pass over the edges answers all rules that count them.
+    """
+
+    def end(name: str, direction: str) -> Column:
+        return F.struct(F.col(f"{name}_id").alias("node_id"), F.col(f"{name}_type").alias("node_type"), F.lit(direction).alias("direction"))
+
+    ends = edges.select("rel_type", "confidence", F.explode(F.array(end("source", "outgoing"), end("target", "incoming"))).alias("end"))
+    doubt = F.coalesce("confidence", F.lit("EXTRACTED")) == "AMBIGUOUS"
+    return ends.groupBy("end.node_id", "end.node_type", "rel_type", "end.direction").agg(F.count(F.lit(1)).alias("n"), F.count_if(doubt).alias("doubted"))
+
+
+def minimum_connections(nodes: DataFrame, degrees: DataFrame, entity_type: str, rel_type: str, direction: str, min_count: int) -> DataFrame:
     """(node_id): nodes of a type with fewer than ``min_count`` edges of a relation in a direction."""
-    end = "source_id" if direction == "outgoing" else "target_id"
-    counts = edges.where(F.col("rel_type") == rel_type).groupBy(F.col(end).alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    mine = degrees.where((F.col("rel_type") == rel_type) & (F.col("direction") == direction))
+    counts = mine.groupBy("node_id").agg(F.sum("n").alias("n"))
     return nodes.where(F.col("node_type") == entity_type).join(counts, "node_id", "left").where(F.coalesce("n", F.lit(0)) < min_count).select("node_id")
 
 
@@ -27,23 +42,21 @@ def forbidden_edges(edges: DataFrame, source_type: str, target_type: str, rel_ty
     return edges.where(hit).select("source_id", "target_id")
 
 
-def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def orphans(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
     """(node_id): nodes on no edge."""
-    ends = edges.select(F.col("source_id").alias("node_id")).unionAll(edges.select("target_id"))
-    return nodes.join(ends, "node_id", "left_anti").select("node_id")
+    return nodes.join(degrees, "node_id", "left_anti").select("node_id")
 
 
-def ambiguous_only(edges: DataFrame) -> DataFrame:
+def ambiguous_only(degrees: DataFrame) -> DataFrame:
     """(node_id): nodes all of whose edges are AMBIGUOUS."""
-    doubt = (F.coalesce("confidence", F.lit("EXTRACTED")) == "AMBIGUOUS").alias("doubt")
-    ends = edges.select(F.col("source_id").alias("node_id"), doubt).unionAll(edges.select("target_id", doubt))
-    return ends.groupBy("node_id").agg(F.bool_and("doubt").alias("all")).where("all").select("node_id")
+    sums = degrees.groupBy("node_id").agg(F.sum("n").alias("n"), F.sum("doubted").alias("doubted"))
+    return sums.where("n = doubted").select("node_id")
 
 
-def high_fan_in(edges: DataFrame, entity_type: str, rel_type: str, threshold: int) -> DataFrame:
+def high_fan_in(degrees: DataFrame, entity_type: str, rel_type: str, threshold: int) -> DataFrame:
     """(node_id, n): nodes of a type with more than ``threshold`` incoming edges of a relation."""
-    chosen = edges.where((F.col("rel_type") == rel_type) & (F.col("target_type") == entity_type))
-    return chosen.groupBy(F.col("target_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
+    chosen = degrees.where((F.col("rel_type") == rel_type) & (F.col("node_type") == entity_type) & (F.col("direction") == "incoming"))
+    return chosen.groupBy("node_id").agg(F.sum("n").alias("n")).where(F.col("n") > threshold)
 
 
 def min_entities_per_doc(docs: DataFrame, mentions: DataFrame, min_count: int) -> DataFrame:
@@ -72,19 +85,19 @@ def unreachable(edges: DataFrame, nodes: DataFrame, start_type: str, entity_type
     return nodes.where(F.col("node_type") == entity_type).join(reduce(DataFrame.unionAll, found), "node_id", "left_anti").select("node_id")
 
 
-def violations(rule: dict, nodes: DataFrame, edges: DataFrame, docs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(rule_id, severity, item): what breaks one rule."""
+def violations(rule: dict, nodes: DataFrame, edges: DataFrame, docs: DataFrame, mentions: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(rule_id, severity, item): what breaks one rule; ``degrees`` is the ``degree_table`` of the edges."""
     kind = rule["type"]
     if kind == "minimum_connections":
-        found = minimum_connections(nodes, edges, rule["entity_type"], rule["rel_type"], rule["direction"], rule["min_count"]).select("node_id")
+        found = minimum_connections(nodes, degrees, rule["entity_type"], rule["rel_type"], rule["direction"], rule["min_count"]).select("node_id")
     elif kind == "forbidden_edge":
         found = forbidden_edges(edges, rule["source_type"], rule["target_type"], rule["rel_type"]).select(F.concat_ws("->", "source_id", "target_id"))
     elif kind == "no_orphans":
-        found = orphans(nodes, edges)
+        found = orphans(nodes, degrees)
     elif kind == "ambiguous_only":
-        found = ambiguous_only(edges)
+        found = ambiguous_only(degrees)
     elif kind == "high_fan_in":
-        found = high_fan_in(edges, rule["entity_type"], rule["rel_type"], rule["threshold"]).select("node_id")
+        found = high_fan_in(degrees, rule["entity_type"], rule["rel_type"], rule["threshold"]).select("node_id")
     elif kind == "min_entities_per_doc":
         found = min_entities_per_doc(docs, mentions, rule["min_count"]).select(F.col("doc_id").cast("string"))
     elif kind == "layer_coverage":
@@ -98,7 +111,8 @@ def violations(rule: dict, nodes: DataFrame, edges: DataFrame, docs: DataFrame,
 
 def conformance(nodes: DataFrame, edges: DataFrame, docs: DataFrame, mentions: DataFrame, rules: Sequence[dict] = RULES) -> DataFrame:
     """(rule_id, severity, n_violations, status): one row per rule; a rule without violations has passed."""
-    found = reduce(DataFrame.unionByName, (violations(r, nodes, edges, docs, mentions) for r in rules))
+    degrees = cut(degree_table(edges))
+    found = reduce(DataFrame.unionByName, (violations(r, nodes, edges, docs, mentions, degrees) for r in rules))
     counts = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
     named = nodes.sparkSession.createDataFrame([(r["rule_id"], r["severity"]) for r in rules], "rule_id string, severity string")
     n = F.coalesce("n", F.lit(0))

@@ -135,7 +135,7 @@ def doc_lineage(spark, sf):
 
 
 def rule_min_connections(spark, sf):
-    return rules.minimum_connections(nodes(spark, sf), edges(spark, sf), "BusinessProcess", "Serving", "incoming", 3)
+    return rules.minimum_connections(nodes(spark, sf), rules.degree_table(edges(spark, sf)), "BusinessProcess", "Serving", "incoming", 3)
 
 
 def rule_forbidden_edge(spark, sf):
@@ -144,15 +144,15 @@ def rule_forbidden_edge(spark, sf):
 
 def rule_orphans(spark, sf):
     kept = ~((F.col("rel_type") == "Access") & (F.substring("target_id", 5, 99).cast("bigint") % 7 == 0))
-    return rules.orphans(nodes(spark, sf), edges(spark, sf).where(kept))
+    return rules.orphans(nodes(spark, sf), rules.degree_table(edges(spark, sf).where(kept)))
 
 
 def rule_ambiguous_only(spark, sf):
-    return rules.ambiguous_only(edges(spark, sf).where("rel_type IN ('Serving', 'Access')"))
+    return rules.ambiguous_only(rules.degree_table(edges(spark, sf).where("rel_type IN ('Serving', 'Access')")))
 
 
 def rule_high_fan_in(spark, sf):
-    return rules.high_fan_in(edges(spark, sf), "DataObject", "Access", 30)
+    return rules.high_fan_in(rules.degree_table(edges(spark, sf)), "DataObject", "Access", 30)
 
 
 def rule_min_entities_per_doc(spark, sf):

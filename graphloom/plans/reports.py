@@ -231,7 +231,7 @@ UNION ALL SELECT 2, name || ': ' || degree FROM h UNION ALL SELECT 3, rel_type |
     "event_fold_latest": sql(
         """SELECT job_id, file_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events, round(sum(value), 4) AS total FROM progress GROUP BY 1, 2""", "progress"),
     "event_dedup": sql("SELECT job_id, count(*) AS n FROM (SELECT DISTINCT job_id, event_id, ts FROM progress) GROUP BY 1", "progress"),
-    "event_sequence": sql("SELECT job_id, event_id, (row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id))::INT AS seq FROM progress", "progress"),
+    "event_sequence": sql("SELECT job_id, event_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS seq FROM progress", "progress"),
     "event_session_windows": sql(
         """, g AS (SELECT job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM progress),
 k AS (SELECT job_id, ts, sum(new) OVER (PARTITION BY job_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM g)

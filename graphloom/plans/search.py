@@ -110,7 +110,7 @@ def reconcile_entities(spark, sf):
     new = v.where("vec_id % 2 = 1").select("vec_id", "label", F.col("embedding").alias("a"), F.concat(F.lit("Name-"), F.col("vec_id") * 3 + 1).alias("name"))
     old = v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("old_id"), "label", F.col("embedding").alias("b"), F.concat(F.lit("name-"), F.col("vec_id")).alias("old_name"))
     exact = new.join(old, (new["label"] == old["label"]) & (F.lower("name") == F.lower("old_name"))).select("vec_id", "old_id", F.lit("exact").alias("how"))
-    rest = new.join(exact, "vec_id", "left_anti").join(old, "label")
+    rest = vectors.tiled_pairs(new.join(exact, "vec_id", "left_anti"), old, "vec_id", "old_id", ("label",))
     far = rest.withColumn("distance", F.round(1 - vectors.dot(F.col("a"), F.col("b")), 6)).where("distance < 0.15")
     order = Window.partitionBy("vec_id").orderBy("distance", "old_id")
     near = far.withColumn("n", F.row_number().over(order)).where("n = 1").select("vec_id", "old_id", F.lit("near").alias("how"))

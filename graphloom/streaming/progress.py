@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.ordered import in_blocks, with_before, with_blocks
+
 RING = 500
 
 
@@ -18,8 +20,9 @@ def _watermarked(events: DataFrame, late: str) -> DataFrame:
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """Events with a gap-free number within their job."""
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_id")))
+    """Events with a gap-free number within their job; a job of many events is numbered in many tasks."""
+    rows = with_before(in_blocks(events, "job_id", "ts", "event_id"), "job_id", ["ts", "event_id"], F.lit(1))
+    return rows.withColumn("seq", F.col("before") + 1).drop("before", "block")
 
 
 def ring_buffer(events: DataFrame, keep: int = RING) -> DataFrame:
@@ -42,11 +45,28 @@ def windowed(events: DataFrame, width: str = "1 day", late: str = "2 days") -> D
 
 
 def sessions(events: DataFrame, gap: str = "2 hours", late: str = "2 days") -> DataFrame:
-    """(job_id, start, n_events): runs of a job's events with pauses below ``gap``."""
+    """(job_id, start, n_events): runs of a job's events with pauses below ``gap``; events without a time are in none.
+
+    A batch splits jobs of many events over tasks; a stream keeps open sessions as state.
+    """
+    if not events.isStreaming:
+        return _batch_sessions(events.where(F.col("ts").isNotNull()), gap)
     counts = _watermarked(events, late).groupBy("job_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n_events"))
     return counts.select("job_id", F.col("session_window.start").alias("start"), "n_events")
 
 
+def _batch_sessions(events: DataFrame, gap: str) -> DataFrame:
+    blocked = in_blocks(events.groupBy("job_id", "ts").agg(F.count(F.lit(1)).alias("n")), "job_id", "ts")
+    ends = blocked.groupBy("job_id", "block").agg(F.max("ts").alias("end"))
+    ends = ends.select("job_id", "block", F.lag("end").over(Window.partitionBy("job_id").orderBy("block")).alias("end_before"))
+    last = F.coalesce(F.lag("ts").over(Window.partitionBy("job_id", "block").orderBy("ts")), F.col("end_before"))
+    opens = with_blocks(blocked, ends, "job_id").withColumn("last", last)
+    opens = opens.withColumn("opens", F.when(F.col("ts") < F.col("last") + F.expr(f"INTERVAL {gap}"), 0).otherwise(1))
+    number = (F.col("before") + F.col("opens")).alias("number")
+    rows = with_before(opens, "job_id", ["ts"], F.col("opens")).select("job_id", "ts", "n", number)
+    return rows.groupBy("job_id", "number").agg(F.min("ts").alias("start"), F.sum("n").alias("n_events")).drop("number")
+
+
 def distinct_events(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Each event of a job once, also where it is delivered again."""
     return _watermarked(events, late).dropDuplicates(["job_id", "event_id", "ts"])
