@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 10_000
 TILE_ROWS = 10_000
+# Fixed value: the least number that points are divided by.
+LEAST_SCALE = 1e-6
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -70,14 +74,35 @@ def mean_vector(vectors: DataFrame, key: str, column: str = "embedding") -> Data
     return vectors.select(key, F.posexplode(column).alias("pos", "x")).groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def principal_axes(vectors: DataFrame, k: int = 3, column: str = "embedding") -> DataFrame:
-    """(vec_id, axis_1, ...): places along the first principal axes; each axis points to where its weights sum up positive."""
+def fitted_axes(vectors: DataFrame, k: int = 3, column: str = "embedding") -> Callable[[DataFrame], DataFrame]:
+    """A function to places along the vectors' first principal axes; each axis points to where its weights sum up positive.
+
+    It maps any table (vec_id, ``column``), such as one of queries, to (vec_id, axis_1, ...).
+    """
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    x = vectors.select("vec_id", array_to_vector(F.transform(column, lambda v: v.cast("double"))).alias("raw"))
-    centred = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=False).fit(x).transform(x)
-    model = PCA(k=k, inputCol="x", outputCol="y").fit(centred)
+    def raw(df: DataFrame) -> DataFrame:
+        return df.select("vec_id", array_to_vector(F.transform(column, lambda v: v.cast("double"))).alias("raw"))
+
+    centre = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=False).fit(raw(vectors))
+    model = PCA(k=k, inputCol="x", outputCol="y").fit(centre.transform(raw(vectors)))
     signs = [1.0 if s >= 0 else -1.0 for s in model.pc.toArray().sum(axis=0)]
     y = vector_to_array("y")
-    return model.transform(centred).select("vec_id", *(F.round(y[i] * signs[i], 4).alias(f"axis_{i + 1}") for i in range(k)))
+
+    def place(df: DataFrame) -> DataFrame:
+        return model.transform(centre.transform(raw(df))).select("vec_id", *(F.round(y[i] * signs[i], 4).alias(f"axis_{i + 1}") for i in range(k)))
+
+    return place
+
+
+def principal_axes(vectors: DataFrame, k: int = 3, column: str = "embedding") -> DataFrame:
+    """(vec_id, axis_1, ...): places of the vectors along their own first principal axes."""
+    return fitted_axes(vectors, k, column)(vectors)
+
+
+def scaled(points: DataFrame, *columns: str) -> DataFrame:
+    """Points with all ``columns`` divided by the largest absolute number in any of them, which is a column ``scale``."""
+    most = F.max(F.greatest(*(F.abs(c) for c in columns), F.lit(LEAST_SCALE)))
+    one = points.agg(F.coalesce(most, F.lit(1.0)).alias("scale"))  # one row
+    return points.crossJoin(F.broadcast(one)).withColumns({c: F.col(c) / F.col("scale") for c in columns})

@@ -49,6 +49,21 @@ def declarations(files: DataFrame, path: str = "path", text: str = "text") -> Da
     return rows.select(path, "position", "name", F.concat_ws(".", stem(F.col(path)), "name").alias("qualified_name"))
 
 
+def image_chunks(chunks: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, chunk_text, page, image_uri): a document's images as chunks after those of its text.
+
+    ``images`` has (doc_id, position, page, image_uri, caption); an image
+    without a caption tells its page only. A document without text starts at 0.
+    """
+    used = chunks.groupBy("doc_id").agg((F.max("chunk_index") + 1).alias("used"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("position")) - 1
+    caption = F.nullif(F.trim("caption"), F.lit(""))
+    said = F.concat_ws(" ", F.concat(F.lit("[Image from page "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit("]")), caption)
+    return images.withColumn("place", place).join(used, "doc_id", "left").select(
+        "doc_id", (F.coalesce("used", F.lit(0)) + F.col("place")).alias("chunk_index"), said.alias("chunk_text"), "page", "image_uri"
+    )
+
+
 _NAME = r"[`\"\[]?(?:\w+[`\"\]]?\.[`\"\[]?)*(\w+)"
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, rules
-from graphloom.registry import LAYERS, LAYER_RANK, RULES
-from graphloom.sources.tables import documents, edges, layer_of, nodes
+from graphloom.operators import brief, graph, rules
+from graphloom.registry import LAYERS, LAYER_RANK, NODE_TYPES, RELATIONS, RULES
+from graphloom.sources.tables import chunks, documents, edges, layer_of, nodes
 
 from .views import sql
 
@@ -179,10 +179,52 @@ def conformance_summary(spark, sf):
     return rules.conformance(nodes(spark, sf), edges(spark, sf), documents(spark, sf), _mentions(spark, sf))
 
 
+def knowledge_brief(spark, sf):
+    """The whole brief: counts, hubs, types, relations, connections, gaps, rules and documents."""
+    return brief.brief(nodes(spark, sf), edges(spark, sf), documents(spark, sf), chunks(spark, sf), _mentions(spark, sf))
+
+
 def _rank_names(rows: str) -> str:
     return f"(VALUES {rows})"
 
 
+_CHECKS = """, s AS (SELECT source_id, count(*) AS n FROM edges WHERE rel_type = 'Serving' GROUP BY 1),
+t AS (SELECT target_id, rel_type, count(*) AS n FROM edges GROUP BY 1, 2),
+v AS (
+  SELECT 'ARCH-001' AS rule_id, 'warning' AS severity, count(*) AS n FROM nodes WHERE node_type = 'ApplicationComponent' AND node_id NOT IN (SELECT source_id FROM s)
+  UNION ALL SELECT 'ARCH-002', 'error', count(*) FROM edges WHERE source_type = 'SystemSoftware' AND target_type = 'BusinessProcess' AND rel_type = 'Serving'
+  UNION ALL SELECT 'ARCH-003', 'warning', count(*) FROM nodes WHERE node_type = 'BusinessProcess' AND node_id NOT IN (SELECT target_id FROM t WHERE rel_type = 'Serving')
+  UNION ALL SELECT 'ARCH-004', 'warning', count(*) FROM nodes WHERE node_type = 'DataObject' AND node_id NOT IN (SELECT target_id FROM t WHERE rel_type = 'Access')
+  UNION ALL SELECT 'QUAL-001', 'warning', count(*) FROM nodes WHERE node_id NOT IN (SELECT node_id FROM ways)
+  UNION ALL SELECT 'QUAL-002', 'info', count(*) FROM (SELECT node_id FROM ways GROUP BY 1 HAVING bool_and(coalesce(confidence, 'EXTRACTED') = 'AMBIGUOUS'))
+  UNION ALL SELECT 'QUAL-003', 'info', count(*) FROM t WHERE rel_type = 'Access' AND n > 3
+  UNION ALL SELECT 'COMP-001', 'warning', count(*) FROM (SELECT doc_id FROM documents LEFT JOIN mentions USING (doc_id) GROUP BY 1 HAVING count(DISTINCT node_id) < 5)
+  UNION ALL SELECT 'COMP-002', 'error', 2
+  UNION ALL SELECT 'DG-001', 'warning', count(*) FROM t WHERE rel_type = 'Access' AND n > 3)"""
+_BRIEF = f""",
+r AS (SELECT rule_id, severity, n, CASE WHEN n = 0 THEN 'passed' ELSE severity END AS status FROM v),
+e AS (SELECT count(*) AS n, count_if(confidence = 'EXTRACTED') AS x, count_if(confidence = 'INFERRED') AS i, count_if(confidence = 'AMBIGUOUS') AS a, count_if(confidence IS NULL) AS u FROM edges),
+d AS (SELECT node_id, count(*) AS degree FROM (SELECT source_id AS node_id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY 1),
+h AS (SELECT node_id, node_type, name, degree, row_number() OVER (ORDER BY degree DESC, node_id) AS rank FROM d JOIN nodes USING (node_id) QUALIFY rank <= 15),
+few AS (SELECT h.name, h.rank, edges.* FROM edges JOIN h ON source_id = node_id WHERE rank <= 5 QUALIFY row_number() OVER (PARTITION BY source_id, rel_type ORDER BY target_id) <= 3),
+placed AS (SELECT *, row_number() OVER (ORDER BY rank, rel_type, target_id) AS place FROM few QUALIFY place <= 20),
+met AS (SELECT doc_id, count(*) AS n FROM mentions GROUP BY 1)
+SELECT 'overview' AS section, 1::BIGINT AS ord, count(*) || ' entities across ' || count(DISTINCT node_type) || ' types' AS line FROM nodes
+UNION ALL SELECT 'overview', 2, n || ' relationships (' || round(100 * x / n)::BIGINT || '% EXTRACTED, ' || round(100 * i / n)::BIGINT || '% INFERRED, ' || round(100 * a / n)::BIGINT || '% AMBIGUOUS)' FROM e
+UNION ALL SELECT 'overview', 3, (SELECT count(*) FROM documents) || ' source documents, ' || (SELECT count(*) FROM chunks) || ' chunks'
+UNION ALL SELECT 'hubs', rank, name || ' (' || node_type || '), ' || degree || ' connections' FROM h
+UNION ALL SELECT 'node types', row_number() OVER (ORDER BY count(*) DESC, node_type), node_type || ' [' || {_LAYER_CASE.format("node_type").replace("'Other'", "''")} || ']: ' || count(*) FROM nodes GROUP BY node_type
+UNION ALL SELECT 'relations', row_number() OVER (ORDER BY count(*) DESC, rel_type), rel_type || ': ' || count(*) FROM edges GROUP BY rel_type
+UNION ALL SELECT 'connections', place, name || ' (' || source_type || ') -[' || rel_type || ', ' || coalesce(confidence, 'EXTRACTED') || ']-> (' || target_type || ')' FROM placed
+UNION ALL SELECT 'gaps', 1, round(100 * a / n)::BIGINT || '% of edges are AMBIGUOUS' FROM e WHERE a * 100 > n * 5
+UNION ALL SELECT 'gaps', 2, round(100 * u / n)::BIGINT || '% of edges have no label' FROM e WHERE u * 100 > n * 10
+UNION ALL SELECT 'gaps', 3, 'No entities of ' || string_agg(x, ', ' ORDER BY x) FROM (SELECT unnest({list(NODE_TYPES)}) AS x) WHERE x NOT IN (SELECT node_type FROM nodes) HAVING count(*) > 0
+UNION ALL SELECT 'gaps', 4, 'No edges of ' || string_agg(x, ', ' ORDER BY x) FROM (SELECT unnest({list(RELATIONS)}) AS x) WHERE x NOT IN (SELECT rel_type FROM edges) HAVING count(*) > 0
+UNION ALL SELECT 'conformance', 0, count_if(status = 'passed') || '/' || count(*) || ' passed, ' || count_if(status = 'warning') || ' warnings, ' || count_if(status = 'error') || ' errors' FROM r
+UNION ALL SELECT 'conformance', row_number() OVER (ORDER BY rule_id), rule_id || ' [' || CASE WHEN n = 0 THEN 'PASS' ELSE upper(severity) || ', ' || n || ' violations' END || ']' FROM r
+UNION ALL SELECT 'documents', doc_id, 'doc-' || doc_id || ': ' || coalesce(n, 0) FROM documents LEFT JOIN met USING (doc_id)"""
+
+
 SQL = {
     "god_nodes": sql(
         """, d AS (SELECT node_id, count(*) AS degree FROM (SELECT source_id AS node_id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY 1)
@@ -259,20 +301,9 @@ SELECT node_id FROM nodes ANTI JOIN (SELECT source_id AS node_id FROM e UNION SE
 two AS (SELECT target_id FROM edges JOIN one ON node_id = source_id)
 SELECT node_id FROM nodes WHERE node_type = 'DataObject' AND node_id NOT IN (FROM one) AND node_id NOT IN (FROM two)""", "nodes", "edges"),
     "rule_allowed_patterns": sql("SELECT rel_type, source_id, target_id FROM edges WHERE rel_type NOT IN ('Serving', 'Access', 'Assignment')", "edges"),
+    "knowledge_brief": sql(_MENTIONS + _CHECKS + _BRIEF, "nodes", "ways", "chunks"),
     "conformance_summary": sql(
-        _MENTIONS + """, s AS (SELECT source_id, count(*) AS n FROM edges WHERE rel_type = 'Serving' GROUP BY 1),
-t AS (SELECT target_id, rel_type, count(*) AS n FROM edges GROUP BY 1, 2),
-v AS (
-  SELECT 'ARCH-001' AS rule_id, 'warning' AS severity, count(*) AS n FROM nodes WHERE node_type = 'ApplicationComponent' AND node_id NOT IN (SELECT source_id FROM s)
-  UNION ALL SELECT 'ARCH-002', 'error', count(*) FROM edges WHERE source_type = 'SystemSoftware' AND target_type = 'BusinessProcess' AND rel_type = 'Serving'
-  UNION ALL SELECT 'ARCH-003', 'warning', count(*) FROM nodes WHERE node_type = 'BusinessProcess' AND node_id NOT IN (SELECT target_id FROM t WHERE rel_type = 'Serving')
-  UNION ALL SELECT 'ARCH-004', 'warning', count(*) FROM nodes WHERE node_type = 'DataObject' AND node_id NOT IN (SELECT target_id FROM t WHERE rel_type = 'Access')
-  UNION ALL SELECT 'QUAL-001', 'warning', count(*) FROM nodes WHERE node_id NOT IN (SELECT node_id FROM ways)
-  UNION ALL SELECT 'QUAL-002', 'info', count(*) FROM (SELECT node_id FROM ways GROUP BY 1 HAVING bool_and(coalesce(confidence, 'EXTRACTED') = 'AMBIGUOUS'))
-  UNION ALL SELECT 'QUAL-003', 'info', count(*) FROM t WHERE rel_type = 'Access' AND n > 3
-  UNION ALL SELECT 'COMP-001', 'warning', count(*) FROM (SELECT doc_id FROM documents LEFT JOIN mentions USING (doc_id) GROUP BY 1 HAVING count(DISTINCT node_id) < 5)
-  UNION ALL SELECT 'COMP-002', 'error', 2
-  UNION ALL SELECT 'DG-001', 'warning', count(*) FROM t WHERE rel_type = 'Access' AND n > 3)
+        _MENTIONS + _CHECKS + """
 SELECT rule_id, severity, n AS n_violations, CASE WHEN n = 0 THEN 'passed' ELSE severity END AS status FROM v""", "nodes", "ways"),
 }
 

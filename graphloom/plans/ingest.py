@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import ingest
-from graphloom.sources.tables import documents, table
+from graphloom.sources.tables import chunks, documents, table
+
+from .views import sql
 
 
 def source_chunks(spark, sf):
     return ingest.source_chunks(documents(spark, sf))
 
 
+def image_chunks(spark, sf):
+    """Up to two images of each document, every fourth document's without captions, after its chunks."""
+    d = documents(spark, sf)
+    images = d.select("doc_id", F.explode(F.expr("slice(array(1L, 2L), 1, int(doc_id % 3))")).alias("position"), "source")
+    images = images.select(
+        "doc_id", "position", (F.col("position") * 2).alias("page"), F.concat_ws("/", F.lit("img"), "doc_id", "position").alias("image_uri"),
+        F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("caption"),
+    )
+    return ingest.image_chunks(chunks(spark, sf), images)
+
+
 def _entries(spark, sf):
     """Parts as catalogue entries of several types, some without names."""
     p = table(spark, sf, "part")
@@ -48,6 +61,10 @@ SQL = {
 n AS (SELECT doc_id, chunk_text, (row_number() OVER (PARTITION BY doc_id ORDER BY p0) - 1)::INT AS chunk_index FROM p WHERE regexp_matches(chunk_text, '\S'))
 SELECT doc_id, chunk_index, md5(doc_id || ':c' || chunk_index) AS chunk_id, chunk_text FROM n""",
     "glossary_pull": """SELECT 't:' || a.p_partkey AS source_id, 't:' || b.p_partkey AS target_id FROM part a JOIN part b ON b.p_partkey IN (a.p_partkey + 1, a.p_partkey + 7)""",
+    "image_chunks": sql(
+        """, u AS (SELECT doc_id, max(chunk_index) + 1 AS used FROM chunks GROUP BY 1)
+SELECT doc_id, coalesce(used, 0) + p - 1 AS chunk_index, '[Image from page ' || (2 * p) || ']' || CASE WHEN doc_id % 4 <> 0 AND trim(source) <> '' THEN ' ' || trim(source) ELSE '' END AS chunk_text,
+  2 * p AS page, 'img/' || doc_id || '/' || p AS image_uri FROM documents LEFT JOIN u USING (doc_id), (VALUES (1), (2)) AS t(p) WHERE p <= doc_id % 3""", "chunks"),
     "gain_pruning": """WITH g AS (SELECT event_id % 97 AS query_id, event_id AS chunk_id, value / 1000 - 0.02::DOUBLE AS gain FROM events),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, chunk_id))::INT AS rank, max(gain) OVER q AS top, count(*) OVER q AS n_all FROM g WINDOW q AS (PARTITION BY query_id)),
 k AS (SELECT *, count(*) FILTER (gain >= greatest(0.05::DOUBLE, top * 0.3::DOUBLE)) OVER (PARTITION BY query_id) AS n_enough FROM r)

@@ -126,6 +126,18 @@ def pca_projection(spark, sf):
     return vectors.principal_axes(_vectors(spark, sf))
 
 
+def query_projection(spark, sf):
+    """The stated queries in the space fitted to all vectors."""
+    v = _vectors(spark, sf)
+    return vectors.fitted_axes(v)(v.where("vec_id % 100 = 0"))
+
+
+def scatter_scaled(spark, sf):
+    """The first three numbers of each vector, scaled for a plot."""
+    points = _vectors(spark, sf).select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
+    return vectors.scaled(points, *"xyz").select("vec_id", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
 def _seen(spark, sf):
     """The chunks that the asking tenant may see: its own and those of shared sets."""
     mine = retrieval.scoped(documents(spark, sf), retrieval.Scope("tenant_a", ("__shared__:alpha",))).select("doc_id")
@@ -228,6 +240,9 @@ SELECT vec_id, coalesce(x.old_id, f.old_id) AS old_id, CASE WHEN x.old_id IS NOT
 FROM v LEFT JOIN x USING (vec_id) LEFT JOIN f USING (vec_id) WHERE vec_id % 2 = 1""",
     "mean_embedding": """SELECT label, pos, round(avg(x), 6) AS mean FROM (
   SELECT label, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INT AS pos FROM embeddings) GROUP BY ALL""",
+    "scatter_scaled": """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+s AS (SELECT max(greatest(abs(x), abs(y), abs(z), 1e-6)) AS scale FROM p)
+SELECT vec_id, round(x / scale, 6) AS x, round(y / scale, 6) AS y, round(z / scale, 6) AS z FROM p, s""",
     "keyword_search": sql(_QUESTIONS + "SELECT * FROM kw", "chunks", "docs"),
     "hybrid_search": sql(
         _QUESTIONS + _NAMES + """, u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -255,4 +270,4 @@ SELECT source_id, label, (sum(length(label)) OVER (PARTITION BY source_id ORDER
         "nodes", "edges"),
 } | {f"tenant_scope_{m}": sql(f"SELECT doc_id, title, tenant_id FROM docs WHERE tenant_id IN {x}", "docs") for m, x in _SCOPES.items()}
 
-QUERIES = {n: globals()[n] for n in [*SQL, "semantic_chunks", "pca_projection"] if n in globals()} | {f"tenant_scope_{m}": _scope(m) for m in _SCOPES}
+QUERIES = {n: globals()[n] for n in [*SQL, "semantic_chunks", "pca_projection", "query_projection"] if n in globals()} | {f"tenant_scope_{m}": _scope(m) for m in _SCOPES}

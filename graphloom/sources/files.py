@@ -38,3 +38,18 @@ def walk(spark: SparkSession, root: str, include: tuple[str, ...] = ("**/*",), e
 def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The objects of JSON files, each an array of them or one of its own."""
     return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
+RULE_FIELDS = "rule_id string, severity string, type string, entity_type string, source_type string, target_type string, rel_type string, direction string, min_count int, threshold int, required_layers array<string>"
+
+
+def conformance_rules(spark: SparkSession, path: str) -> list[dict]:
+    """Rules from JSON files, in the order of their ids, each with the fields that it has; an id that repeats or lacks is an error.
+
+    Rules shape the plan, so they are read while it is built; they are written by hand and few.
+    """
+    found = [{k: v for k, v in r.asDict().items() if v is not None} for r in json_table(spark, path, RULE_FIELDS).orderBy("rule_id").collect()]
+    ids = [r.get("rule_id") for r in found]
+    if None in ids or len(set(ids)) < len(ids):
+        raise ValueError(f"rules of {path} need ids of their own, found {ids}")
+    return found

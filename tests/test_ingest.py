@@ -58,3 +58,30 @@ def test_uncertainty(spark):
     p = 1 / (1 + math.exp(-1))
     want = [math.log(2) / 2 / math.log(5), 0.5, 0.5, -(p * math.log(p) + (1 - p) * math.log(1 - p)) / math.log(5)]
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_rules_of_a_file_run_like_the_fixed_ones(spark, tmp_path):
+    from graphloom.operators import rules
+    from graphloom.registry import RULES
+    from graphloom.sources.files import conformance_rules
+
+    (tmp_path / "rules.json").write_text(json.dumps(RULES))
+    read = conformance_rules(spark, str(tmp_path / "rules.json"))
+    assert read == sorted(RULES, key=lambda r: r["rule_id"])
+    nodes = spark.createDataFrame([("a", "DataObject", "A")], "node_id string, node_type string, name string")
+    edges = spark.createDataFrame([], "source_id string, source_type string, target_id string, target_type string, rel_type string, confidence string")
+    docs, met = spark.createDataFrame([(1,)], "doc_id long"), spark.createDataFrame([], "doc_id long, node_id string")
+    got = {r.rule_id: r.n_violations for r in rules.conformance(nodes, edges, docs, met, read).collect()}
+    assert got == {r["rule_id"]: 0 for r in RULES} | {"ARCH-004": 1, "QUAL-001": 1, "COMP-001": 1, "COMP-002": 3}
+    (tmp_path / "twice.json").write_text(json.dumps(RULES[:1] * 2))
+    with pytest.raises(ValueError):
+        conformance_rules(spark, str(tmp_path / "twice.json"))
+
+
+def test_images_follow_the_text(spark):
+    from graphloom.operators.ingest import image_chunks
+
+    chunks = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, chunk_index int")
+    images = spark.createDataFrame([(1, 5, 2, "u", " a cat "), (1, 3, None, "v", ""), (2, 1, 1, None, None)], "doc_id long, position int, page int, image_uri string, caption string")
+    got = sorted((r.doc_id, r.chunk_index, r.chunk_text) for r in image_chunks(chunks, images).collect())
+    assert got == [(1, 2, "[Image from page ?]"), (1, 3, "[Image from page 2] a cat"), (2, 0, "[Image from page 1]")]

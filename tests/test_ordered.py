@@ -90,3 +90,17 @@ def test_degree_table_counts_loops_at_both_ends(spark):
     assert {tuple(r) for r in d.collect()} == {("a", "T", "r", "outgoing", 2, 1), ("a", "T", "r", "incoming", 1, 1), ("b", "U", "r", "incoming", 1, 0), ("c", "T", "s", "outgoing", 1, 1), ("b", "U", "s", "incoming", 1, 1)}
     assert [r[0] for r in rules.ambiguous_only(d).collect()] == ["c"]
     assert [tuple(r) for r in rules.high_fan_in(d, "U", "r", 0).collect()] == [("b", 1)]
+
+
+def test_queries_are_placed_as_in_the_fit(spark, sf_dir):
+    from graphloom.plans import search
+
+    every = {r.vec_id: tuple(r) for r in search.pca_projection(spark, sf_dir).collect()}
+    asked = search.query_projection(spark, sf_dir).collect()
+    assert asked and all(tuple(r) == every[r.vec_id] for r in asked)
+
+
+def test_scaled_points(spark):
+    df = spark.createDataFrame([(1, 2.0, -4.0), (2, 1.0, None)], "id int, x double, y double")
+    assert sorted(map(tuple, vectors.scaled(df, "x", "y").collect())) == [(1, 0.5, -1.0, 4.0), (2, 0.25, None, 4.0)]
+    assert vectors.scaled(df.limit(0), "x", "y").count() == 0
