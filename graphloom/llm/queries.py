@@ -86,7 +86,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+    pages = f"{_PATHS} UNION ALL SELECT 'page:' || page_id, coalesce(html, '') FROM pages"
+    return {
+        "op1_substring_dedup": OP1_SQL,
+        "op2_exact_dedup": OP2_SQL,
+        "op8_secret_scan": OP8_SQL.format(key="doc_id", versions="SELECT doc_id, coalesce(text, '') AS t FROM documents"),
+        "secret_rescan": OP8_SQL.format(key="path", versions=pages),
+    }
 
 
 OP1_SQL = r"""
@@ -114,3 +120,32 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY t)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t
 """
+
+_PATHS = "SELECT 'doc:' || doc_id AS path, coalesce(text, '') AS t FROM documents"
+
+# Positions are running sums of the texts between matches and of the matches. Letters of either case are listed: SQL's own folding goes beyond ASCII.
+OP8_SQL = r"""
+WITH v AS (SELECT {key}, t, row_number() OVER () AS r FROM ({versions})),
+rules(nth, kind, pattern, grp, least, added) AS (VALUES
+  (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6, false),
+  (1, 'access', '()(AKIA[A-Z0-9]+)', 2, 20, false),
+  (2, 'hex', '()([0-9a-f]+)', 2, 24, false),
+  (3, 'private_key', '()(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 2, 1, true),
+  (4, 'web_token', '()(eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]*)', 2, 1, true),
+  (5, 'hosting_token', '()(gh[pousr]_[A-Za-z0-9]{{36,}})', 2, 1, true),
+  (6, 'chat_token', '()(xox[abprs]-[A-Za-z0-9-]{{10,}})', 2, 1, true)
+), m AS (
+  SELECT r, nth, kind, least, added, regexp_extract_all(t, pattern) AS hits, regexp_extract_all(t, pattern, grp) AS judged, string_split_regex(t, pattern) AS gaps FROM v, rules
+), u AS (
+  SELECT r, nth, kind, least, added, unnest(hits) AS hit, unnest(judged) AS judged, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM m WHERE len(hits) > 0
+), s AS (
+  SELECT *, (sum(length(gap) + length(hit)) OVER (PARTITION BY r, nth ORDER BY i))::BIGINT AS "end" FROM u
+), f AS (
+  SELECT r, nth, kind, added, "end" - length(hit) AS start, kind || ':' || ("end" - length(hit)) || ':' || "end" AS span FROM s WHERE length(judged) >= least
+), g AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY start, nth) FILTER (NOT added) AS base, string_agg(span, ',' ORDER BY start, nth) AS spans FROM f GROUP BY r
+)
+SELECT {key}, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM v LEFT JOIN g USING (r)
+"""
