@@ -22,6 +22,19 @@ GAIN_FLOOR, GAIN_SHARE, GAIN_LEAST, GAIN_MOST = 0.05, 0.3, 3, 10
 DECLARES = ("class", "struct", "interface", "enum", "trait", "object", "module", "fn", "func", "function", "def")
 MODIFIERS = ("export", "public", "private", "protected", "static", "async", "abstract", "final")
 
+# Layers that a glossary keeps a category for, named by the layer in small letters.
+CATEGORY_LAYERS = ("Strategy", "Business", "Application", "Technology", "Motivation")
+
+
+def category_of(layer: Column) -> Column:
+    """The glossary category of a layer, else null."""
+    return F.when(layer.isin(*CATEGORY_LAYERS), F.lower(layer))
+
+
+def layer_of_category(category: Column) -> Column:
+    """The layer that a glossary category stands for, else null."""
+    return F.when(category.isin(*map(str.lower, CATEGORY_LAYERS)), F.initcap(category))
+
 
 def stem(path: Column) -> Column:
     """The file name of a path without its last extension."""

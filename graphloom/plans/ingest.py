@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import ingest
-from graphloom.sources.tables import chunks, documents, table
+from graphloom.operators import code, ingest, writes
+from graphloom.sources.tables import chunks, documents, layer_of, nodes, table
 
 from .views import sql
 
@@ -55,6 +55,49 @@ def gain_pruning(spark, sf):
     return ingest.prune_by_gain(e).select("query_id", "chunk_id", "rank")
 
 
+def _sources(spark, sf):
+    """Nations as Python files with their suppliers as classes, and routes by market segment; every fifth one is broken."""
+    class_line = F.concat(F.lit("class C"), "s_suppkey", F.lit("(C"), F.greatest(F.col("s_suppkey") - 25, F.lit(0)), F.lit("):\n    pass"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.array_join(F.collect_list(class_line), "\n").alias("classes"))
+    name = F.lower("c_mktsegment")
+    route = F.concat(F.lit('@app.get("/'), name, F.lit('")\ndef on_'), name, F.lit("():\n    pass"))
+    r = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.array_join(F.collect_set(route), "\n").alias("routes"))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("src/m"), "n_nationkey", F.lit(".py")).alias("path"))
+    head = F.concat(F.lit("import os, m"), F.col("k") + 1, F.when(F.col("k") % 5 == 0, " =").otherwise(""))
+    return n.join(s, "k", "left").join(r, "k", "left").select("path", F.concat_ws("\n", head, "classes", "routes").alias("text"))
+
+
+def parsed_modules(spark, sf):
+    m = code.python_modules(_sources(spark, sf))
+    return m.select("path", "module_name", F.size("classes").alias("n_classes"), F.size("functions").alias("n_functions"), F.array_join("imports", ",").alias("imports"), "error")
+
+
+def parsed_code_edges(spark, sf):
+    return writes.code_graph(code.python_modules(_sources(spark, sf)).where("error IS NULL"))[1]
+
+
+def file_languages(spark, sf):
+    """Parts as files with extensions in either case."""
+    ends = F.array(*map(F.lit, ("py", "TSX", "md", "txt", "tar.sql", "go")))
+    path = F.concat(F.lit("d.x/f"), "p_partkey", F.lit("."), F.get(ends, (F.col("p_size") % 6).cast("int")))
+    return table(spark, sf, "part").groupBy(code.language_of(path).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def markdown_pages(spark, sf):
+    """Every third text has no title and every fourth no paragraph."""
+    d = documents(spark, sf)
+    title = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("# Page "), "doc_id", F.lit("\n\n"))).otherwise("")
+    body = F.when(F.col("doc_id") % 4 != 0, F.repeat(F.lit("some  words\n"), (F.col("doc_id") % 150).cast("int"))).otherwise("")
+    files = d.select(F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("path"), F.concat(title, F.lit("## part\n\n"), body).alias("text"))
+    return code.markdown_pages(files)
+
+
+def layer_categories(spark, sf):
+    """Nodes by the category of a glossary that their layer is kept in."""
+    n = nodes(spark, sf)
+    return n.groupBy(ingest.category_of(layer_of(F.col("node_type"))).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
 SQL = {
     "source_chunks": r"""WITH p AS (SELECT doc_id, p0, substr(text, p0, 1500) AS chunk_text FROM (
   SELECT doc_id, text, unnest(range(1, length(text) + 1, 1500)) AS p0 FROM documents WHERE text IS NOT NULL)),
@@ -78,5 +121,22 @@ s AS (SELECT *, CASE WHEN entry_name IS NULL THEN 'failed' WHEN known THEN 'impo
 SQL["catalog_import"] = _ENTRIES + """SELECT entry_name, status, CASE WHEN status = 'imported' THEN fqn END AS name,
   CASE WHEN status = 'imported' THEN coalesce(shown, fqn) END AS display_name, CASE WHEN status = 'imported' THEN '' END AS description FROM s"""
 SQL["catalog_import_counts"] = _ENTRIES + "SELECT status, count(*) AS n FROM s GROUP BY 1"
+_CODE = """WITH m AS (SELECT n_nationkey AS k, 'm' || n_nationkey AS module_name FROM nation), g AS (SELECT * FROM m WHERE k % 5 <> 0),
+c AS (SELECT k, module_name, module_name || '.C' || s_suppkey AS name, module_name || '.C' || (s_suppkey - 25) AS base FROM supplier JOIN g ON s_nationkey = k),
+r AS (SELECT DISTINCT k, module_name, 'GET /' || lower(c_mktsegment) || ': on_' || lower(c_mktsegment) AS name FROM customer JOIN g ON c_nationkey = k)
+"""
+SQL["parsed_modules"] = _CODE + """SELECT 'src/' || module_name || '.py' AS path, module_name, coalesce(n_classes, 0) AS n_classes, coalesce(n_functions, 0) AS n_functions,
+  CASE WHEN k % 5 <> 0 THEN 'os,m' || (k + 1) ELSE '' END AS imports, CASE WHEN k % 5 = 0 THEN 'SyntaxError' END AS error
+FROM m LEFT JOIN (SELECT k, count(*)::INT AS n_classes FROM c GROUP BY 1) USING (k) LEFT JOIN (SELECT k, count(*)::INT AS n_functions FROM r GROUP BY 1) USING (k)"""
+SQL["parsed_code_edges"] = _CODE + """SELECT 'Composition' AS rel_type, module_name AS source_name, name AS target_name FROM c UNION SELECT 'Serving', module_name, name FROM r
+UNION SELECT 'Access', 'm' || k, 'm' || (k + 1) FROM g WHERE k + 1 IN (SELECT k FROM g)
+UNION SELECT 'Specialization', name, base FROM c WHERE base IN (SELECT name FROM c)"""
+SQL["file_languages"] = """SELECT ['python', 'typescript', 'markdown', NULL, 'sql', 'go'][p_size % 6 + 1] AS language, count(*) AS n FROM part GROUP BY 1"""
+SQL["markdown_pages"] = """SELECT 'docs/' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 <> 0 THEN 'Page ' || doc_id ELSE 'docs/' || doc_id || '.md' END AS title,
+  CASE WHEN doc_id % 4 <> 0 THEN left(rtrim(repeat('some  words' || chr(10), (doc_id % 150)::INT), chr(10)), 1000) ELSE '' END AS summary FROM documents"""
+SQL["layer_categories"] = sql(
+    """, c AS (SELECT CASE WHEN node_type = 'Capability' THEN 'strategy' WHEN node_type LIKE 'Business%' OR node_type = 'Contract' THEN 'business'
+  WHEN node_type LIKE 'Application%' OR node_type = 'DataObject' THEN 'application' END AS category FROM nodes)
+SELECT category, count(*) AS n FROM c GROUP BY 1""", "nodes")
 
 QUERIES = {n: globals()[n] for n in SQL}

@@ -183,7 +183,7 @@ WHERE tenant_id = 'tenant_a' AND length(chunk_text) > 100 ORDER BY title, chunk_
         "SELECT doc_id, title, coalesce(source, '') AS source, starts_with(tenant_id, '__shared__') AS shared FROM docs ORDER BY title", "docs"),
     "column_rules": """SELECT doc_id, CASE WHEN coalesce(source, '') = '' THEN '' ELSE source || '|' END || 'x' || doc_id AS listed, doc_id % 2 = 0 AS is_uuid,
   CASE WHEN doc_id % 3 = 0 THEN 'Untitled' ELSE 'doc-' || doc_id END AS name, length(substr(coalesce(text, ''), 1, 200))::INT AS snippet_size FROM documents""",
-    "markdown_documents": "SELECT doc_id, 'doc-' || doc_id AS md_title, 'first paragraph of ' || source AS paragraph FROM documents WHERE text IS NOT NULL AND source IS NOT NULL",
+    "markdown_documents": "SELECT doc_id, 'doc-' || doc_id AS md_title, 'first  paragraph of' || chr(10) || source AS paragraph FROM documents WHERE text IS NOT NULL AND source IS NOT NULL",
     "judge_json": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN (event_id % 6)::INT END AS score FROM events",
     "entity_payloads": sql("""SELECT node_id, '{"node_type":"BusinessRole","name":"' || name || '"}' AS payload FROM nodes WHERE node_type = 'BusinessRole'""", "nodes"),
     "inspector_items": sql(

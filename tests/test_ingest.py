@@ -85,3 +85,49 @@ def test_images_follow_the_text(spark):
     images = spark.createDataFrame([(1, 5, 2, "u", " a cat "), (1, 3, None, "v", ""), (2, 1, 1, None, None)], "doc_id long, position int, page int, image_uri string, caption string")
     got = sorted((r.doc_id, r.chunk_index, r.chunk_text) for r in image_chunks(chunks, images).collect())
     assert got == [(1, 2, "[Image from page ?]"), (1, 3, "[Image from page 2] a cat"), (2, 0, "[Image from page 1]")]
+
+
+def test_python_modules(spark):
+    from graphloom.operators.code import python_modules
+
+    source = """'''about'''
+import os, a.b
+import os
+from . import near
+from c.d import e
+LIMIT = LOW = 3
+low = _NO = 1
+@router.post("/x")
+@app.get("/never")
+async def make(): pass
+class K(base.B, metaclass=M):
+    \"\"\"a class\"\"\"
+    @app.get(path)
+    def m(self):
+        def inner(): pass
+if True:
+    def deeper(): pass
+"""
+    rows = [("src/p/q.py", source), ("lib/p/__init__.PY", None), ("app\\\\r.py", "def ("), ("a.txt", "x"), (None, "x"), ("deep.py", "(" * 5000)]
+    got = {r.path: r for r in python_modules(spark.createDataFrame(rows, "path string, text string")).collect()}
+    one = got["src/p/q.py"]
+    assert (one.module_name, one.doc, one.imports, one.constants) == ("p.q", "about", ["os", "a.b", "c.d"], ["LIMIT", "LOW"])
+    assert [(c.name, c.bases, c.doc) for c in one.classes] == [("K", ["base.B"], "a class")]
+    assert (one.functions, one.routes, one.error) == (["make", "K.m"], ["POST /x: make", "GET : m"], None)
+    assert len(got) == 4 and got["lib/p/__init__.PY"].error is None and got["app\\\\r.py"].error == "SyntaxError" and got["deep.py"].error
+
+
+def test_categories_and_layers(spark):
+    df = spark.createDataFrame([("Business",), ("Physical",), (None,)], "x string").select(ingest.category_of(F.col("x")).alias("c"))
+    assert [tuple(r) for r in df.select("c", ingest.layer_of_category(F.col("c"))).collect()] == [("business", "Business"), (None, None), (None, None)]
+
+
+def test_markdown_titles_and_paragraphs(spark):
+    from graphloom.operators.code import markdown_pages
+
+    rows = [
+        ("a.md", "# T \nright below\n\nrest"), ("b.MD", "intro\n  # Late\nmore"), ("c.markdown", "## only\n\n#hash\n\n"), ("d.md", None), ("e.txt", "# no"),
+        ("f.md", "x" * 2000),
+    ]
+    got = [tuple(r) for r in markdown_pages(spark.createDataFrame(rows, "path string, text string")).orderBy("path").collect()]
+    assert got == [("a.md", "T", "right below"), ("b.MD", "Late", "intro"), ("c.markdown", "c.markdown", ""), ("d.md", "d.md", ""), ("f.md", "f.md", "x" * 1000)]
