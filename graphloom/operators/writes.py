@@ -14,6 +14,8 @@ GRAPH = uuid.uuid5(uuid.NAMESPACE_URL, "graphloom/graph")
 # An inspector shows this many items of a document, and keeps an artifact this long after its job's end.
 SHOWN = 200
 KEEP_MINUTES = 30
+# Files that the artifacts of a job hold, bytes of a source beyond which it is cut, and the mark of a cut.
+JOB_FILES, SOURCE_BYTES, CUT_MARK = 500, 50 * 1024, "\n...truncated..."
 
 
 def node_rows(lines: DataFrame) -> DataFrame:
@@ -60,6 +62,20 @@ def inspector(items: DataFrame, by: str, order: str, shown: int = SHOWN) -> Data
     return kept.join(counts, by).withColumn("truncated", F.col("n_items") > shown)
 
 
+def artifacts(puts: DataFrame, files: int = JOB_FILES) -> DataFrame:
+    """(job_id, file_path, source) of puts (job_id, file_path, at, source): the first ``files`` files of a job, each as last put.
+
+    Puts of a job need different ``at``. A source beyond ``SOURCE_BYTES`` bytes
+    is cut to as many characters and marked; a null source is empty.
+    """
+    last = puts.groupBy("job_id", "file_path").agg(F.min("at").alias("first"), F.max_by("source", "at").alias("source"))
+    order = Window.partitionBy("job_id").orderBy("first", "file_path")
+    kept = last.withColumn("n", F.row_number().over(order)).where(F.col("n") <= files)
+    source = F.coalesce("source", F.lit(""))
+    cut = F.when(F.octet_length(source) > SOURCE_BYTES, F.concat(F.left(source, F.lit(SOURCE_BYTES)), F.lit(CUT_MARK))).otherwise(source)
+    return kept.select("job_id", "file_path", cut.alias("source"))
+
+
 def alive(closed: DataFrame, as_of: Column, minutes: int = KEEP_MINUTES) -> DataFrame:
     """Jobs (job_id, closed_at) whose artifacts are still kept: open ones, and those closed at most ``minutes`` ago."""
     return closed.where(F.col("closed_at").isNull() | (F.col("closed_at") >= as_of - F.expr(f"INTERVAL {minutes} MINUTES")))

@@ -141,6 +141,13 @@ def kept_artifacts(spark, sf):
     return writes.alive(p.select("job_id", "closed_at", "last_at"), F.col("last_at") + F.expr("INTERVAL 20 MINUTES"), 30).select("job_id")
 
 
+def job_artifacts(spark, sf):
+    """Documents as files put by their sources, some again under the same path, every fiftieth a hundred times as long."""
+    source = F.when(F.col("doc_id") % 50 == 0, F.repeat("text", F.lit(100))).otherwise(F.col("text"))
+    d = documents(spark, sf).select(F.coalesce("source", F.lit("")).alias("job_id"), F.concat(F.lit("f"), F.col("doc_id") % 900).alias("file_path"), F.col("doc_id").alias("at"), source.alias("source"))
+    return writes.artifacts(d).select("job_id", "file_path", F.md5("source").alias("source_md5"))
+
+
 def late_events(spark, sf):
     """Events after their job's terminal event: kept, and told apart."""
     p = progress(spark, sf).select("job_id", "event_id", "event_type", "ts")
@@ -199,6 +206,11 @@ UNION SELECT 'Specialization', name, base FROM c WHERE base IN (SELECT name FROM
     "kept_artifacts": sql(
         """, p AS (SELECT job_id, max(ts) FILTER (event_type = 'purchase') AS closed_at, max(ts) AS last_at FROM progress GROUP BY 1)
 SELECT job_id FROM p WHERE closed_at IS NULL OR closed_at >= last_at + INTERVAL 20 MINUTES - INTERVAL 30 MINUTES""", "progress"),
+    "job_artifacts": """WITH p AS (SELECT coalesce(source, '') AS job_id, 'f' || doc_id % 900 AS file_path, doc_id AS nth,
+  CASE WHEN doc_id % 50 = 0 THEN repeat(coalesce(text, ''), 100) ELSE coalesce(text, '') END AS body FROM documents),
+f AS (SELECT job_id, file_path, min(nth) AS first, arg_max(body, nth) AS body FROM p GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY first) AS n FROM f)
+SELECT job_id, file_path, md5(CASE WHEN strlen(body) > 51200 THEN left(body, 51200) || chr(10) || '...truncated...' ELSE body END) AS source_md5 FROM r WHERE n <= 500""",
     "late_events": sql(
         """, c AS (SELECT job_id, min(ts) AS closed_at FROM progress WHERE event_type = 'error' GROUP BY 1)
 SELECT job_id, coalesce(ts > closed_at, false) AS late, count(*) AS n FROM progress LEFT JOIN c USING (job_id) GROUP BY 1, 2""", "progress"),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from graphloom.operators.ordered import in_blocks, with_before, with_blocks
 
@@ -72,6 +74,42 @@ def distinct_events(events: DataFrame, late: str = "2 days") -> DataFrame:
     return _watermarked(events, late).dropDuplicates(["job_id", "event_id", "ts"])
 
 
+def closed_jobs(events: DataFrame, terminal: tuple[str, ...] = ("error",), keep_minutes: int = 30, late: str = "1 minute") -> DataFrame:
+    """(job_id, closed_at, n_events, n_late) of a stream's closed jobs, each when it goes out of state.
+
+    The earliest terminal event closes a job. Events that come after are counted
+    too, and as late where their time is after the close known by then. A closed
+    job goes ``keep_minutes`` of event time after its close; an event of
+    it that comes still later opens it anew. State is a few numbers a job,
+    however many its events. Events without a job or a time are left out.
+    """
+
+    def track(key: tuple, batches, state: GroupState):
+        closed, n, n_late = state.get if state.exists else (-1, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "closed_ms": [closed], "n_events": [n], "n_late": [n_late]})
+            return
+        for rows in batches:
+            ends = rows.loc[rows["ends"], "ms"]
+            if len(ends):
+                closed = int(ends.min()) if closed < 0 else min(closed, int(ends.min()))
+            n += len(rows)
+            n_late += int((rows["ms"] > closed).sum()) if closed >= 0 else 0
+        state.update((closed, n, n_late))
+        if closed >= 0:
+            state.setTimeoutTimestamp(max(closed + keep_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+
+    rows = _watermarked(events.where("job_id IS NOT NULL AND ts IS NOT NULL"), late)
+    rows = rows.select("job_id", "ts", F.unix_millis("ts").alias("ms"), F.coalesce(F.col("event_type").isin(*terminal), F.lit(False)).alias("ends"))
+    numbers = "n_events bigint, n_late bigint"
+    kind = events.schema["job_id"].dataType.simpleString()
+    out = rows.groupBy("job_id").applyInPandasWithState(
+        track, f"job_id {kind}, closed_ms bigint, {numbers}", f"closed_ms bigint, {numbers}", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return out.select("job_id", F.timestamp_millis("closed_ms").alias("closed_at"), "n_events", "n_late")
+
+
 def replay(source: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, mode: str = "append"):
     """Run a streaming transform over all that is there and stop."""
     query = transform(source).writeStream.outputMode(mode).option("checkpointLocation", checkpoint)

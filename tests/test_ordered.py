@@ -104,3 +104,24 @@ def test_scaled_points(spark):
     df = spark.createDataFrame([(1, 2.0, -4.0), (2, 1.0, None)], "id int, x double, y double")
     assert sorted(map(tuple, vectors.scaled(df, "x", "y").collect())) == [(1, 0.5, -1.0, 4.0), (2, 0.25, None, 4.0)]
     assert vectors.scaled(df.limit(0), "x", "y").count() == 0
+
+
+def test_closed_jobs_leave_a_stream_when_their_time_is_over(spark, tmp_path):
+    """A job closed at minute 1 goes after minute 31; late events count; an open job stays in state."""
+    import time
+
+    from graphloom.streaming import progress
+
+    batches = [
+        [("a", 0, "run"), ("a", 1, "error"), (None, 1, "error"), ("b", None, "error")], [("a", 5, "run"), ("a", 6, "error"), ("b", 6, None)],
+        [("b", 60, "run")], [("c", 61, "error"), ("b", 62, "run")],
+    ]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "job_id string, minute int, event_type string")
+        df = df.selectExpr("job_id", "timestamp_seconds(1700000000 + minute * 60) AS ts", "event_type")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema("job_id string, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    progress.replay(stream, progress.closed_jobs, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = spark.read.parquet(f"{tmp_path}/out").selectExpr("job_id", "(unix_seconds(closed_at) - 1700000000) / 60 AS minute", "n_events", "n_late").collect()
+    assert [tuple(r) for r in got] == [("a", 1.0, 4, 2)]
