@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import code, ingest, writes
@@ -38,7 +40,7 @@ def _entries(spark, sf):
 
 
 def catalog_import(spark, sf):
-    return ingest.catalogue_import(_entries(spark, sf)).drop("node_id")
+    return ingest.catalogue_import(_entries(spark, sf))
 
 
 def catalog_import_counts(spark, sf):
@@ -116,9 +118,11 @@ SELECT query_id, chunk_id, rank FROM k WHERE n_all <= 3 OR rank <= least(greates
 _ENTRIES = """WITH e AS (SELECT CASE WHEN p_partkey % 11 <> 0 THEN 'entries/' || p_partkey END AS entry_name, p_size % 3 < 2 AS known,
   coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_name END, CASE WHEN p_partkey % 3 = 0 THEN p_brand END, CASE WHEN p_partkey % 11 <> 0 THEN 'entries/' || p_partkey END) AS fqn,
   CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS shown FROM part),
-s AS (SELECT *, CASE WHEN entry_name IS NULL THEN 'failed' WHEN known THEN 'imported' ELSE 'skipped' END AS status FROM e)
-"""
-SQL["catalog_import"] = _ENTRIES + """SELECT entry_name, status, CASE WHEN status = 'imported' THEN fqn END AS name,
+s AS (SELECT *, CASE WHEN entry_name IS NULL THEN 'failed' WHEN known THEN 'imported' ELSE 'skipped' END AS status, sha1('{namespace}'::BLOB || entry_name::BLOB) AS h FROM e)
+""".replace("{namespace}", "".join(f"\\x{b:02X}" for b in uuid.NAMESPACE_DNS.bytes))
+SQL["catalog_import"] = _ENTRIES + """SELECT entry_name, status,
+  CASE WHEN status = 'imported' THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+    || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) END AS node_id, CASE WHEN status = 'imported' THEN fqn END AS name,
   CASE WHEN status = 'imported' THEN coalesce(shown, fqn) END AS display_name, CASE WHEN status = 'imported' THEN '' END AS description FROM s"""
 SQL["catalog_import_counts"] = _ENTRIES + "SELECT status, count(*) AS n FROM s GROUP BY 1"
 _CODE = """WITH m AS (SELECT n_nationkey AS k, 'm' || n_nationkey AS module_name FROM nation), g AS (SELECT * FROM m WHERE k % 5 <> 0),
