@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, language_id, mixing, near_dup, packing, quality, secret_scan, substring_dedup, url_filter
+from . import ball_kmeans, exact_dedup, fingerprint, language_id, mixing, near_dup, packing, periodic, quality, secret_scan, substring_dedup, url_filter, weak_pii
 
 
 def tokenizer_path() -> str:
@@ -77,10 +77,52 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of a tenth of the documents the words from a place on repeat the first ones from there, joined by spaces."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # a one-element array binds the words once for all places
+    edited = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeat(w)))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(with_planted_period(_table(spark, sf_dir, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    start, period = -F.col("top.start"), -F.col("top.period")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), F.col("top.length").alias("length"), period.alias("period"),
+        F.floor(F.lit(1000) * F.col("top.length") / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.sha2(F.concat(F.lit("3:"), F.col("id").cast("string")), 256)
+    return ball_kmeans.clusters(_table(spark, sf_dir, "embeddings"), 64, order)
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weak_pii.personal_data(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: ~s["added"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, weak_pii.BASE), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_substring_dedup, op2_exact_dedup, op3_packing, op4_mixing, op5_language_id,
         op6_near_dup_join, op7_url_filter, op8_secret_scan, op9_quality, op10_fingerprint,
+        op11_periodic_runs, op12_ball_kmeans, op13_personal_data,
     )
     return {f.__name__: f for f in own} | {"secret_rescan": secret_rescan}
 
@@ -91,6 +133,8 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": OP1_SQL,
         "op2_exact_dedup": OP2_SQL,
         "op8_secret_scan": OP8_SQL.format(key="doc_id", versions="SELECT doc_id, coalesce(text, '') AS t FROM documents"),
+        "op11_periodic_runs": OP11_SQL,
+        "op12_ball_kmeans": op12_sql(),
         "secret_rescan": OP8_SQL.format(key="path", versions=pages),
     }
 
@@ -149,3 +193,60 @@ rules(nth, kind, pattern, grp, least, added) AS (VALUES
 SELECT {key}, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM v LEFT JOIN g USING (r)
 """
+
+# A crc32 step by step: the bytes of a number's digits, then eight shifts of each. Runs of all periods are islands of matches; of those at one place the least period counts.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), c AS (
+  SELECT r, doc_id, words, len(words) AS n, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda s, b: xor(xor(s, b) >> 1, 3988292384::BIGINT * (xor(s, b) & 1)))) AS h FROM d
+), e AS (
+  SELECT r, doc_id, words, n, h % 10 = 0 AND n > 0 AS edited, (h // 10) % greatest(n, 1) AS a, h // 10 AS g FROM c
+), f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e
+), w AS (
+  SELECT r, i, words[CASE WHEN edited AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS word FROM (SELECT *, unnest(range(n)) AS i FROM f)
+), m AS (
+  SELECT x.r, y.i - x.i AS q, x.i AS i FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND y.i > x.i
+), k AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m
+), l AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY r, q, island HAVING count(*) + q >= greatest(12, 2 * q)
+), runs AS (SELECT r, start, length, min(q) AS period FROM l GROUP BY r, start, length
+), top AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    max(length) AS length, arg_min(start, (-length, start, period)) AS start, arg_min(period, (-length, start, period)) AS period FROM runs GROUP BY r
+), gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT * FROM w ANTI JOIN gone USING (r, i)) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN top USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+def op12_sql(rounds: int = ball_kmeans.ROUNDS) -> str:
+    """Every round compares every vector with every centroid."""
+    parts = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v AS w FROM v ORDER BY c LIMIT 8
+)"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""far{i} AS (
+  SELECT r, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}
+), a{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM far{i} GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT c, j, sum(x) AS total, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS j FROM a{i} JOIN v USING (r)) GROUP BY c, j
+), m{i} AS (SELECT c, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY j) AS w FROM s{i} GROUP BY c
+), c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.w, c{i}.w) AS w FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)"""
+    )
