@@ -80,7 +80,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _AT = re.compile(r"(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]+ ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,}(?!\w)")
 _DIGIT_KINDS = {
-    "phone_local": re.compile(r"(?<![\w+.(-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"),
+    "phone_local": re.compile(r"(?<![\w+.(-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"),
     "national_id": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "hardware": re.compile(r"(?<![\w:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-])"),
@@ -89,6 +89,7 @@ _DIGIT_KINDS = {
 _CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+\.?(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++\.?)++")
 _CAPITAL = re.compile(r"[^ .]+")
 _WORD = re.compile(r"\w+")
+_NUMBER = re.compile(r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -173,9 +174,9 @@ def _check(kind: str, span: str, passes: bool) -> int:
         return 1 if int(number) % 97 == 1 else -1
     if kind in ("phone_local", "national_id"):
         return -1 if digits[:3] in ("000", "666") or digits[0] == "0" or digits[-4:] == "0000" else 0
-    if kind in BASE:
-        return 1 if passes else -1
-    return -1 if kind == "account" else 0
+    if kind == "account":
+        return 1 if luhn(digits) else -1
+    return (1 if passes else -1) if kind in BASE else 0
 
 
 def votes(text: str, kind: str, start: int, end: int, passes: bool = True) -> list[int]:
@@ -236,15 +237,15 @@ def votes_of(pattern: int) -> list[int]:
 def spans_in(text: str) -> tuple[list[dict], list[dict]]:
     """Base spans, and candidates with votes and features: the base matches, failing ones too, and all others.
 
-    A failing card number of 12 digits or more is a candidate for an account.
+    In a failing card match each number of 12 to 19 digits is a candidate for an account.
     """
     base, found, others = [], [], list(candidates(text))
     for kind, start, end, passes in matches(text):
         if passes:
             base.append({"kind": KINDS.index(kind), "start": start, "end": end})
         if kind == "card" and not passes:
-            if 12 <= len(_digits(text[start:end])) <= 19:
-                others.append(("account", start, end))
+            # numbers that run into each other are taken apart
+            others.extend(("account", *m.span()) for m in _NUMBER.finditer(text, start, end))
         else:
             found.append((kind, start, end, passes))
     base.sort(key=lambda b: (b["start"], b["kind"]))
