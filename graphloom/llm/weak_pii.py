@@ -315,7 +315,7 @@ def estimate(kind: np.ndarray, votes: np.ndarray, count: np.ndarray, rounds: int
     return model
 
 
-def fit(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
+def fit(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, rounds: int = 500, ridge: float = 1e-5) -> np.ndarray:
     """Weights of the buckets, and at the end a constant, of a logistic classifier on soft labels, by accelerated gradient steps."""
     size = np.array([len(r) for r in rows])
     at = np.repeat(np.arange(len(rows)), size)
