@@ -317,7 +317,7 @@ def estimate(kind: np.ndarray, votes: np.ndarray, count: np.ndarray, rounds: int
 
 def fit(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, rounds: int = 500, ridge: float = 1e-5) -> np.ndarray:
     """Weights of the buckets, and at the end a constant, of a logistic classifier on soft labels, by accelerated gradient steps."""
-    size = np.array([len(r) for r in rows])
+    size = np.array([len(r) for r in rows], int)
     at = np.repeat(np.arange(len(rows)), size)
     bucket = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
     weight = weight / max(weight.sum(), 1e-300)
