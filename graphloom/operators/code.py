@@ -18,8 +18,8 @@ VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
 #: Folders that hold sources and are no part of a module's name.
 ROOTS = ("src", "lib", "app")
 
-_PARTS = """doc string, classes array<struct<name:string,bases:array<string>,doc:string>>, functions array<string>,
-imports array<string>, routes array<string>, constants array<string>, error string"""
+_PARTS = """doc string, classes array<struct<name:string,bases:array<string>,doc:string,entity:boolean,refs:array<string>,views:array<string>>>,
+functions array<string>, imports array<string>, routes array<struct<label:string,handler:string>>, constants array<string>, error string"""
 
 
 def language_of(path: Column) -> Column:
@@ -34,12 +34,12 @@ def module_name(path: Column) -> Column:
     return F.btrim(F.replace(F.regexp_replace(below, r"(?:/__init__)?\.py$", ""), F.lit("/"), F.lit(".")), F.lit("."))
 
 
-def _route(function) -> list[str]:
-    """``VERB path: name`` of the first decorator of a function that is a call of a verb."""
+def _route(owner: str, function) -> list[dict]:
+    """``VERB path: name``, and the handler with its class, of the first decorator of a function that is a call of a verb."""
     for d in function.decorator_list:
         if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr.lower() in VERBS:
             given = d.args[0].value if d.args and isinstance(d.args[0], ast.Constant) else None
-            return [f"{d.func.attr.upper()} {given if isinstance(given, str) else ''}: {function.name}"]
+            return [{"label": f"{d.func.attr.upper()} {given if isinstance(given, str) else ''}: {function.name}", "handler": owner + function.name}]
     return []
 
 
@@ -54,10 +54,10 @@ def _parsed(source: str | None) -> dict:
         names = [t.id for n in tree.body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)]
         return none | {
             "doc": ast.get_docstring(tree),
-            "classes": [{"name": c.name, "bases": [ast.unparse(b) for b in c.bases], "doc": ast.get_docstring(c)} for c in classes],
+            "classes": [{"name": c.name, "bases": [ast.unparse(b) for b in c.bases], "doc": ast.get_docstring(c), "entity": False, "refs": [], "views": []} for c in classes],
             "functions": [owner + n.name for owner, n in functions],
             "imports": list(dict.fromkeys(name for group in imports for name in group if name)),
-            "routes": [r for _, n in functions for r in _route(n)],
+            "routes": [r for owner, n in functions for r in _route(owner, n)],
             "constants": [n for n in names if n.isascii() and n[0].isalpha() and n.isupper()],
         }
     except (SyntaxError, ValueError, RecursionError, MemoryError) as broken:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,19 +66,29 @@ def percentiles(df: DataFrame, by: str, value: str) -> DataFrame:
     return found.select(F.col("by").alias(by), "least", between["median"], between["p90"], "most")
 
 
-def arm_winner(scores: DataFrame, arms: list[str]) -> DataFrame:
-    """(arm, score, winner): mean score of each arm; the winner is the best, the first name of equals."""
-    means = scores.agg(*(F.round(F.avg(a), 6).alias(a) for a in arms))
-    long = means.unpivot([], arms, "arm", "score")
-    best = F.max_by("arm", F.struct("score")).alias("best")
-    return long.join(F.broadcast(long.groupBy().agg(best))).select("arm", "score", (F.col("arm") == F.col("best")).alias("winner"))
+def arm_winner(scores: DataFrame, arms: list[str], references: Sequence[str] = ()) -> DataFrame:
+    """(arm, score, is_reference, winner): mean score of each arm, a column of ``scores``.
 
+    The best arm wins, of equals the first one given; ``references`` are shown
+    beside the others and don't compete. Arms without any score have null and don't win.
+    """
+    every = [*arms, *references]
+    long = scores.agg(*(F.round(F.avg(a), 6).alias(a) for a in every)).unpivot([], every, "arm", "score")
+    place = F.array_position(F.array(*map(F.lit, every)), F.col("arm"))
+    rows = long.withColumns({"is_reference": F.col("arm").isin(*references), "place": place})
+    best = F.max_by("arm", F.when(~F.col("is_reference") & F.col("score").isNotNull(), F.struct("score", -F.col("place")))).alias("best")
+    return rows.join(F.broadcast(rows.groupBy().agg(best))).select("arm", "score", "is_reference", F.coalesce(F.col("arm") == F.col("best"), F.lit(False)).alias("winner"))  # one row
 
-def attrition(expected: Column, in_top: Column, pool_size: Column, cap: int, in_pool: Column) -> Column:
-    """Where an expected item was lost on its way to the answer."""
-    return (
-        F.when(~expected, "none_expected").when(in_top, "hit").when(in_pool & (pool_size <= cap), "below_top_k").when(in_pool, "capped").otherwise("never_in_pool")
-    )
+
+def attrition(expected: Column, in_top: Column, in_pool: Column, pool_size: Column, limit: int, cut: Column | None = None) -> Column:
+    """Where a question lost an expected item on its way to the answer.
+
+    ``in_top`` and ``in_pool`` say whether all expected items are there. A pool
+    that holds them all lost some below the top, whatever its size; one that
+    lacks some was capped if it was ``cut`` or is as large as the limit.
+    """
+    full = pool_size >= limit if cut is None else cut | (pool_size >= limit)
+    return F.when(~expected, "none_expected").when(in_top, "hit").when(in_pool, "below_top_k").when(full, "capped").otherwise("never_in_pool")
 
 
 def limit_sweep(ranked: DataFrame, limits: list[int]) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import uuid5
 
 # Tokens are charged for by the million.
-PRICES = {"input": 0.30, "output": 2.50, "embed": 0.20}
+PRICES = {"input": 0.30, "output": 2.50, "flex_input": 0.15, "flex_output": 1.25, "embed_text": 0.20, "embed_image": 0.45}
+RERANK_PRICE = 0.001
+CHARS_PER_TOKEN = 4
 CATALOGUE = uuid.uuid5(uuid.NAMESPACE_URL, "graphloom/catalogue")
 
 
@@ -48,9 +50,22 @@ def key_faults(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.agg(F.coalesce(F.sum(F.col("n") * null), F.lit(0)).alias("n_null"), F.count_if(F.col("n") > 1).alias("n_repeated"))
 
 
-def price(input_tokens: Column, output_tokens: Column, cached: Column) -> Column:
-    """Dollars of a call; cached tokens are free."""
-    return (F.greatest(input_tokens - cached, F.lit(0)) * PRICES["input"] + output_tokens * PRICES["output"]) / 1e6
+def price(input_tokens: Column, output_tokens: Column, cached: Column, thinking: Column | None = None, tier: Column | None = None) -> Column:
+    """Dollars of a generating call: cached input tokens are free, thinking tokens are billed as output; the tier ``flex`` has prices of its own."""
+    billed = F.greatest(input_tokens - cached, F.lit(0))
+    out = output_tokens if thinking is None else output_tokens + thinking
+    cost = lambda i, o: (billed * PRICES[i] + out * PRICES[o]) / 1e6
+    return cost("input", "output") if tier is None else F.when(tier == "flex", cost("flex_input", "flex_output")).otherwise(cost("input", "output"))
+
+
+def embed_tokens(chars: Column) -> Column:
+    """Tokens of an embedded text, told from its characters: one at least."""
+    return F.greatest(F.floor(chars / CHARS_PER_TOKEN), F.lit(1))
+
+
+def embed_price(chars: Column, image: Column) -> Column:
+    """Dollars of an embedding of a text or an image."""
+    return embed_tokens(chars) * F.when(image, PRICES["embed_image"]).otherwise(PRICES["embed_text"]) / 1e6
 
 
 def spent(costs: DataFrame, as_of: str, days: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,25 +82,57 @@ def alive(closed: DataFrame, as_of: Column, minutes: int = KEEP_MINUTES) -> Data
     return closed.where(F.col("closed_at").isNull() | (F.col("closed_at") >= as_of - F.expr(f"INTERVAL {minutes} MINUTES")))
 
 
-def code_graph(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of parsed code (module_name, classes: [name, bases], imports: [string], routes: [path]).
+#: A module that is imported counts as a component that its importer composes, with this mark on the edge.
+PLACEHOLDER = "placeholder"
+
 
-    A module is a component, a class an object that it composes, a route a
-    service that it serves; an import of a known module is an access, a base an
-    edge of specialization to a class of that name in the module.
+def code_graph(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of parsed code.
+
+    ``modules`` has module_name, classes (name, entity, refs, views), functions
+    (``name`` or ``Class.name``), routes (label, handler) and imports. A module
+    and each of its classes is a component, a class that is an entity a data
+    object; the module composes them. A public function is a service that its class or
+    module realises; names with a leading underscore are private. A route is an interface
+    realised by its handler's service, or by the module where that is private. ``refs``
+    of a class are accesses to data objects of the module, ``views`` realisations
+    of them. Every import is a component composed as a ``PLACEHOLDER``, known or not.
     """
-    m = modules.select("module_name", "classes", "imports", "routes")
-    one = lambda kind, name: m.select(F.lit(kind).alias("node_type"), name.alias("name"))
-    classes = m.select("module_name", F.explode("classes").alias("c")).select("module_name", F.concat_ws(".", "module_name", "c.name").alias("name"), "c.bases")
-    routes = m.select("module_name", F.explode("routes").alias("name"))
-    nodes = one("ApplicationComponent", F.col("module_name"))
-    nodes = nodes.unionByName(classes.select(F.lit("DataObject").alias("node_type"), "name")).unionByName(routes.select(F.lit("ApplicationInterface").alias("node_type"), "name")).distinct()
-
-    def edges_of(df: DataFrame, rel: str, source: str, target: str) -> DataFrame:
-        return df.select(F.lit(rel).alias("rel_type"), F.col(source).alias("source_name"), F.col(target).alias("target_name"))
-
-    imports = m.select("module_name", F.explode("imports").alias("other")).join(m.select(F.col("module_name").alias("other")), "other", "left_semi")
-    bases = classes.select("module_name", "name", F.explode("bases").alias("base")).withColumn("base", F.concat_ws(".", "module_name", "base"))
-    bases = bases.join(classes.select(F.col("name").alias("base")), "base", "left_semi")
-    edges = edges_of(classes, "Composition", "module_name", "name").unionByName(edges_of(routes, "Serving", "module_name", "name"))
-    return nodes, edges.unionByName(edges_of(imports, "Access", "module_name", "other")).unionByName(edges_of(bases, "Specialization", "name", "base")).distinct()
+    m = modules.select("module_name", "classes", "functions", "routes", "imports")
+    component, data, service, interface = "ApplicationComponent", "DataObject", "ApplicationService", "ApplicationInterface"
+    full = lambda x: F.concat_ws(".", "module_name", x)
+
+    def edge(df: DataFrame, source_type, source, rel: str, target_type, target, detail: str = "") -> DataFrame:
+        lit = lambda x: F.lit(x) if isinstance(x, str) else x
+        return df.select(
+            lit(source_type).alias("source_type"), source.alias("source_name"), F.lit(rel).alias("rel_type"), F.lit(detail).alias("detail"), F.lit("EXTRACTED").alias("confidence"),
+            lit(target_type).alias("target_type"), target.alias("target_name"),
+        )
+
+    owner = F.col("module_name")
+    c = m.select("module_name", F.explode("classes").alias("c")).select("module_name", "c.*")
+    c = c.withColumns({"full": full("name"), "kind": F.when(F.col("entity"), data).otherwise(component)})
+    held = lambda column: c.select("module_name", "kind", "full", F.explode(column).alias("other"))
+    f = m.select("module_name", F.explode("functions").alias("name"))
+    f = f.where(~F.substring_index("name", ".", -1).startswith("_")).withColumn("full", full("name"))
+    own, methods = f.where(~F.contains("name", F.lit("."))), f.where(F.contains("name", F.lit(".")))
+    methods = methods.withColumn("class", full(F.regexp_replace("name", r"\.[^.]*$", "")))
+    kinds = c.select(F.col("full").alias("class"), "kind").distinct()
+    r = m.select("module_name", F.explode("routes").alias("r")).select("module_name", "r.label", full("r.handler").alias("full"))
+    served = r.join(f.select("full").distinct().withColumn("known", F.lit(True)), "full", "left")
+    known = F.coalesce("known", F.lit(False))
+    imports = m.select("module_name", F.explode("imports").alias("other")).where("other <> ''")
+    parts = [
+        edge(c, component, owner, "Composition", F.col("kind"), F.col("full")),
+        edge(held("refs"), F.col("kind"), F.col("full"), "Access", data, full("other")),
+        edge(held("views"), F.col("kind"), F.col("full"), "Realization", data, full("other")),
+        edge(methods.join(kinds, "class"), F.col("kind"), F.col("class"), "Realization", service, F.col("full")),
+        edge(own, component, owner, "Realization", service, F.col("full")),
+        edge(served, F.when(known, service).otherwise(component), F.when(known, F.col("full")).otherwise(owner), "Realization", interface, F.col("label")),
+        edge(imports, component, owner, "Composition", component, F.col("other"), PLACEHOLDER),
+    ]
+    edges = reduce(DataFrame.unionByName, parts).distinct()
+    ends = m.select(F.lit(component).alias("node_type"), owner.alias("name"))
+    for end in ("source", "target"):
+        ends = ends.unionByName(edges.select(F.col(f"{end}_type").alias("node_type"), F.col(f"{end}_name").alias("name")))
+    return ends.distinct(), edges

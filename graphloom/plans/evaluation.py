@@ -72,10 +72,16 @@ def split_leakage(spark, sf):
 
 
 def api_costs(spark, sf):
-    """Tokens, a fourth of the characters, and dollars by role, thinking tokens billed as output."""
-    t = table(spark, sf, "conversations").where("text IS NOT NULL").select("role", F.expr("length(text) div 4").alias("tokens"), F.expr("turn % 3 * 10").alias("thinking"))
-    cost = tables.price(F.col("tokens"), F.col("tokens") + F.col("thinking"), F.col("thinking"))
-    return t.groupBy(F.coalesce("role", F.lit("other")).alias("api")).agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.sum(cost), 6).alias("cost"))
+    """Calls, tokens and dollars by interface and tier: turns as calls that generate, embed a text or an image, or rerank."""
+    t = table(spark, sf, "conversations").where("text IS NOT NULL").select(
+        F.expr("CASE (conv_id + turn) % 4 WHEN 0 THEN 'embed' WHEN 1 THEN 'rerank' ELSE 'generate' END").alias("api"), F.expr("if(conv_id % 5 = 0, 'flex', 'standard')").alias("tier"),
+        F.length("text").alias("chars"), F.expr("length(text) div 4").alias("tokens"), F.expr("turn % 3 * 7").alias("cached"), F.expr("turn % 4 * 10").alias("thinking"),
+    )
+    n, image = F.col("tokens"), F.col("tier") == "flex"
+    generated = tables.price(n, F.floor(n / 2), F.col("cached"), F.col("thinking"), F.col("tier"))
+    cost = F.when(F.col("api") == "generate", generated).when(F.col("api") == "embed", tables.embed_price(F.col("chars"), image)).otherwise(tables.RERANK_PRICE)
+    used = F.when(F.col("api") == "generate", n).when(F.col("api") == "embed", tables.embed_tokens(F.col("chars"))).otherwise(0)
+    return t.groupBy("api", "tier").agg(F.count(F.lit(1)).alias("calls"), F.sum(used).cast("bigint").alias("tokens"), F.round(F.sum(cost), 6).alias("cost"))
 
 
 def _seeds(spark, sf, n):
@@ -222,8 +228,12 @@ FROM (SELECT o_orderkey, o_orderkey AS k FROM orders)""",
     "dev_test_split": """SELECT DISTINCT conv_id, CASE WHEN ('0x' || substr(sha1('42:' || conv_id), 1, 8))::BIGINT < 2147483648 THEN 'dev' ELSE 'test' END AS split FROM conversations""",
     "split_leakage": """SELECT conv_id, count(DISTINCT ('0x' || substr(sha1('42:' || conv_id || ':' || turn), 1, 8))::BIGINT < 2147483648) AS n_splits FROM conversations GROUP BY 1
 HAVING count(DISTINCT ('0x' || substr(sha1('42:' || conv_id || ':' || turn), 1, 8))::BIGINT < 2147483648) > 1""",
-    "api_costs": """WITH t AS (SELECT coalesce(role, 'other') AS api, length(text) // 4 AS tokens, turn % 3 * 10 AS thinking FROM conversations WHERE text IS NOT NULL)
-SELECT api, count(*) AS calls, sum(tokens)::BIGINT AS tokens, round(sum((greatest(tokens - thinking, 0) * 0.30::DOUBLE + (tokens + thinking) * 2.50::DOUBLE) / 1e6::DOUBLE), 6) AS cost FROM t GROUP BY 1""",
+    "api_costs": """WITH t AS (SELECT CASE (conv_id + turn) % 4 WHEN 0 THEN 'embed' WHEN 1 THEN 'rerank' ELSE 'generate' END AS api, conv_id % 5 = 0 AS flex,
+  length(text) // 4 AS tokens, turn % 3 * 7 AS cached, turn % 4 * 10 AS thinking FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT api, CASE WHEN flex THEN 'flex' ELSE 'standard' END AS tier, CASE api WHEN 'generate' THEN tokens WHEN 'embed' THEN greatest(tokens, 1) ELSE 0 END AS used, CASE api
+  WHEN 'generate' THEN (greatest(tokens - cached, 0) * CASE WHEN flex THEN 0.15::DOUBLE ELSE 0.30 END + (tokens // 2 + thinking) * CASE WHEN flex THEN 1.25::DOUBLE ELSE 2.50 END) / 1e6::DOUBLE
+  WHEN 'embed' THEN greatest(tokens, 1) * CASE WHEN flex THEN 0.45::DOUBLE ELSE 0.20 END / 1e6::DOUBLE ELSE 0.001 END AS cost FROM t)
+SELECT api, tier, count(*) AS calls, sum(used)::BIGINT AS tokens, round(sum(cost), 6) AS cost FROM c GROUP BY 1, 2""",
     "typed_chains": _seeded(8, ("ways",)) + _PATTERNS.replace("SELECT 0 AS", "SELECT * FROM (SELECT 0 AS", 1) + ") WHERE rank <= 3",
     "vector_pattern": _seeded(200, ("edges",)) + """SELECT source_id, target_id, distance FROM edges JOIN seed_200 ON n0 = source_id WHERE rel_type = 'Serving' AND distance < 0.9
 ORDER BY distance, source_id, target_id LIMIT 50""",

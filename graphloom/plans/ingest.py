@@ -127,14 +127,16 @@ SQL["catalog_import"] = _ENTRIES + """SELECT entry_name, status,
 SQL["catalog_import_counts"] = _ENTRIES + "SELECT status, count(*) AS n FROM s GROUP BY 1"
 _CODE = """WITH m AS (SELECT n_nationkey AS k, 'm' || n_nationkey AS module_name FROM nation), g AS (SELECT * FROM m WHERE k % 5 <> 0),
 c AS (SELECT k, module_name, module_name || '.C' || s_suppkey AS name, module_name || '.C' || (s_suppkey - 25) AS base FROM supplier JOIN g ON s_nationkey = k),
-r AS (SELECT DISTINCT k, module_name, 'GET /' || lower(c_mktsegment) || ': on_' || lower(c_mktsegment) AS name FROM customer JOIN g ON c_nationkey = k)
+r AS (SELECT DISTINCT k, module_name, lower(c_mktsegment) AS seg, 'GET /' || lower(c_mktsegment) || ': on_' || lower(c_mktsegment) AS name FROM customer JOIN g ON c_nationkey = k)
 """
 SQL["parsed_modules"] = _CODE + """SELECT 'src/' || module_name || '.py' AS path, module_name, coalesce(n_classes, 0) AS n_classes, coalesce(n_functions, 0) AS n_functions,
   CASE WHEN k % 5 <> 0 THEN 'os,m' || (k + 1) ELSE '' END AS imports, CASE WHEN k % 5 = 0 THEN 'SyntaxError' END AS error
 FROM m LEFT JOIN (SELECT k, count(*)::INT AS n_classes FROM c GROUP BY 1) USING (k) LEFT JOIN (SELECT k, count(*)::INT AS n_functions FROM r GROUP BY 1) USING (k)"""
-SQL["parsed_code_edges"] = _CODE + """SELECT 'Composition' AS rel_type, module_name AS source_name, name AS target_name FROM c UNION SELECT 'Serving', module_name, name FROM r
-UNION SELECT 'Access', 'm' || k, 'm' || (k + 1) FROM g WHERE k + 1 IN (SELECT k FROM g)
-UNION SELECT 'Specialization', name, base FROM c WHERE base IN (SELECT name FROM c)"""
+SQL["parsed_code_edges"] = _CODE + """, e AS (SELECT 'ApplicationComponent' AS source_type, module_name AS source_name, 'Composition' AS rel_type, '' AS detail, 'ApplicationComponent' AS target_type, name AS target_name FROM c
+UNION SELECT 'ApplicationComponent', module_name, 'Composition', 'placeholder', 'ApplicationComponent', unnest(['os', 'm' || (k + 1)]) FROM g
+UNION SELECT 'ApplicationComponent', module_name, 'Realization', '', 'ApplicationService', module_name || '.on_' || seg FROM r
+UNION SELECT 'ApplicationService', module_name || '.on_' || seg, 'Realization', '', 'ApplicationInterface', name FROM r)
+SELECT *, 'EXTRACTED' AS confidence FROM e"""
 SQL["file_languages"] = """SELECT ['python', 'typescript', 'markdown', NULL, 'sql', 'go'][p_size % 6 + 1] AS language, count(*) AS n FROM part GROUP BY 1"""
 SQL["markdown_pages"] = """SELECT 'docs/' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 <> 0 THEN 'Page ' || doc_id ELSE 'docs/' || doc_id || '.md' END AS title,
   CASE WHEN doc_id % 4 <> 0 THEN left(rtrim(repeat('some  words' || chr(10), (doc_id % 150)::INT), chr(10)), 1000) ELSE '' END AS summary FROM documents"""

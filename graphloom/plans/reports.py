@@ -72,13 +72,15 @@ def percentiles(spark, sf):
 
 
 def arm_winner(spark, sf):
-    d = table(spark, sf, "events").select(F.col("value").alias("full"), (F.col("value") * 0.9).alias("keyword"), (F.col("value") * 1.1).alias("vector"))
-    return metrics.arm_winner(d, ["full", "keyword", "vector"])
+    """Two arms are equally good; the reference arm is better than both."""
+    shares = {"full": 1.0, "keyword": 0.9, "vector": 1.1, "again": 1.1, "oracle": 2.0}
+    d = table(spark, sf, "events").select(*((F.col("value") * x).alias(a) for a, x in shares.items()))
+    return metrics.arm_winner(d, ["full", "keyword", "vector", "again"], ["oracle"])
 
 
 def attrition(spark, sf):
     e = table(spark, sf, "events")
-    bucket = metrics.attrition(F.expr("user_id % 5 <> 0"), F.expr("event_id % 7 < 3"), F.expr("event_id % 40"), 20, F.expr("event_id % 3 <> 0"))
+    bucket = metrics.attrition(F.expr("user_id % 5 <> 0"), F.expr("event_id % 7 < 3"), F.expr("event_id % 3 <> 0"), F.expr("event_id % 40"), 20, F.expr("user_id % 11 = 0"))
     return e.groupBy(bucket.alias("bucket")).agg(_n().alias("n"))
 
 
@@ -202,10 +204,11 @@ SELECT lang, tp, fp, fn, coalesce(round(tp / nullif(tp + fp, 0)::DOUBLE, 6), 0)
     "percentiles": sql(
         """SELECT operation_type, min(total_cost_usd) AS least, round(quantile_cont(total_cost_usd, 0.5), 6) AS median, round(quantile_cont(total_cost_usd, 0.9), 6) AS p90,
   max(total_cost_usd) AS most FROM costs GROUP BY 1""", "costs"),
-    "arm_winner": """WITH m AS (SELECT unnest(['full', 'keyword', 'vector']) AS arm, unnest([round(avg(value), 6), round(avg(value * 0.9), 6), round(avg(value * 1.1), 6)]) AS score FROM events)
-SELECT arm, score, score = max(score) OVER () AS winner FROM m""",
-    "attrition": """SELECT CASE WHEN user_id % 5 = 0 THEN 'none_expected' WHEN event_id % 7 < 3 THEN 'hit' WHEN event_id % 3 <> 0 AND event_id % 40 <= 20 THEN 'below_top_k'
-  WHEN event_id % 3 <> 0 THEN 'capped' ELSE 'never_in_pool' END AS bucket, count(*) AS n FROM events GROUP BY 1""",
+    "arm_winner": """WITH m AS (SELECT a.arm, a.nth, a.arm = 'oracle' AS is_reference, round(avg(value * a.share), 6) AS score
+  FROM events, (VALUES (1, 'full', 1.0::DOUBLE), (2, 'keyword', 0.9), (3, 'vector', 1.1), (4, 'again', 1.1), (5, 'oracle', 2.0)) AS a(nth, arm, share) GROUP BY 1, 2, 3)
+SELECT arm, score, is_reference, arm = (SELECT arm FROM m WHERE NOT is_reference ORDER BY score DESC, nth LIMIT 1) AS winner FROM m""",
+    "attrition": """SELECT CASE WHEN user_id % 5 = 0 THEN 'none_expected' WHEN event_id % 7 < 3 THEN 'hit' WHEN event_id % 3 <> 0 THEN 'below_top_k'
+  WHEN event_id % 40 >= 20 OR user_id % 11 = 0 THEN 'capped' ELSE 'never_in_pool' END AS bucket, count(*) AS n FROM events GROUP BY 1""",
     "limit_sweep": """WITH r AS (SELECT event_id % 50 + 1 AS rank FROM events WHERE user_id % 4 = 0)
 SELECT cap, count_if(rank <= cap)::BIGINT AS n_hits, round(count_if(rank <= cap) / count(*)::DOUBLE, 6) AS recall FROM r, (VALUES (1), (5), (10), (20), (50)) AS t(cap) GROUP BY 1""",
     "dedup_titles": sql("SELECT substr(name, 1, 6) AS title, max(node_id) AS node_id FROM nodes WHERE node_type = 'DataObject' GROUP BY 1", "nodes"),

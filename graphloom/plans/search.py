@@ -12,6 +12,9 @@ from graphloom.sources.tables import chunks, documents, edges, nodes, table
 from .views import sql
 
 
+NAME_ENDS = (".jar", "/billing.war", " .zip bundle", "-backup.tar", "é.ear", " Postgres.", "-os", " app.zip", " host name", " Model T", "hostname", " éhost")
+
+
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings")
 
@@ -59,7 +62,10 @@ def parse_edges(spark, sf):
 
 
 def classify_nodes(spark, sf):
-    t = table(spark, sf, "conversations").where("text IS NOT NULL")
+    """Turns of conversations, and parts as names of files and things."""
+    t = table(spark, sf, "conversations").where("text IS NOT NULL").select("text")
+    ends = F.array(*map(F.lit, NAME_ENDS))
+    t = t.unionByName(table(spark, sf, "part").select(F.concat(F.lower("p_brand"), F.get(ends, (F.col("p_partkey") % len(NAME_ENDS)).cast("int"))).alias("text")))
     return t.groupBy(text.classify_name(F.col("text")).alias("node_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -198,7 +204,17 @@ _KEYWORDS = rf"""list_slice(list_filter(list_transform(string_split_regex(text,
 _UNIT = """, u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 far AS (SELECT q.vec_id AS query_id, u.vec_id, u.label, round(list_cosine_distance(q.v, u.v), 6) AS distance FROM u q, u WHERE q.vec_id % 100 = 0)
 """
-_LADDER = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{w})(?:$|[^\\p{{L}}\\p{{N}}_])') THEN '{k}'" for k, w in NAME_WORDS) + (
+# SQL's own boundaries know ASCII letters only: they are spelled out, extensions with a letter or digit before their dot.
+_LETTER, _NONE = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+
+
+def _bounded(words):
+    dotted = [w for w in words.split("|") if w.startswith(r"\.")]
+    plain = "|".join(w for w in words.split("|") if w not in dotted)
+    return f"(?i)(?:(?:^|{_NONE})(?:{plain})" + (f"|{_LETTER}(?:{'|'.join(dotted)})" if dotted else "") + f")(?:$|{_NONE})"
+
+
+_LADDER = "CASE " + " ".join(f"WHEN regexp_matches(text, '{_bounded(w)}') THEN '{k}'" for k, w in NAME_WORDS) + (
     r" WHEN regexp_matches(trim(text), '^\p{Lu}\S*(\s+\p{Lu}\S*){0,2}$') THEN 'BusinessActor' ELSE 'BusinessObject' END"
 )
 _QUESTIONS = rf""", q AS (SELECT conv_id || ':' || turn AS query_id, conv_id, unnest(list_distinct({_KEYWORDS})) AS word FROM conversations
@@ -221,7 +237,8 @@ FROM chunks JOIN documents USING (doc_id)""", "chunks"),
     "parse_edges": sql(
         """SELECT source_type, source_id AS source_name, rel_type, CASE WHEN confidence IS NULL THEN '' ELSE 'Read' END AS detail,
   coalesce(confidence, 'EXTRACTED') AS confidence, target_type, target_id AS target_name FROM edges""", "edges"),
-    "classify_nodes": f"SELECT {_LADDER} AS node_type, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1",
+    "classify_nodes": f"""SELECT {_LADDER} AS node_type, count(*) AS n FROM (SELECT text FROM conversations WHERE text IS NOT NULL
+  UNION ALL SELECT lower(p_brand) || {list(NAME_ENDS)}[p_partkey % {len(NAME_ENDS)} + 1] FROM part) GROUP BY 1""",
     "chunk_mentions": sql(_NAMES + "SELECT chunk_id, doc_id, node_id FROM hits", "chunks"),
     "scope_semi_join": sql(_NAMES + "SELECT DISTINCT doc_id, chunk_id FROM hits WHERE node_id IN (SELECT node_id FROM names ORDER BY name LIMIT 3)", "chunks"),
     "knn_chunks": "WITH " + _UNIT[2:] + """SELECT query_id, vec_id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank FROM far

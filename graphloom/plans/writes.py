@@ -119,15 +119,22 @@ def code_graph_edges(spark, sf):
 
 
 def _modules(spark, sf):
-    """Nations as modules, their suppliers as classes on a base named by number, routes by market segment."""
-    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(
-        F.collect_list(F.struct(F.concat(F.lit("C"), "s_suppkey").alias("name"), F.array(F.concat(F.lit("C"), F.col("s_suppkey") - 25)).alias("bases"))).alias("classes")
-    )
-    r = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.collect_set(F.concat(F.lit("/"), F.lower("c_mktsegment"))).alias("routes"))
+    """Nations as modules; suppliers as classes, every fourth an entity that refers to another, with a public and a private method; routes by market segment."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("C"), k)
+    ref = lambda there: F.when(there, F.array(F.concat(F.lit("C"), k + 25))).otherwise(F.array().cast("array<string>"))
+    classes = F.struct(name.alias("name"), (k % 4 == 0).alias("entity"), ref(k % 4 == 0).alias("refs"), ref(k % 10 == 3).alias("views"))
+    methods = F.array(F.concat(name, F.lit(".run")), F.concat(name, F.lit("._load")))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.collect_list(classes).alias("classes"), F.flatten(F.collect_list(methods)).alias("methods"))
+    segment = F.lower("c_mktsegment")
+    handler = F.concat(F.when(F.length(segment) % 2 == 0, F.lit("on_")).otherwise(F.lit("_on_")), segment)
+    route = F.struct(F.concat(F.lit("GET /"), segment, F.lit(": "), handler).alias("label"), handler.alias("handler"))
+    r = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.collect_set(route).alias("routes"))
     imports = F.array(F.concat(F.lit("m"), F.col("n_nationkey") + 1), F.lit("os"))
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("m"), "n_nationkey").alias("module_name"), imports.alias("imports"))
-    none = F.expr("cast(array() as array<struct<name: string, bases: array<string>>>)")
-    return n.join(s, "k", "left").join(r, "k", "left").select("module_name", F.coalesce("classes", none).alias("classes"), "imports", F.coalesce("routes", F.array().cast("array<string>")).alias("routes"))
+    own = F.transform("routes", lambda x: x["handler"])
+    functions = F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in (F.col("methods"), own)))
+    return n.join(s, "k", "left").join(r, "k", "left").select("module_name", "classes", functions.alias("functions"), "routes", "imports")
 
 
 def batch_breakdown(spark, sf):
@@ -165,8 +172,18 @@ w AS (SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 1
   || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS node_id FROM u)
 """.replace("{namespace}", "".join(f"\\x{b:02X}" for b in writes.GRAPH.bytes))
 _MODULE_SQL = """WITH m AS (SELECT n_nationkey AS k, 'm' || n_nationkey AS module_name FROM nation),
-c AS (SELECT module_name || '.C' || s_suppkey AS name, module_name, module_name || '.C' || (s_suppkey - 25) AS base FROM supplier JOIN m ON s_nationkey = k),
-r AS (SELECT DISTINCT module_name, '/' || lower(c_mktsegment) AS name FROM customer JOIN m ON c_nationkey = k)
+c AS (SELECT module_name || '.C' || s_suppkey AS name, module_name, CASE WHEN s_suppkey % 4 = 0 THEN 'DataObject' ELSE 'ApplicationComponent' END AS kind, s_suppkey AS s,
+  module_name || '.C' || (s_suppkey + 25) AS other FROM supplier JOIN m ON s_nationkey = k),
+h AS (SELECT DISTINCT module_name, lower(c_mktsegment) AS seg, CASE WHEN length(c_mktsegment) % 2 = 0 THEN 'on_' ELSE '_on_' END || lower(c_mktsegment) AS fn FROM customer JOIN m ON c_nationkey = k),
+e AS (
+  SELECT 'ApplicationComponent' AS source_type, module_name AS source_name, 'Composition' AS rel_type, '' AS detail, kind AS target_type, name AS target_name FROM c
+  UNION SELECT kind, name, 'Access', '', 'DataObject', other FROM c WHERE s % 4 = 0
+  UNION SELECT kind, name, 'Realization', '', 'DataObject', other FROM c WHERE s % 10 = 3
+  UNION SELECT kind, name, 'Realization', '', 'ApplicationService', name || '.run' FROM c
+  UNION SELECT 'ApplicationComponent', module_name, 'Realization', '', 'ApplicationService', module_name || '.' || fn FROM h WHERE fn NOT LIKE '\\_%' ESCAPE '\\'
+  UNION SELECT 'ApplicationService', module_name || '.' || fn, 'Realization', '', 'ApplicationInterface', 'GET /' || seg || ': ' || fn FROM h WHERE fn NOT LIKE '\\_%' ESCAPE '\\'
+  UNION SELECT 'ApplicationComponent', module_name, 'Realization', '', 'ApplicationInterface', 'GET /' || seg || ': ' || fn FROM h WHERE fn LIKE '\\_%' ESCAPE '\\'
+  UNION SELECT 'ApplicationComponent', module_name, 'Composition', 'placeholder', 'ApplicationComponent', unnest(['m' || (k + 1), 'os']) FROM m)
 """
 SQL = {
     "graph_write_nodes": _LINES + "SELECT node_id, node_type, name, source_doc_id FROM w",
@@ -197,11 +214,9 @@ WHERE tenant_id = 'tenant_a' AND length(chunk_text) > 100 ORDER BY title, chunk_
         """, s AS (SELECT source_id, target_id, (row_number() OVER (PARTITION BY source_id ORDER BY target_id))::INT AS position,
   count(*) OVER (PARTITION BY source_id) AS n_items FROM edges WHERE rel_type = 'Serving')
 SELECT *, n_items > 200 AS truncated FROM s WHERE position <= 200""", "edges"),
-    "code_graph_nodes": _MODULE_SQL + """SELECT 'ApplicationComponent' AS node_type, module_name AS name FROM m UNION SELECT 'DataObject', name FROM c
-UNION SELECT 'ApplicationInterface', name FROM r""",
-    "code_graph_edges": _MODULE_SQL + """SELECT 'Composition' AS rel_type, module_name AS source_name, name AS target_name FROM c UNION SELECT 'Serving', module_name, name FROM r
-UNION SELECT 'Access', 'm' || k, 'm' || (k + 1) FROM m WHERE 'm' || (k + 1) IN (SELECT module_name FROM m)
-UNION SELECT 'Specialization', name, base FROM c WHERE base IN (SELECT name FROM c)""",
+    "code_graph_nodes": _MODULE_SQL + """SELECT source_type AS node_type, source_name AS name FROM e UNION SELECT target_type, target_name FROM e
+UNION SELECT 'ApplicationComponent', module_name FROM m""",
+    "code_graph_edges": _MODULE_SQL + "SELECT *, 'EXTRACTED' AS confidence FROM e",
     "batch_breakdown": None,
     "kept_artifacts": sql(
         """, p AS (SELECT job_id, max(ts) FILTER (event_type = 'purchase') AS closed_at, max(ts) AS last_at FROM progress GROUP BY 1)

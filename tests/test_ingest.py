@@ -113,7 +113,7 @@ if True:
     one = got["src/p/q.py"]
     assert (one.module_name, one.doc, one.imports, one.constants) == ("p.q", "about", ["os", "a.b", "c.d"], ["LIMIT", "LOW"])
     assert [(c.name, c.bases, c.doc) for c in one.classes] == [("K", ["base.B"], "a class")]
-    assert (one.functions, one.routes, one.error) == (["make", "K.m"], ["POST /x: make", "GET : m"], None)
+    assert (one.functions, [tuple(r) for r in one.routes], one.error) == (["make", "K.m"], [("POST /x: make", "make"), ("GET : m", "K.m")], None)
     assert len(got) == 4 and got["lib/p/__init__.PY"].error is None and got["app\\\\r.py"].error == "SyntaxError" and got["deep.py"].error
 
 
