@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph, rules
 from graphloom.registry import NODE_TYPES, RELATIONS, RULES
-from graphloom.sources.storage import cut
+from graphloom.sources.storage import materialize
 from graphloom.sources.tables import layer_of
 
 SECTIONS = ("overview", "hubs", "node types", "relations", "connections", "gaps", "conformance", "documents")
@@ -44,10 +44,10 @@ def brief(nodes: DataFrame, edges: DataFrame, docs: DataFrame, chunks: DataFrame
     Edges are written once. Types and relations, each a few dozen rows, are
     ranked in one task; documents are in the order of their ids and all listed.
     """
-    edges = cut(edges)
+    edges = materialize(edges)
     label = F.coalesce("confidence", F.lit("NULL"))
-    by_relation = cut(edges.groupBy("rel_type", label.alias("label")).agg(F.count(F.lit(1)).alias("n")))
-    by_type = cut(nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n")))
+    by_relation = materialize(edges.groupBy("rel_type", label.alias("label")).agg(F.count(F.lit(1)).alias("n")))
+    by_type = materialize(nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n")))
     labels = ("EXTRACTED", "INFERRED", "AMBIGUOUS", "NULL")
     shares = by_relation.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_edges"), *(F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n"))), F.lit(0)).alias(x) for x in labels))
     counted = by_type.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"), F.count(F.lit(1)).alias("n_types"))
@@ -56,7 +56,7 @@ def brief(nodes: DataFrame, edges: DataFrame, docs: DataFrame, chunks: DataFrame
     largest = F.row_number().over(Window.orderBy(F.desc("n"), "name"))
     types = by_type.select(F.col("node_type").alias("name"), "n").withColumn("rank", largest)
     relations = by_relation.groupBy(F.col("rel_type").alias("name")).agg(F.sum("n").alias("n")).withColumn("rank", largest)
-    hubs = cut(graph.hubs(nodes, edges, top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "node_id"))))
+    hubs = materialize(graph.hubs(nodes, edges, top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "node_id"))))
 
     first = hubs.where(F.col("rank") <= CONNECTED).select(F.col("node_id").alias("source_id"), "rank", "name")
     order = Window.partitionBy("source_id", "rel_type").orderBy("target_id")
@@ -64,7 +64,7 @@ def brief(nodes: DataFrame, edges: DataFrame, docs: DataFrame, chunks: DataFrame
     few = few.withColumn("place", F.row_number().over(Window.orderBy("rank", "rel_type", "target_id"))).where(F.col("place") <= CONNECTIONS)
     label = F.coalesce("confidence", F.lit("EXTRACTED"))
 
-    report = cut(rules.conformance(nodes, edges, docs, mentions, checks))
+    report = materialize(rules.conformance(nodes, edges, docs, mentions, checks))
     passed, n = F.col("status") == "passed", F.col("n_violations")
     summary = report.agg(F.count_if(passed).alias("passed"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "warning").alias("warnings"), F.count_if(F.col("status") == "error").alias("errors"))
     outcome = F.when(passed, "PASS").otherwise(_joined(F.upper("severity"), ", ", n, " violations"))

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.storage import cut
+from graphloom.sources.storage import materialize
 
 
 def in_blocks(df: DataFrame, key: str, *order: str) -> DataFrame:
     """Rows with ``block``, the number of their range of (key, order).
 
     A key of many rows spans many ranges; rows equal in both share one. The
-    checkpoint pins the ranges, so that all that is counted by block agrees.
+    table pins the ranges, so that all that is counted by block agrees.
     """
-    return cut(df.repartitionByRange(key, *order).withColumn("block", F.spark_partition_id()))
+    return materialize(df.repartitionByRange(key, *order).withColumn("block", F.spark_partition_id()))
 
 
 def with_blocks(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.registry import RULES
-from graphloom.sources.storage import cut
+from graphloom.sources.storage import materialize
 from graphloom.sources.tables import layer_of
 
 LISTED = 20
@@ -76,7 +76,7 @@ def unreachable(edges: DataFrame, nodes: DataFrame, start_type: str, entity_type
 
     The frontier is a set of nodes, not of pairs, so it never exceeds the nodes.
     """
-    step = edges.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("next"))
+    step = materialize(edges.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("next")))
     at = nodes.where(F.col("node_type") == start_type).select("node_id")
     found = []
     for _ in range(hops):
@@ -111,7 +111,7 @@ def violations(rule: dict, nodes: DataFrame, edges: DataFrame, docs: DataFrame,
 
 def conformance(nodes: DataFrame, edges: DataFrame, docs: DataFrame, mentions: DataFrame, rules: Sequence[dict] = RULES) -> DataFrame:
     """(rule_id, severity, n_violations, status): one row per rule; a rule without violations has passed."""
-    degrees = cut(degree_table(edges))
+    degrees = materialize(degree_table(edges))
     found = reduce(DataFrame.unionByName, (violations(r, nodes, edges, docs, mentions, degrees) for r in rules))
     counts = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
     named = nodes.sparkSession.createDataFrame([(r["rule_id"], r["severity"]) for r in rules], "rule_id string, severity string")

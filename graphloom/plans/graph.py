@@ -113,6 +113,15 @@ def neighborhood(spark, sf):
     return graph.neighborhood(edges(spark, sf), "nat:3", 2, 100)
 
 
+def impact_paths(spark, sf):
+    """The fifty nearest nodes that a change of a region reaches, with the way to each."""
+    return graph.impact_paths(edges(spark, sf), nodes(spark, sf), IMPACT_FROM, 4)
+
+
+def neighborhood_edges(spark, sf):
+    return graph.neighborhood_edges(edges(spark, sf), "nat:3", 2, 100)
+
+
 def edge_canonicalise(spark, sf):
     return graph.canonical(edges(spark, sf))
 
@@ -276,6 +285,13 @@ k2 AS (SELECT source_id, target_id FROM (SELECT *, row_number() OVER (PARTITION
   WHERE source_id IN (FROM h1) OR target_id IN (FROM h1)) WHERE n <= 100),
 h2 AS ((SELECT source_id AS node_id FROM k2 UNION SELECT target_id FROM k2) EXCEPT (SELECT node_id FROM h1 UNION SELECT 'nat:3'))
 SELECT 'nat:3' AS node_id, 0 AS hop UNION ALL SELECT node_id, 1 FROM h1 UNION ALL SELECT node_id, 2 FROM h2""", "edges"),
+    "neighborhood_edges": sql(
+        """, k1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rel_type ORDER BY source_id, target_id) AS n FROM edges
+  WHERE source_id = 'nat:3' OR target_id = 'nat:3') WHERE n <= 100),
+h1 AS (SELECT source_id AS node_id FROM k1 UNION SELECT target_id FROM k1 EXCEPT SELECT 'nat:3'),
+k2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rel_type ORDER BY source_id, target_id) AS n FROM edges
+  WHERE source_id IN (FROM h1) OR target_id IN (FROM h1)) WHERE n <= 100)
+SELECT DISTINCT source_id, target_id, rel_type, coalesce(confidence, 'EXTRACTED') AS confidence FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2)""", "edges"),
     "edge_canonicalise": sql(
         f"""SELECT CASE WHEN swapped THEN target_id ELSE source_id END AS source_id, CASE WHEN swapped THEN target_type ELSE source_type END AS source_type,
   CASE WHEN swapped THEN source_id ELSE target_id END AS target_id, CASE WHEN swapped THEN source_type ELSE target_type END AS target_type, rel_type, confidence, swapped
@@ -321,4 +337,28 @@ FROM reached JOIN nodes USING (node_id) WHERE hops > 0 GROUP BY 1""",
     "ways", "nodes", recursive=True,
 )
 
+
+
+def _traced(hops):
+    """Unrolled walks from a node: what rose at each number of hops, with the way to it."""
+    factor = "CASE lab WHEN 'INFERRED' THEN 0.5::DOUBLE WHEN 'AMBIGUOUS' THEN 0.0 ELSE 1.0 END"
+    parts = [f""", w AS (SELECT node_id AS prev, other_id AS node_id, other_type, rel_type, direction, coalesce(confidence, 'EXTRACTED') AS lab FROM ways),
+f0 AS (SELECT node_id, 1.0::DOUBLE AS conf, 0 AS hops, node_type AS other_type, name AS path FROM nodes WHERE node_id = '{IMPACT_FROM}')"""]
+    for h in range(1, hops + 1):
+        known = " UNION ALL ".join(f"SELECT node_id, conf FROM f{i}" for i in range(h))
+        parts.append(f"""c{h} AS (SELECT w.*, f.conf * {factor} AS conf, f.path FROM f{h - 1} f JOIN w ON w.prev = f.node_id WHERE f.conf * {factor} >= 0.1),
+f{h} AS (SELECT node_id, c.conf, {h} AS hops, other_type, path || CASE direction WHEN 'outgoing' THEN ' -[' || rel_type || ', ' || lab || ']-> (' ELSE ' <-[' || rel_type || ', ' || lab || ']- (' END
+  || other_type || ')' AS path FROM (SELECT * FROM c{h} QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY conf DESC, prev, rel_type, direction, lab, other_type) = 1) c
+  LEFT JOIN (SELECT node_id, max(conf) AS known FROM ({known}) GROUP BY 1) k USING (node_id) WHERE known IS NULL OR c.conf > known)""")
+    rows = " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(hops + 1))
+    parts.append(f"r AS (SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY conf DESC, hops) = 1)")
+    return ",\n".join(parts)
+
+
+SQL["impact_paths"] = sql(
+    _traced(4) + f"""SELECT node_id, coalesce(name, node_id) AS name, other_type AS node_type, {_LAYER_CASE.format("other_type")} AS layer, hops, round(conf, 3) AS confidence, path
+FROM r LEFT JOIN nodes USING (node_id) WHERE hops > 0 ORDER BY hops, conf DESC, node_id LIMIT 50""",
+    "ways", "nodes",
+)
+
 QUERIES = {name: globals()[name] for name in SQL}
