@@ -1,62 +1,13 @@
-"""Shared helpers: intermediate tables in the cluster's shared folder and connected components."""
+"""Shared helpers over intermediate tables: counts, numbers in order and connected components."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import shared_dir
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-_scopes: list[list[DataFrame]] = []
-
-
-@contextmanager
-def owned_tables() -> Iterator[None]:
-    """Tables written inside are deleted at the end; results that read them must be written or collected before."""
-    mine: list[DataFrame] = []
-    _scopes.append(mine)
-    try:
-        yield
-    finally:
-        _scopes.remove(mine)
-        discard(*mine)
-
-
-def materialize(df: DataFrame, owned: bool = True) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage with replicated storage: a lost executor loses no
-    part of the table. Shuffle files of the write go when it has ended. The
-    table goes with the scope it is written in, if there is one and it is ``owned``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    if owned and _scopes:
-        _scopes[-1].append(out)
-    return out
-
+from ..sources.storage import discard, materialize, owned_tables
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of :func:`materialize` that nothing lazy reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._shared_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["connected_components", "discard", "materialize", "numbered_in_order", "owned_tables", "row_count"]
 
 
 def row_count(df: DataFrame) -> int:
