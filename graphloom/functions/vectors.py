@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 10_000
 TILE_ROWS = 10_000
+#: Distances that a task holds at once.
+PAIRS = 1 << 21
 # Fixed value: the least number that points are divided by.
 LEAST_SCALE = 1e-6
 
@@ -51,21 +56,74 @@ def tiled_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return mine.hint("merge").join(other, ["_a", "_b", *on]).drop("_a", "_b")
 
 
+def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list column as a matrix of unit rows, and the places of the rows that have one.
+
+    Left out: null and zero vectors, those of another size, and those with a missing or infinite number.
+    """
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    places = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(column), size), False).to_numpy(zero_copy_only=False))
+    x = column.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(places), size)
+    with np.errstate(all="ignore"):
+        length = np.sqrt((x * x).sum(1))
+        fine = np.isfinite(length) & (length > 0)
+        return x[fine] / length[fine, None], places[fine]
+
+
+def _first_of(far: np.ndarray, groups: np.ndarray, k: int) -> np.ndarray:
+    """Rows of a column of distances that may be among the ``k`` least of their group, equals and near-equals included."""
+    out = []
+    for g in range(groups.max() + 1 if len(groups) else 0):
+        mine = np.flatnonzero(groups == g)
+        edge = np.partition(far[mine], k - 1)[k - 1] if len(mine) > k else np.inf
+        out.append(mine[far[mine] <= edge + 1e-6])
+    return np.concatenate(out) if out else np.zeros(0, int)
+
+
+def _near(asked: np.ndarray, ids: pa.Array, k: int, within: tuple[str, ...]):
+    rows = max(1, PAIRS // max(1, len(asked)))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                batch = whole.slice(lo, rows)
+                x, places = matrix(batch.column("embedding"), asked.shape[1])
+                batch = batch.take(pa.array(places)).drop_columns(["embedding"])
+                keys = pa.Table.from_batches([batch]).select(list(within)).to_pandas() if within else None
+                groups = keys.groupby(list(within), dropna=False).ngroup().to_numpy() if within and len(keys) else np.zeros(len(places), int)
+                far = 1 - x @ asked.T
+                for q in range(len(asked)):
+                    first = _first_of(far[:, q], groups, k)
+                    if len(first):
+                        part = batch.take(pa.array(first))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(first), q))), *part.columns, pa.array(far[first, q])], ["query_id", *part.schema.names, "distance"])
+
+    return near
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: tuple[str, ...] = (), small: int = BROADCAST_ROWS) -> DataFrame:
     """The ``k`` nearest vectors by cosine distance for each query, and for each value of ``within``.
 
     ``queries`` has (query_id, query); ``vectors`` has (vec_id, embedding) and
     more. Exact: the stated queries run against all vectors. Up to ``small``
-    queries are broadcast, more are met in tiles; the top k are cut in each
-    task before the shuffle.
+    queries go to every task as one matrix, so that a batch of vectors is one product and
+    only its own nearest leave it; more queries are met in tiles. Vectors that are
+    null, zero, not finite or of another size than the queries are left out.
     """
-    q, v = unit(queries, "query"), unit(vectors, "embedding")
-    if queries.limit(small + 1).count() <= small:
-        pairs = v.crossJoin(F.broadcast(q))
-    else:
-        pairs = tiled_pairs(v, q, "vec_id", "query_id")
-    far = pairs.withColumn("distance", F.round(1 - dot(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
     order = Window.partitionBy("query_id", *within).orderBy("distance", "vec_id")
+    asked = queries.select("query_id", "query").limit(small + 1).toArrow()
+    if asked.num_rows <= small:
+        sizes = pc.list_value_length(asked.column("query"))
+        size = pc.max(sizes).as_py() or 1
+        x, places = matrix(asked.column("query"), size)
+        ids = asked.column("query_id").combine_chunks().take(pa.array(places))
+        kept = vectors.select([c for c in vectors.columns if c not in ("query_id", "distance")])
+        others = [f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "embedding"]
+        schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", *others, "distance double"])
+        far = kept.mapInArrow(_near(x, ids, k, within), schema).withColumn("distance", F.round("distance", 6))
+    else:
+        pairs = tiled_pairs(unit(vectors, "embedding"), unit(queries, "query"), "vec_id", "query_id")
+        far = pairs.withColumn("distance", F.round(1 - dot(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
     return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

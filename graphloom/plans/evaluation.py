@@ -138,14 +138,6 @@ def entity_search(spark, sf):
     return s.join(best, "node_id").orderBy(F.desc("score"), "node_id").limit(20).select("node_id", "name", "score")
 
 
-def query_variants(spark, sf):
-    """Three variants of a question: a vector found by several keeps its least distance; the best ten stay."""
-    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    ask = v.where("vec_id IN (0, 100, 200)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    best = vectors.nearest(ask, v, 10).groupBy("vec_id").agg(F.min("distance").alias("distance"), F.count(F.lit(1)).alias("n_variants"))
-    return best.orderBy("distance", "vec_id").limit(10)
-
-
 def first_occurrences(spark, sf):
     """Chunks told apart by how they start: the first of a start, in the order of documents and chunks, stays."""
     c = chunks(spark, sf).withColumn("start", F.substring("chunk_text", 1, 150))
@@ -254,9 +246,6 @@ SELECT node_id, hop, node_type, coalesce(name, node_id) AS name FROM r LEFT JOIN
 a AS (SELECT node_id, CASE WHEN contains(lower(name), '7') THEN 1.0::DOUBLE WHEN contains(lower(description), '7') THEN 0.6::DOUBLE END AS score FROM s
   UNION ALL SELECT n0, round(greatest(1 - distance, 0) * 0.8::DOUBLE, 6) FROM seed_40)
 SELECT node_id, name, max(score) AS score FROM a JOIN s USING (node_id) WHERE score IS NOT NULL GROUP BY 1, 2 ORDER BY score DESC, node_id LIMIT 20""",
-    "query_variants": """WITH f AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance
-  FROM embeddings q, embeddings v WHERE q.vec_id IN (0, 100, 200) QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, v.vec_id) <= 10)
-SELECT vec_id, min(distance) AS distance, count(*) AS n_variants FROM f GROUP BY 1 ORDER BY 2, 1 LIMIT 10""",
     "first_occurrences": sql(
         """, r AS (SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY substr(chunk_text, 1, 150) ORDER BY doc_id, chunk_index) AS k,
   count(*) OVER (PARTITION BY substr(chunk_text, 1, 150)) AS n FROM chunks) SELECT doc_id, chunk_index, n FROM r WHERE k = 1""", "chunks"),

@@ -154,34 +154,6 @@ def keyword_search(spark, sf):
     return retrieval.keyword_ranks(_questions(spark, sf), _seen(spark, sf))
 
 
-def _with_vector(spark, sf, df, number):
-    """Rows with the ``vec_id`` of their number, modulo the count of all vectors: one broadcast row."""
-    every = _vectors(spark, sf).agg(F.count(F.lit(1)).alias("n_vectors"))
-    return df.crossJoin(F.broadcast(every)).withColumn("vec_id", F.try_mod(number, F.col("n_vectors"))).drop("n_vectors")
-
-
-def hybrid_search(spark, sf):
-    """Keyword, vector and graph ranks of the chunks a tenant may see, fused, with the graph's boost."""
-    from pyspark.sql import Window
-
-    c, q = _seen(spark, sf), _questions(spark, sf)
-    kw = retrieval.keyword_ranks(q, c)
-    v = _vectors(spark, sf).select("vec_id", "embedding")
-    asked = _with_vector(spark, sf, q, F.col("conv_id")).join(v.withColumnRenamed("embedding", "query"), "vec_id").select("query_id", "query")
-    near = vectors.nearest(asked, v, 20)
-    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    held = _with_vector(spark, sf, c, F.col("doc_id") * 31 + F.col("chunk_index")).select("chunk_id", "vec_id")
-    vec = near.drop("rank").join(held, "vec_id").withColumn("rank", F.row_number().over(order)).where("rank <= 20")
-    # only candidates are looked through for names
-    listed = kw.select("chunk_id").unionByName(vec.select("chunk_id")).distinct()
-    found = retrieval.mentions(c.join(listed, "chunk_id", "left_semi"), _names(spark, sf))
-    sure = edges(spark, sf).where("rel_type = 'Access'").select(F.concat(F.lit("b:"), F.substring("target_id", 5, 20).cast("bigint") % 40).alias("node_id"), "confidence")
-    boosts = retrieval.graph_boost(found, sure)
-    hot = Window.partitionBy("query_id").orderBy(F.desc("n_mentions"), "chunk_id")
-    linked = kw.select("query_id", "chunk_id").join(boosts, "chunk_id").withColumn("rank", F.row_number().over(hot))
-    return retrieval.fuse({"keyword": kw, "vector": vec, "graph": linked}, c, boosts=boosts)
-
-
 def budget_cut(spark, sf):
     """The labels of the hubs' edges that fit into 2000 characters, surest first."""
     e, n = edges(spark, sf), nodes(spark, sf)
@@ -261,23 +233,6 @@ FROM v LEFT JOIN x USING (vec_id) LEFT JOIN f USING (vec_id) WHERE vec_id % 2 =
 s AS (SELECT max(greatest(abs(x), abs(y), abs(z), 1e-6)) AS scale FROM p)
 SELECT vec_id, round(x / scale, 6) AS x, round(y / scale, 6) AS y, round(z / scale, 6) AS z FROM p, s""",
     "keyword_search": sql(_QUESTIONS + "SELECT * FROM kw", "chunks", "docs"),
-    "hybrid_search": sql(
-        _QUESTIONS + _NAMES + """, u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-asked AS (SELECT DISTINCT conv_id || ':' || turn AS query_id, conv_id % (SELECT count(*) FROM embeddings) AS vec_id FROM conversations WHERE role = 'user' AND conv_id % 100 = 0 AND text IS NOT NULL),
-near AS (SELECT query_id, u.vec_id, round(list_cosine_distance(k.v, u.v), 6) AS distance FROM asked JOIN u k USING (vec_id), u
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, u.vec_id) <= 20),
-vec AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
-  FROM near JOIN seen ON (doc_id * 31 + chunk_index) % (SELECT count(*) FROM embeddings) = vec_id QUALIFY rank <= 20),
-sure AS (SELECT 'b:' || (substr(target_id, 5)::BIGINT % 40) AS node_id, count(*) AS total, count(*) FILTER (coalesce(confidence, 'EXTRACTED') = 'EXTRACTED') AS sure
-  FROM edges WHERE rel_type = 'Access' GROUP BY 1),
-boost AS (SELECT chunk_id, round(0.3::DOUBLE * (0.5 + 0.5 * coalesce(sum(sure)::DOUBLE / sum(total), 0)) * count(*) / 61, 6) AS boost FROM hits LEFT JOIN sure USING (node_id) GROUP BY 1),
-lnk AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS rank
-  FROM kw JOIN (SELECT chunk_id, count(*) AS n FROM hits GROUP BY 1) USING (chunk_id)),
-l AS (SELECT query_id, chunk_id, 0.4 AS weight, rank FROM kw UNION ALL SELECT query_id, chunk_id, 1.0, rank FROM vec UNION ALL SELECT query_id, chunk_id, 0.5, rank FROM lnk),
-b AS (SELECT query_id, substr(chunk_text, 1, 150) AS start, weight, min(rank) AS rank, min(chunk_id) AS chunk_id, max(coalesce(boost, 0)) AS boost
-  FROM l JOIN chunks USING (chunk_id) LEFT JOIN boost USING (chunk_id) GROUP BY 1, 2, 3),
-f AS (SELECT query_id, start, min(chunk_id) AS chunk_id, round(sum(weight::DOUBLE / (60 + rank)) + max(boost), 6) AS rrf FROM b GROUP BY 1, 2)
-SELECT query_id, chunk_id, rrf, (row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id))::INT AS rank FROM f QUALIFY rank <= 15""", "chunks", "docs", "edges"),
     "budget_cut": sql(
         """, d AS (SELECT node_id, count(*) AS degree FROM (SELECT source_id AS node_id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY 1),
 h AS (SELECT node_id FROM d JOIN nodes USING (node_id) ORDER BY degree DESC, node_id LIMIT 10),

@@ -85,11 +85,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id")).alias("title"), tenant.alias("tenant_id"), "text", "source", "n_chars")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores: only an input of fewer splits than there are cores is moved, so never a large one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, chunk_index, chunk_id, chunk_text): overlapping windows of the documents."""
     from graphloom.functions.text import window_chunks
 
-    return window_chunks(documents(spark, sf_dir).select("doc_id", "text"), CHUNK_SIZE, CHUNK_STEP)
+    return window_chunks(spread(documents(spark, sf_dir).select("doc_id", "text")), CHUNK_SIZE, CHUNK_STEP)
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:

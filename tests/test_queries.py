@@ -1,11 +1,13 @@
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 
 from compare import difference  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from graphloom.plans import catalogue  # noqa: E402
 
@@ -21,13 +23,64 @@ def test_query(spark, sf_dir, name):
         assert df.count() > 0
 
 
-def test_hybrid_search_ranks_every_vector(spark, sf_dir, tmp_path):
-    """All 2000 vectors of the larger table are candidates, beside the smaller other tables."""
-    for f in Path(sf_dir).iterdir():
-        (tmp_path / f.name).symlink_to(f)
-    (tmp_path / "embeddings.parquet").unlink()
-    (tmp_path / "embeddings.parquet").symlink_to("/root/testdata/sf0.1/embeddings.parquet")
-    assert difference(QUERIES["hybrid_search"](spark, str(tmp_path)), SQL["hybrid_search"], str(tmp_path)) == ""
+def test_the_graph_adds_chunks_that_no_other_list_has(spark):
+    """A question's seed leads over one edge to a name; only a chunk with that name, and the question's own names, count."""
+    from graphloom.operators import expansion, retrieval
+
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("other", [0.0, 1.0])], "query_id string, query array<double>")
+    rows = [("a", "Goal", "alpha", [1.0, 0.1]), ("b", "Goal", "beta", [0.0, 0.0]), ("c", "Role", "gamma", [0.1, 1.0]), ("d", "Role", "delta", [-1.0, 0.0])]
+    nodes = spark.createDataFrame(rows, "node_id string, node_type string, name string, embedding array<double>")
+    links = [("a", "Goal", "b", "Flow", "INFERRED"), ("a", "Goal", "x", "Flow", None), ("c", "Role", "d", "Flow", None)] + [("a", "Goal", f"z{i}", "Access", None) for i in range(9)]
+    edges = spark.createDataFrame(links, "source_id string, source_type string, target_id string, rel_type string, confidence string").withColumn("target_type", F.lit("Goal"))
+    seeds = expansion.seeds(asked.where("query_id = 'q'"), nodes, 1)
+    assert {(r.query_id, r.node_id) for r in seeds.collect()} == {("q", "a"), ("q", "c")}
+    found = expansion.connections(seeds.where("node_type = 'Goal'"), edges, nodes)
+    assert [r.l for r in found.select(expansion.label().alias("l")).collect()] == ["alpha (Goal) -[Flow, INFERRED]-> beta (Goal)"]
+    names = expansion.discovered(found)
+    assert [(r.name, r.place) for r in names.orderBy("place").collect()] == [("alpha", 1), ("beta", 2)]
+    texts = [("1:0", 1, 0, "nothing at all"), ("2:0", 2, 0, "we met Beta here"), ("3:0", 3, 0, "gamma only")]
+    c = spark.createDataFrame(texts, "chunk_id string, doc_id int, chunk_index int, chunk_text string")
+    mentions = retrieval.mentions(c, nodes).join(c.select("chunk_id", "chunk_index"), "chunk_id")
+    graph = expansion.expanded_chunks(expansion.named_entities(names, nodes), mentions)
+    assert [(r.chunk_id, r.rank) for r in graph.collect()] == [("2:0", 1)]
+    keyword = spark.createDataFrame([("q", "1:0", 1), ("q", "3:0", 2)], "query_id string, chunk_id string, rank int")
+    candidates = keyword.select("query_id", "chunk_id").unionByName(graph.select("query_id", "chunk_id")).join(c, "chunk_id")
+    boosts = expansion.boosts(candidates, names, found)
+    assert [(r.chunk_id, r.n_named, r.boost) for r in boosts.collect()] == [("2:0", 1, round(0.3 * 0.5 / 61, 6))]
+    fused = retrieval.fuse({"keyword": keyword, "graph": graph}, c, 15, boosts).orderBy("rank").collect()
+    assert [(r.chunk_id, r.lists, r.rrf) for r in fused] == [("2:0", "graph", round(0.5 / 61 + 0.002459, 6)), ("1:0", "keyword", 0.006557), ("3:0", "keyword", 0.006452)]
+
+
+def test_nearest_in_matrices_equals_pairs_in_tiles(spark):
+    """Odd vectors are left out alike, ties go by id, and small lots of rows give the same."""
+    from graphloom.functions import vectors
+
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i % 3), rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows + [(900, 0, None), (901, 0, [0.0] * 4)], "vec_id int, label int, embedding array<double>").repartition(3)
+    q = df.where("vec_id % 20 = 0 AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for within in ((), ("label",)):
+        a, b = (sorted(map(tuple, vectors.nearest(q, df, 5, within, small).select("query_id", "vec_id", "distance", "rank").collect())) for small in (100, 0))
+        assert a == b and len(a) >= 5 * 9
+    odd = spark.createDataFrame([(1, [1.0, None]), (2, [1.0]), (3, [float("nan"), 1.0]), (4, [1.0, 1.0])], "vec_id int, embedding array<double>")
+    one = spark.createDataFrame([(7, [1.0, 0.0])], "query_id int, query array<double>")
+    assert [r.vec_id for r in vectors.nearest(one, odd, 3).collect()] == [4]
+    assert vectors.nearest(one.limit(0), odd, 3).count() == 0
+
+
+def test_texts_as_vectors(spark):
+    from graphloom.functions import embedding
+
+    rows = [(1, "Alpha, beta alpha!"), (2, None), (3, "..."), (4, "naïve_2 Äpfel")]
+    got = {r.k: r.embedding for r in embedding.embed(spark.createDataFrame(rows, "k int, t string"), ["k"], "t").collect()}
+    want = np.zeros(64)
+    for w in ("alpha", "beta", "alpha"):
+        h = embedding.word_code(w)
+        want[h % 64] += 1 - 2 * (h // 64 % 2)
+    assert got[1] == want.tolist() and got[2] == got[3] == [0.0] * 64 and sum(abs(x) for x in got[4]) in (0, 2)
+    one = spark.range(1)
+    long = one.select(embedding.stored_text(F.lit("ctx"), F.lit("x" * 20_000)).alias("s"), embedding.embedding_text(F.lit(None).cast("string"), F.lit(""), F.lit("t")).alias("e")).first()
+    assert len(long.s) == 10_000 and long.s.startswith("ctx\n---\nx") and long.e == "t"
 
 
 def test_searches_see_no_other_tenant(spark, sf_dir):
