@@ -9,16 +9,18 @@ below the fraction, that tells a short text from an empty one.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_count
+from .common import discard, materialize, numbered_in_order, row_count
 
 SHINGLE_WORDS = 5
 FRACTION = 1 / 4
 _TOP = 1 << 63
-#: Documents of a range whose next documents one task finds, about, and the most ranges there are.
-RANGE_ROWS, MAX_RANGES = 256, 20_000
+#: Documents of a range whose next documents one task finds, about, as long as that makes no more than ``SMALL_RANGES`` ranges; beyond them, about so many bytes of text.
+RANGE_ROWS, SMALL_RANGES, RANGE_BYTES = 256, 20_000, 1 << 27
 
 
 def sketch(text: Column, words: int = SHINGLE_WORDS, fraction: float = FRACTION) -> Column:
@@ -70,22 +72,32 @@ def merge(a: Column, b: Column) -> Column:
 
 
 def as_text(s: Column) -> Column:
-    """A sketch's hashes in hexadecimal digits, comma-joined."""
-    return F.array_join(F.transform(s["hashes"], lambda h: F.lower(F.hex(h))), ",")
+    """A sketch's hashes in base 64: the first six bytes of each, moved up by the bit that is always 0, so eight characters for a hash."""
+    return F.base64(F.unhex(F.array_join(F.transform(s["hashes"], lambda h: F.substring(F.lpad(F.hex(F.shiftleft(h, 1)), 16, "0"), 1, 12)), "")))
 
 
 def _place(key: Column, kind: str) -> Column:
-    """A whole number that orders as the key does, but for ties: the key, or the first bytes of its text."""
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return key.cast("bigint")
-    return F.conv(F.rpad(F.hex(F.substring(key.cast("string").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    """What orders the keys: whole numbers as such, others as text."""
+    return key.cast("bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string")
+
+
+def _bounds(places: DataFrame, ranges: int, n: int) -> list:
+    """Least places of all ranges but the first, so that each has as many of the ``n`` rows; null is no place. All bytes of a text count."""
+    if ranges < 2:
+        return []
+    step = max(1, n // ranges)
+    ordered = numbered_in_order(places.where("place IS NOT NULL"), "place")
+    # as many rows as ranges
+    found = [r.place for r in ordered.where((F.col("nth") > 0) & (F.col("nth") % step == 0)).select("place").distinct().collect()]
+    discard(ordered)
+    return sorted(found)
 
 
-def _range(place: Column, bounds: list[int]) -> Column:
+def _range(place: Column, bounds: list, kind: str) -> Column:
     """How many of the sorted ``bounds`` are at or below the place: a binary search in one constant array."""
     if not bounds:
         return F.lit(0)
-    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    table = F.from_json(F.lit(json.dumps(bounds)), f"array<{kind}>")
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
     fits = lambda at, step: F.coalesce(F.get(table, at + step - 1) <= place, F.lit(False))
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
@@ -99,22 +111,23 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     key come last in order. Rows of one key stand next to each other, by text,
     in one range. A single document is its own next one. The key is a whole
     number, or a string in the order of its bytes. An empty table gives an empty
-    result; other columns are ignored. Documents are dealt out in ranges of the
-    order, cut at quantiles of the keys, at most ``MAX_RANGES`` however many
-    documents there are.
+    result; other columns are ignored. Texts are read whole; a task holds the longest
+    a few times, with eight bytes for each of its words. Documents are dealt out in ranges of the
+    order, cut at quantiles of the whole keys, whose number grows with the table.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     place = _place(F.col("id"), kind)
     n = row_count(rows.select("id"))
-    ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    cuts = [i / ranges for i in range(1, ranges)]
-    found = rows.agg(F.percentile_approx(place, cuts, 10 * MAX_RANGES)).first()[0] if cuts else None
-    bounds = sorted(set(found or []))
+    ranges = max(1, n // RANGE_ROWS)
+    if ranges > SMALL_RANGES:
+        ranges = max(SMALL_RANGES, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
+    places = rows.select(place.alias("place"))
+    bounds = _bounds(places, ranges, n)
     # rows without a key: ranges of their own after the others, by a hash of their texts
     after = F.lit(len(bounds) + 1) + F.pmod(F.xxhash64("text"), F.lit(ranges)).cast("int")
-    rows = rows.withColumn("range", F.when(place.isNull(), after).otherwise(_range(place, bounds)))
-    # the first text of each range: at most two rows for each of MAX_RANGES ranges
+    rows = rows.withColumn("range", F.when(place.isNull(), after).otherwise(_range(place, bounds, places.schema["place"].dataType.simpleString())))
+    # the first text of each range: at most two rows for each range
     first = materialize(rows.groupBy("range").agg(F.min("id").alias("first")))
     at = F.broadcast(first.withColumnRenamed("range", "r"))
     heads = rows.join(at, (F.col("range") == F.col("r")) & F.col("id").eqNullSafe(F.col("first"))).groupBy("range").agg(F.min("text").alias("head"))

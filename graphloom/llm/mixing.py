@@ -14,13 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, numbered_in_order
+from .common import discard, materialize, numbered_in_order, row_count
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 #: How far a source's weight rises (or, if negative, falls) over training, in turn by source.
 TILTS = (0.5, 0.0, -0.5)
-BUCKETS = 1024
+#: Ranges of a source's order: as many as there are documents for, about, and at least so many.
+BUCKET_ROWS, BUCKETS = 10_000, 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,13 +59,15 @@ def due_time(share: F.Column, tilt: F.Column) -> F.Column:
 
 def _schedule(
     docs: DataFrame, columns: list[str], key: str, text: str, source: str,
-    weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, tilts: tuple[float, ...] = TILTS, buckets: int = BUCKETS,
+    weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, tilts: tuple[float, ...] = TILTS, buckets: int | None = None,
 ) -> DataFrame:
     """(row, size, source_size, target, meetings): ``columns`` of each document as a struct, and its meetings.
 
     A source is dealt out in ``buckets`` ranges of its pseudo-random order, so
-    that a large one is no single task.
+    that a large one is no single task. Their number grows with the table: a
+    range has about ``BUCKET_ROWS`` documents at most.
     """
+    buckets = buckets or max(BUCKETS, row_count(docs.select(key)) // BUCKET_ROWS)
     x = F.coalesce(F.col(text).cast("string"), F.lit(""))
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))  # never null, so an equi-join finds the null source too
     base = docs.select(
@@ -119,7 +122,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sources' sums differ from their targets by less than a word. A null text has
     size 0, a null source is a source of its own, last in order, and a null key
     is a document like others. Rows repeated with their key are met each on
-    their own. An empty table gives an empty result; other columns are ignored.
+    their own. Documents equal in order, key and size take any order among
+    themselves, which changes no figure but whose of the equals it is. Texts are counted whole, however
+    long. An empty table gives an empty result; other columns are ignored.
     """
     first = F.col("meetings")[0]
     taken = F.aggregate("meetings", F.lit(0).cast("bigint"), lambda n, m: n + m["taken"])

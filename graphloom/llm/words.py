@@ -76,6 +76,17 @@ class Words:
         return mix(h + (self.ends - self.starts).astype(np.uint64) * _STEP)
 
 
+def part_sum(part: np.ndarray, at: int) -> int:
+    """What the bytes from place ``at`` of a word add to the sum that its hash is made from."""
+    power, _ = _power_tables(_BASE, len(part) + 1)
+    return int(((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)]).sum()) * pow(int(_BASE), at, 1 << 64)
+
+
+def word_hash(total: int, size: int) -> int:
+    """The hash of a word, as :meth:`Words.hashes` gives it, from the sum of its parts."""
+    return int(mix(np.array([(total + size * int(_STEP)) % (1 << 64)], np.uint64))[0])
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Slice]:
     """The texts of an Arrow column (null: empty) in slices of about ``limit`` bytes and at most ``rows`` rows."""
     column = column.cast(pa.large_binary()).fill_null(b"")

@@ -550,6 +550,18 @@ def test_quality(spark, odd, empty):
     assert quality.train(empty.withColumn("quality", F.lit(1))).score(np.zeros((1, quality.DIM + quality.SHAPES), bool))[0] == 0.5
 
 
+def test_quality_of_long_texts_in_pieces(monkeypatch):
+    """A long text has the same indicators piece by piece, with words of any length, and takes little memory."""
+    rng = np.random.default_rng(8)
+    words = [w for _, w in zip(range(4000), iter(lambda: "".join(rng.choice(list("abcXYZ019-é. "), rng.integers(1, 30))), None))]
+    for text in (" ".join(words), "x" * 5000 + " y " + "Ab9" * 3000 + " " + " ".join(words), "\n" * 3000 + "end", "a" * 4097):
+        s = next(iter(text_slices(pa.array([text]))))
+        whole = quality._indicators(s)
+        monkeypatch.setattr(quality, "LONG", 1000)
+        assert (quality._indicators(s) == whole).all() and whole.any()
+        monkeypatch.undo()
+
+
 def test_support_vectors_against_a_plain_solver():
     """The fitted weights' objective is that of the same problem solved by projected gradient over all dual variables."""
     rng = np.random.default_rng(8)
@@ -620,7 +632,7 @@ def test_fingerprints_in_ranges(spark, monkeypatch, kind):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 3)
     rng = np.random.default_rng(2)
     ids = [int(i) for i in rng.integers(-(10**15), 10**15, 40)] + [5, 5, 5, None, None]
-    rows = [(i if kind == "bigint" or i is None else f"k{i}", f"text {n} of {n % 7} words " + "z " * n) for n, i in enumerate(ids)]
+    rows = [(i if kind == "bigint" or i is None else f"a long, \"common\" é prefix {i}", f"text {n} of {n % 7} words " + "z " * n) for n, i in enumerate(ids)]
     df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
     inner = sorted([r for r in rows if r[0] is not None])
     nulls = [r for r in rows if r[0] is None]
@@ -633,6 +645,8 @@ def test_fingerprints_in_ranges(spark, monkeypatch, kind):
             want.append((i is None, i or 0, hashlib.sha256((t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]).encode()).hexdigest()))
         ways.append(sorted(want))
     assert got in ways
+    places = df.select(fingerprint._place(F.col("doc_id"), kind).alias("place"))
+    assert len(fingerprint._bounds(places, 15, 45)) >= 12
 
 
 def test_sketches_merge_and_contain(spark):
