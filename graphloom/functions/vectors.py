@@ -70,6 +70,23 @@ def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
         return x[fine] / length[fine, None], places[fine]
 
 
+def pair_distances(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs with their cosine ``distance`` in place of their vectors ``a`` and ``b``, which have one size; pairs without one are left out."""
+    others = [f for f in pairs.schema if f.name not in (a, b)]
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.max(pc.list_value_length(batch.column(a))).as_py() or 1
+            x, i = matrix(batch.column(a), size)
+            y, j = matrix(batch.column(b), size)
+            both, at, to = np.intersect1d(i, j, return_indices=True)
+            kept = batch.drop_columns([a, b]).take(pa.array(both))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(1 - (x[at] * y[to]).sum(1))], [*kept.schema.names, "distance"])
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "distance double"])
+    return pairs.mapInArrow(far, schema).withColumn("distance", F.round("distance", 6))
+
+
 def _first_of(far: np.ndarray, groups: np.ndarray, k: int) -> np.ndarray:
     """Rows of a column of distances that may be among the ``k`` least of their group, equals and near-equals included."""
     out = []
@@ -123,7 +140,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: tuple[str, .
         far = kept.mapInArrow(_near(x, ids, k, within), schema).withColumn("distance", F.round("distance", 6))
     else:
         pairs = tiled_pairs(unit(vectors, "embedding"), unit(queries, "query"), "vec_id", "query_id")
-        far = pairs.withColumn("distance", F.round(1 - dot(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
+        far = pair_distances(pairs, "embedding", "query")
     return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text, vectors
-from graphloom.operators import graph, retrieval
+from graphloom.operators import graph, index, retrieval
 from graphloom.registry import NAME_WORDS, STOP_WORDS
 from graphloom.sources.tables import chunks, documents, edges, nodes, table
 
@@ -108,19 +108,28 @@ def qa_fast_path(spark, sf):
     return near.where("vec_id <> query_id AND 1 - distance >= 0.75").select("query_id", "vec_id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
+def knn_index(spark, sf):
+    """The stated queries by the index of cells: about the twenty nearest."""
+    v = _vectors(spark, sf).select("vec_id", "embedding")
+    return index.search(index.build(v), _asked(spark, sf), 20)
+
+
+def knn_index_all(spark, sf):
+    """The same with every cell probed, which is exact."""
+    v = _vectors(spark, sf).select("vec_id", "embedding")
+    built = index.build(v)
+    return index.search(built, _asked(spark, sf), 20, len(built.centroids))
+
+
 def reconcile_entities(spark, sf):
     """Odd vectors as new entities: the exact name, else the nearest of the type within 0.15, else a new id."""
-    from pyspark.sql import Window
-
-    v = vectors.unit(_vectors(spark, sf), "embedding")
-    new = v.where("vec_id % 2 = 1").select("vec_id", "label", F.col("embedding").alias("a"), F.concat(F.lit("Name-"), F.col("vec_id") * 3 + 1).alias("name"))
-    old = v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("old_id"), "label", F.col("embedding").alias("b"), F.concat(F.lit("name-"), F.col("vec_id")).alias("old_name"))
-    exact = new.join(old, (new["label"] == old["label"]) & (F.lower("name") == F.lower("old_name"))).select("vec_id", "old_id", F.lit("exact").alias("how"))
-    rest = vectors.tiled_pairs(new.join(exact, "vec_id", "left_anti"), old, "vec_id", "old_id", ("label",))
-    far = rest.withColumn("distance", F.round(1 - vectors.dot(F.col("a"), F.col("b")), 6)).where("distance < 0.15")
-    order = Window.partitionBy("vec_id").orderBy("distance", "old_id")
-    near = far.withColumn("n", F.row_number().over(order)).where("n = 1").select("vec_id", "old_id", F.lit("near").alias("how"))
-    found = exact.unionByName(near)
+    v = _vectors(spark, sf).select("vec_id", "label", "embedding")
+    new = v.where("vec_id % 2 = 1").withColumn("name", F.concat(F.lit("Name-"), F.col("vec_id") * 3 + 1))
+    old = v.where("vec_id % 2 = 0")
+    named = old.select(F.col("vec_id").alias("old_id"), "label", F.concat(F.lit("name-"), "vec_id").alias("old_name"))
+    exact = new.join(named, (new["label"] == named["label"]) & (F.lower("name") == F.lower("old_name"))).select("vec_id", "old_id", F.lit("exact").alias("how"))
+    near = index.within(new.join(exact, "vec_id", "left_anti").select("vec_id", "label", "embedding"), old, 0.15, "label")
+    found = exact.unionByName(near.select(F.col("left_id").alias("vec_id"), F.col("right_id").alias("old_id"), F.lit("near").alias("how")))
     return new.select("vec_id").join(found, "vec_id", "left").select("vec_id", "old_id", F.coalesce("how", F.lit("new")).alias("how"))
 
 
@@ -214,6 +223,8 @@ FROM chunks JOIN documents USING (doc_id)""", "chunks"),
     "chunk_mentions": sql(_NAMES + "SELECT chunk_id, doc_id, node_id FROM hits", "chunks"),
     "scope_semi_join": sql(_NAMES + "SELECT DISTINCT doc_id, chunk_id FROM hits WHERE node_id IN (SELECT node_id FROM names ORDER BY name LIMIT 3)", "chunks"),
     "knn_chunks": "WITH " + _UNIT[2:] + """SELECT query_id, vec_id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank FROM far
+QUALIFY rank <= 20""",
+    "knn_index_all": "WITH " + _UNIT[2:] + """SELECT query_id, vec_id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank FROM far
 QUALIFY rank <= 20""",
     "knn_per_type": "WITH " + _UNIT[2:] + """SELECT *, (row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id))::INT AS rank FROM far QUALIFY rank <= 3""",
     "theme_search": "WITH " + _UNIT[2:] + """, b AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY distance, vec_id) <= 3)
@@ -242,4 +253,4 @@ SELECT source_id, label, (sum(length(label)) OVER (PARTITION BY source_id ORDER
         "nodes", "edges"),
 } | {f"tenant_scope_{m}": sql(f"SELECT doc_id, title, tenant_id FROM docs WHERE tenant_id IN {x}", "docs") for m, x in _SCOPES.items()}
 
-QUERIES = {n: globals()[n] for n in [*SQL, "semantic_chunks", "pca_projection", "query_projection"] if n in globals()} | {f"tenant_scope_{m}": _scope(m) for m in _SCOPES}
+QUERIES = {n: globals()[n] for n in [*SQL, "knn_index", "semantic_chunks", "pca_projection", "query_projection"] if n in globals()} | {f"tenant_scope_{m}": _scope(m) for m in _SCOPES}

@@ -87,3 +87,42 @@ def test_searches_see_no_other_tenant(spark, sf_dir):
     for name in ("keyword_search", "hybrid_search"):
         docs = {r.chunk_id.split(":")[0] for r in QUERIES[name](spark, sf_dir).collect()}
         assert docs and all(int(d) % 3 != 2 for d in docs)
+
+
+def test_the_index_finds_nine_of_ten_and_reads_probed_cells_only(spark):
+    sf = "/root/testdata/sf0.1"
+    exact = {(r.query_id, r.vec_id) for r in QUERIES["knn_chunks"](spark, sf).collect()}
+    found = {(r.query_id, r.vec_id) for r in QUERIES["knn_index"](spark, sf).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    from graphloom.operators import index
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 16)) * 10
+    rows = [(i, (centres[i % 20] + rng.normal(size=16)).tolist()) for i in range(1000)] + [(i, [1.0] * 16) for i in range(1000, 1500)] + [(2000, None), (2001, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>").repartition(4)
+    built = index.build(df)
+    assert built.probes < len(built.centroids) / 2 and built.rows.count() == 1500
+    q = df.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    from graphloom.functions import vectors
+
+    want = {(r.query_id, r.vec_id) for r in vectors.nearest(q, df, 10).collect()}
+    assert len(want & {(r.query_id, r.vec_id) for r in index.search(built, q, 10).collect()}) >= 0.9 * len(want)
+
+
+def test_within_meets_all_near_pairs(spark):
+    """Repeated vectors, ties, labels and thresholds against all pairs."""
+    from graphloom.operators import index
+
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i % 2), rng.integers(-1, 2, 5).astype(float).tolist()) for i in range(300)] + [(900, 0, None), (901, 0, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id int, label int, embedding array<double>").repartition(3)
+    left, right = df.where("vec_id % 3 = 0"), df.where("vec_id % 3 <> 0")
+    got = {r.left_id: (r.right_id, r.distance) for r in index.within(left, right, 0.2, "label").collect()}
+    want, v = {}, {i: (g, np.array(x)) for i, g, x in rows if x is not None and any(x)}
+    for i, (g, x) in v.items():
+        if i % 3 == 0:
+            near = [(round(1 - float(x @ y) / (np.linalg.norm(x) * np.linalg.norm(y)), 6), j) for j, (h, y) in v.items() if j % 3 and h == g]
+            d, j = min((d, j) for d, j in near)
+            if d < 0.2:
+                want[i] = j, d
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-6 for i in want) and len(want) > 50
