@@ -79,6 +79,21 @@ def scope_semi_join(spark, sf):
     return c.join(retrieval.mentions(c, pinned), ["doc_id", "chunk_id"], "left_semi").select("doc_id", "chunk_id")
 
 
+def _long_names(spark, sf):
+    """The first one, two and three words of every item, of four letters or fewer too."""
+    words = F.split(F.lower("text"), " ")
+    return table(spark, sf, "benchmark").select(F.explode(F.array(*(F.array_join(F.slice(words, 1, n), " ") for n in (1, 2, 3)))).alias("name")).distinct()
+
+
+def substring_mentions(spark, sf):
+    """Names that stand anywhere in a chunk, within words too."""
+    return retrieval.containing(chunks(spark, sf), _long_names(spark, sf))
+
+
+def keyword_search_like(spark, sf):
+    return retrieval.keyword_ranks_like(_questions(spark, sf), _seen(spark, sf))
+
+
 def _scope(mode):
     def query(spark, sf):
         return retrieval.scoped(documents(spark, sf), retrieval.Scope("tenant_a", mode=mode)).select("doc_id", "title", "tenant_id")
@@ -221,6 +236,12 @@ FROM chunks JOIN documents USING (doc_id)""", "chunks"),
     "classify_nodes": f"""SELECT {_LADDER} AS node_type, count(*) AS n FROM (SELECT text FROM conversations WHERE text IS NOT NULL
   UNION ALL SELECT lower(p_brand) || {list(NAME_ENDS)}[p_partkey % {len(NAME_ENDS)} + 1] FROM part) GROUP BY 1""",
     "chunk_mentions": sql(_NAMES + "SELECT chunk_id, doc_id, node_id FROM hits", "chunks"),
+    "substring_mentions": sql(
+        """, n AS (SELECT DISTINCT array_to_string(list_slice(string_split(lower(text), ' '), 1, k), ' ') AS name FROM benchmark, (VALUES (1), (2), (3)) AS t(k))
+SELECT chunk_id, name FROM chunks JOIN n ON contains(lower(chunk_text), name) WHERE name <> ''""", "chunks"),
+    "keyword_search_like": sql(
+        _QUESTIONS + """, lk AS (SELECT query_id, chunk_id, count(*) AS n_matched, (row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id, chunk_index))::INT AS rank
+  FROM seen JOIN q ON contains(lower(chunk_text), word) GROUP BY query_id, chunk_id, doc_id, chunk_index) SELECT * FROM lk WHERE rank <= 20""", "chunks", "docs"),
     "scope_semi_join": sql(_NAMES + "SELECT DISTINCT doc_id, chunk_id FROM hits WHERE node_id IN (SELECT node_id FROM names ORDER BY name LIMIT 3)", "chunks"),
     "knn_chunks": "WITH " + _UNIT[2:] + """SELECT query_id, vec_id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank FROM far
 QUALIFY rank <= 20""",
