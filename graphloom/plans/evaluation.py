@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import vectors
 from graphloom.operators import evaluation, graph, metrics, retrieval, tables
-from graphloom.sources.tables import chunks, edges, nodes, table
+from graphloom.sources.tables import chunks, edges, nodes, numbered, table
 
 from .views import sql
 
@@ -88,7 +88,8 @@ def _seeds(spark, sf, n):
     """The vectors nearest to vector 0, as suppliers by number: a stand-in for entities found by their embeddings."""
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
     ask = v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return vectors.nearest(ask, v, n).select(F.concat(F.lit("sup:"), F.col("vec_id") % 100 + 1).alias("n0"), "distance").groupBy("n0").agg(F.min("distance").alias("distance"))
+    near = numbered(vectors.nearest(ask, v, n), F.col("vec_id"), "k", table(spark, sf, "supplier"))
+    return near.select(F.concat(F.lit("sup:"), F.col("k") + 1).alias("n0"), "distance").groupBy("n0").agg(F.min("distance").alias("distance"))
 
 
 # The typed chains that a question is answered by: types of the middle and the last node.
@@ -164,7 +165,8 @@ def graph_boost(spark, sf):
     first = F.split(F.lower("text"), " ")[0]
     names = table(spark, sf, "benchmark").groupBy(first.alias("name")).agg(F.concat(F.lit("b:"), F.min("item_id")).alias("node_id")).where(F.length("name") > 3)
     found = retrieval.mentions(chunks(spark, sf), names)
-    e = edges(spark, sf).where("rel_type = 'Access'").select(F.concat(F.lit("b:"), F.substring("target_id", 5, 20).cast("bigint") % 40).alias("node_id"), "confidence")
+    e = numbered(edges(spark, sf).where("rel_type = 'Access'"), F.substring("target_id", 5, 20).cast("bigint"), "k", table(spark, sf, "benchmark"))
+    e = e.select(F.concat(F.lit("b:"), "k").alias("node_id"), "confidence")
     return retrieval.graph_boost(found, e).select("chunk_id", "n_mentions", "boost")
 
 
@@ -177,7 +179,7 @@ def scaled_points(spark, sf):
 
 _PAIRS = """WITH ask AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
 near AS (SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, ask),
-seed_{n} AS (SELECT 'sup:' || (vec_id % 100 + 1) AS n0, min(distance) AS distance FROM (SELECT * FROM near ORDER BY distance, vec_id LIMIT {n}) GROUP BY 1)
+seed_{n} AS (SELECT 'sup:' || (vec_id % (SELECT count(*) FROM supplier) + 1) AS n0, min(distance) AS distance FROM (SELECT * FROM near ORDER BY distance, vec_id LIMIT {n}) GROUP BY 1)
 """
 
 
@@ -258,7 +260,7 @@ QUALIFY row_number() OVER (PARTITION BY coalesce(source, ''), chunk_index // 3 O
   WHERE length(regexp_extract(lower(text), '^[^ ]*')) > 3 GROUP BY 1),
 hits AS (SELECT DISTINCT chunk_id, doc_id, node_id FROM (
   SELECT chunk_id, doc_id, unnest(list_distinct(string_split_regex(lower(chunk_text), '[\x20\x09-\x0D]+'))) AS word FROM chunks) JOIN names ON name = word),
-c AS (SELECT 'b:' || (substr(target_id, 5)::BIGINT % 40) AS node_id, count(*) AS total, count(*) FILTER (coalesce(confidence, 'EXTRACTED') = 'EXTRACTED') AS sure
+c AS (SELECT 'b:' || (substr(target_id, 5)::BIGINT % (SELECT count(*) FROM benchmark)) AS node_id, count(*) AS total, count(*) FILTER (coalesce(confidence, 'EXTRACTED') = 'EXTRACTED') AS sure
   FROM edges WHERE rel_type = 'Access' GROUP BY 1)
 SELECT chunk_id, count(*) AS n_mentions, round(0.3::DOUBLE * (0.5 + 0.5 * coalesce(sum(sure)::DOUBLE / sum(total), 0)) * count(*) / 61, 6) AS boost
 FROM hits LEFT JOIN c USING (node_id) GROUP BY 1""", "chunks", "edges"),

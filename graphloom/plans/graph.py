@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import brief, graph, rules
 from graphloom.registry import LAYERS, LAYER_RANK, NODE_TYPES, RELATIONS, RULES
-from graphloom.sources.tables import chunks, documents, edges, layer_of, nodes
+from graphloom.sources.tables import chunks, documents, edges, layer_of, nodes, numbered, table
 
 from .views import sql
 
@@ -70,7 +70,8 @@ def motif_two_hop(spark, sf):
 
 
 def motif_typed_chain(spark, sf):
-    start = nodes(spark, sf).where("node_id IN ('sup:1', 'sup:2')").select(F.col("node_id").alias("n0"))
+    """From every component over what it serves to its actors."""
+    start = nodes(spark, sf).where("node_type = 'ApplicationComponent'").select(F.col("node_id").alias("n0"))
     return graph.chain(edges(spark, sf), start, [("Serving", "any", "BusinessProcess"), (None, "any", "BusinessActor")])
 
 
@@ -128,12 +129,14 @@ def edge_canonicalise(spark, sf):
 
 def _mentions(spark, sf):
     """Documents by the supplier and customer keys that their numbers name: a deterministic stand-in for extraction."""
-    ids = F.array(*(F.concat(F.lit("cus:"), (F.col("doc_id") * i) % 150 + 1) for i in (1, 3, 7, 11, 13)))
-    return documents(spark, sf).select("doc_id", F.explode(F.when(F.col("doc_id") % 4 != 0, ids).otherwise(F.slice(ids, 1, 2))).alias("node_id"))
+    factors = F.array(*map(F.lit, (1, 3, 7, 11, 13)))
+    d = documents(spark, sf).select("doc_id", F.explode(F.when(F.col("doc_id") % 4 != 0, factors).otherwise(F.slice(factors, 1, 2))).alias("i"))
+    met = numbered(d, F.col("doc_id") * F.col("i"), "k", table(spark, sf, "customer"))
+    return met.select("doc_id", F.concat(F.lit("cus:"), F.col("k") + 1).alias("node_id"))
 
 
 _MENTIONS = """, mentions AS (
-  SELECT doc_id, 'cus:' || ((doc_id * i) % 150 + 1) AS node_id
+  SELECT doc_id, 'cus:' || ((doc_id * i) % (SELECT count(*) FROM customer) + 1) AS node_id
   FROM documents, (VALUES (1, 1), (2, 3), (3, 7), (4, 11), (5, 13)) AS t(pos, i) WHERE doc_id % 4 <> 0 OR pos <= 2)
 """
 
@@ -264,7 +267,7 @@ SELECT source_id, rel_type, target_id FROM r WHERE n <= 3 ORDER BY 1, 2, 3 LIMIT
 WHERE a.rel_type = 'Composition' AND b.rel_type = 'Association'""", "edges"),
     "motif_typed_chain": sql(
         """SELECT a.node_id AS n0, a.rel_type AS r1, a.other_id AS n1, b.rel_type AS r2, b.other_id AS n2 FROM ways a JOIN ways b ON a.other_id = b.node_id
-WHERE a.node_id IN ('sup:1', 'sup:2') AND a.rel_type = 'Serving' AND a.other_type = 'BusinessProcess' AND b.other_type = 'BusinessActor'""", "ways"),
+WHERE a.node_id IN (SELECT node_id FROM nodes WHERE node_type = 'ApplicationComponent') AND a.rel_type = 'Serving' AND a.other_type = 'BusinessProcess' AND b.other_type = 'BusinessActor'""", "ways", "nodes"),
     "var_length_paths": sql(
         """, walk(start, "end", n) AS (SELECT source_id, target_id, 1 FROM edges WHERE source_type = 'BusinessFunction'
   UNION SELECT start, e.target_id, n + 1 FROM walk JOIN edges e ON e.source_id = walk."end" WHERE n < 3)

@@ -140,7 +140,7 @@ def brief(spark, sf):
 
 
 def event_ring_buffer(spark, sf):
-    return stream.ring_buffer(progress(spark, sf), 50).select("job_id", "event_id", "age")
+    return stream.ring_buffer(progress(spark, sf)).select("job_id", "event_id", "age")
 
 
 def event_fold_latest(spark, sf):
@@ -230,7 +230,7 @@ h AS (SELECT name, degree FROM d JOIN nodes USING (node_id) ORDER BY degree DESC
 SELECT 1 AS section, node_type || ': ' || count(*) AS line FROM nodes GROUP BY node_type
 UNION ALL SELECT 2, name || ': ' || degree FROM h UNION ALL SELECT 3, rel_type || ': ' || count(*) FROM edges GROUP BY rel_type""", "nodes", "edges"),
     "event_ring_buffer": sql(
-        "SELECT job_id, event_id, (row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC))::INT AS age FROM progress QUALIFY age <= 50", "progress"),
+        "SELECT job_id, event_id, (row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC))::INT AS age FROM progress QUALIFY age <= 500", "progress"),
     "event_fold_latest": sql(
         """SELECT job_id, file_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events, round(sum(value), 4) AS total FROM progress GROUP BY 1, 2""", "progress"),
     "event_dedup": sql("SELECT job_id, count(*) AS n FROM (SELECT DISTINCT job_id, event_id, ts FROM progress) GROUP BY 1", "progress"),

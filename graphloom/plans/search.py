@@ -74,7 +74,8 @@ def chunk_mentions(spark, sf):
 
 
 def scope_semi_join(spark, sf):
-    pinned = _names(spark, sf).orderBy("name").limit(3)
+    """Chunks that mention a pinned name: those of the first half of the alphabet."""
+    pinned = _names(spark, sf).where("name < 'n'")
     c = chunks(spark, sf)
     return c.join(retrieval.mentions(c, pinned), ["doc_id", "chunk_id"], "left_semi").select("doc_id", "chunk_id")
 
@@ -242,7 +243,7 @@ SELECT chunk_id, name FROM chunks JOIN n ON contains(lower(chunk_text), name) WH
     "keyword_search_like": sql(
         _QUESTIONS + """, lk AS (SELECT query_id, chunk_id, count(*) AS n_matched, (row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id, chunk_index))::INT AS rank
   FROM seen JOIN q ON contains(lower(chunk_text), word) GROUP BY query_id, chunk_id, doc_id, chunk_index) SELECT * FROM lk WHERE rank <= 20""", "chunks", "docs"),
-    "scope_semi_join": sql(_NAMES + "SELECT DISTINCT doc_id, chunk_id FROM hits WHERE node_id IN (SELECT node_id FROM names ORDER BY name LIMIT 3)", "chunks"),
+    "scope_semi_join": sql(_NAMES + "SELECT DISTINCT doc_id, chunk_id FROM hits WHERE node_id IN (SELECT node_id FROM names WHERE name < 'n')", "chunks"),
     "knn_chunks": "WITH " + _UNIT[2:] + """SELECT query_id, vec_id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank FROM far
 QUALIFY rank <= 20""",
     "knn_index_all": "WITH " + _UNIT[2:] + """SELECT query_id, vec_id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank FROM far

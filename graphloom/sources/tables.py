@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, number: Column, name: str, of: DataFrame) -> DataFrame:
+    """Rows with the column ``name``: the number modulo the count of another table's rows, so that all of those are reached."""
+    n = of.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    return df.crossJoin(F.broadcast(n)).withColumn(name, F.try_mod(number, F.col("_n"))).drop("_n")
+
+
 def layer_of(node_type: Column, otherwise: str = "Other") -> Column:
     layers = F.create_map(*(F.lit(x) for pair in LAYERS.items() for x in pair))
     return F.coalesce(layers[node_type], F.lit(otherwise))
