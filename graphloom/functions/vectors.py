@@ -141,7 +141,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, within: tuple[str, .
     else:
         pairs = tiled_pairs(unit(vectors, "embedding"), unit(queries, "query"), "vec_id", "query_id")
         far = pair_distances(pairs, "embedding", "query")
-    return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kept = [c for c in vectors.columns if c not in ("query_id", "embedding", "distance")]
+    return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", *kept, "distance", "rank")
 
 
 def mean_vector(vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
