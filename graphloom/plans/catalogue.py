@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, graph, hybrid, ingest, reports, search, writes
+from . import evaluation, feeds, graph, hybrid, ingest, reports, search, writes
 
-MODULES = (graph, search, hybrid, reports, ingest, writes, evaluation)
+MODULES = (graph, search, hybrid, reports, ingest, writes, evaluation, feeds)
 
 
 def queries():
