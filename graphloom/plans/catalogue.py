@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, feeds, graph, hybrid, ingest, reports, search, writes
+from . import evaluation, feeds, graph, hybrid, ingest, reports, runs, search, writes
 
-MODULES = (graph, search, hybrid, reports, ingest, writes, evaluation, feeds)
+MODULES = (graph, search, hybrid, reports, ingest, writes, evaluation, feeds, runs)
 
 
 def queries():
