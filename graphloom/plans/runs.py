@@ -1,14 +1,16 @@
-"""Evaluation of the hybrid search by its own lists: entities of the answers, looked for in what was found, with SQL."""
+"""Evaluation of the hybrid search by its own lists: keywords of the answers, looked for in what was found, with SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import keywords
 from graphloom.operators import expansion, retrieval, runs
 from graphloom.sources.storage import materialize
 from graphloom.sources.tables import table
 
-from .hybrid import _ASKED, _CHUNK_VECTORS, _EXPANDED, _FUSED, _GRAPH, _QUESTIONS, _STORED, _entities, search_lists
+from .hybrid import _ASKED, _CHUNK_VECTORS, _EXPANDED, _FUSED, _GRAPH, _QUESTIONS, _STORED, search_lists
+from .search import _KEYWORDS
 from .views import sql
 
 #: More candidates than the lists of a question have.
@@ -21,11 +23,10 @@ def _questions(spark, sf):
 
 
 def _expected(spark, sf):
-    """The entities that the turn after a question, its answer, names."""
+    """The keywords of the turn after a question, its answer."""
     said = table(spark, sf, "conversations").where("role = 'assistant' AND conv_id % 100 = 0")
-    named = said.select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("query_id"), F.explode(retrieval.words(F.col("text"))).alias("name"))
-    met = named.join(_entities(spark, sf).select("name"), "name").join(_questions(spark, sf), "query_id", "left_semi")
-    return met.select("query_id", F.col("name").alias("entity")).distinct()
+    named = said.select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("query_id"), F.explode(keywords(F.col("text"))).alias("entity"))
+    return named.join(_questions(spark, sf), "query_id", "left_semi").distinct()
 
 
 def _run(spark, sf, limits):
@@ -58,8 +59,8 @@ def _sql(query: str, limits: tuple[int, ...]) -> str:
     rows = f""", pool AS (SELECT query_id, f.chunk_id, lower(chunk_text) AS text, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, f.chunk_id) AS rank FROM fused f JOIN chunks USING (chunk_id)),
 near AS (SELECT query_id, lower(chunk_text) AS text FROM vec JOIN chunks USING (chunk_id) WHERE rank <= {runs.TOP}),
 asked AS (SELECT DISTINCT conv_id || ':' || turn AS query_id FROM conversations WHERE role = 'user' AND conv_id % 100 = 0 AND text IS NOT NULL),
-want AS (SELECT DISTINCT query_id, name AS entity FROM (SELECT conv_id || ':' || (turn - 1) AS query_id, unnest(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+')) AS name
-  FROM conversations WHERE role = 'assistant' AND conv_id % 100 = 0) JOIN ents USING (name) WHERE query_id IN (FROM asked)),
+want AS (SELECT DISTINCT query_id, name AS entity FROM (SELECT conv_id || ':' || (turn - 1) AS query_id, unnest({_KEYWORDS}) AS name
+  FROM conversations WHERE role = 'assistant' AND conv_id % 100 = 0) WHERE query_id IN (FROM asked)),
 base AS (SELECT query_id, (SELECT count(*) FROM want WHERE want.query_id = asked.query_id) AS n, (SELECT count(*) FROM pool WHERE pool.query_id = asked.query_id) AS size,
   (SELECT count(*) FROM want WHERE want.query_id = asked.query_id AND EXISTS (FROM near WHERE near.query_id = want.query_id AND contains(near.text, entity))) AS in_vector FROM asked),
 tried AS (SELECT base.*, cap, (SELECT count(*) FROM want WHERE want.query_id = base.query_id AND EXISTS (
