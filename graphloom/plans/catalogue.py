@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, feeds, graph, hybrid, ingest, reports, runs, search, writes
+from . import evaluation, feeds, graph, hybrid, ingest, reports, runs, search, tiered, writes
 
-MODULES = (graph, search, hybrid, reports, ingest, writes, evaluation, feeds, runs)
+MODULES = (graph, search, hybrid, reports, ingest, writes, evaluation, feeds, runs, tiered)
 
 
 def queries():
