@@ -62,3 +62,26 @@ def test_matches_of_questions_and_chunks_never_become_rows(spark):
     e = spark.createDataFrame([("q", "n")], "query_id string, node_id string")
     for df in (retrieval.keyword_ranks(q, c), retrieval.keyword_ranks_like(q, c), expansion.expanded_chunks(e, m), retrieval.containing(c, q.selectExpr("'alpha' AS name"))):
         assert "Join" not in _plan(df) and df.count() == 1
+
+
+def test_a_task_hands_on_its_own_nearest_only(monkeypatch):
+    """Small lots of rows, as many queries make them: what leaves a task does not grow with its lots, and equals are all there."""
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.functions import vectors
+
+    monkeypatch.setattr(vectors, "PAIRS", 64)
+    rng = np.random.default_rng(2)
+    x, asked = rng.normal(size=(2000, 4)), rng.normal(size=(16, 4))
+    x[500:520] = asked[3]
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    for within, group in (((), np.zeros(2000, int)), (("label",), np.arange(2000) % 3)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 250)), pa.array(group[a : a + 250]), pa.array(x[a : a + 250].tolist())], ["vec_id", "label", "embedding"]) for a in range(0, 2000, 250)]
+        out = pa.Table.from_batches(vectors._near(unit(asked), pa.array(range(16)), 5, within)(iter(batches)))
+        far, got = 1 - unit(x) @ unit(asked).T, set(zip(out["query_id"].to_pylist(), out["vec_id"].to_pylist()))
+        for q in range(16):
+            for g in set(group):
+                mine = np.flatnonzero(group == g)
+                assert {(q, int(i)) for i in mine[far[mine, q] <= np.sort(far[mine, q])[4] + 1e-9]} <= got
+        assert out.num_rows <= 16 * 5 * len(set(group)) * 3
