@@ -2,8 +2,8 @@
 
 Each tree of the forest is a prefix trie over sequences of MinHash values. Two
 texts match in a tree as far as their sequences share a prefix. Matching starts
-at the whole sequence; the prefix is shortened, level by level, until the recall
-measured on a sample of truly similar texts reaches the target. Texts that share
+at the whole sequence; the prefix is shortened, level by level, until two texts at
+the threshold itself, the hardest ones, are met as often as the target. Texts that share
 such a prefix in any tree are candidates, and are verified with their whole
 shingle sets. Small families of candidates are compared whole. The members of a
 large family are sorted in the order of a trie and cut into blocks, and only
@@ -30,8 +30,6 @@ TREES = 24
 DEPTH = 8
 RECALL = 0.999
 BLOCK = 128
-#: Texts of the sample on which recall is measured.
-SAMPLE = 4000
 #: Weight, in measured texts, of the recall that the formula gives at the threshold itself.
 PRIOR = 1000.0
 #: Shingles of small families that one group of a comparing task takes, about.
@@ -58,7 +56,7 @@ def prefix_depth(measured: list[tuple[float, float]], threshold: float = THRESHO
 
 def _signatures(k: int, trees: int, depth: int):
     rng = np.random.Generator(np.random.PCG64(20240501))
-    size = trees * depth + 1  # the last value gathers the sample
+    size = trees * depth
     multiply = (rng.integers(0, 1 << 32, size, dtype=np.uint64) | 1).astype(np.uint32)
     flip = rng.integers(0, 1 << 32, size, dtype=np.uint64).astype(np.uint32)
     piece = 1 << 15
@@ -81,17 +79,15 @@ def _signatures(k: int, trees: int, depth: int):
                     part, at = x[lo:hi], starts[a:b] - lo
                     for i in range(size):
                         least[a:b, i] = np.minimum.reduceat((part ^ flip[i]) * multiply[i], at)
-                counts, gather = np.zeros(s.rows, np.int64), np.zeros(s.rows, np.int32)
+                counts = np.zeros(s.rows, np.int64)
                 counts[has] = trees * depth
-                gather[has] = least[:, -1].view(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(s.first, s.rows) for c in ("id", "digest")),
                         pa.array(n, pa.int64()),
-                        list_array(np.ascontiguousarray(least[:, :-1]).ravel().view(np.int32), counts, pa.int32()),
-                        pa.array(gather),
+                        list_array(least.ravel().view(np.int32), counts, pa.int32()),
                     ],
-                    ["id", "digest", "n_shingles", "signature", "gather"],
+                    ["id", "digest", "n_shingles", "signature"],
                 )
 
     return signatures
@@ -111,32 +107,6 @@ def _sets(k: int):
     return sets
 
 
-def _measure(threshold: float, trees: int, depth: int):
-    """(depth, texts, found) of one group of sampled texts, compared with each other whole."""
-
-    def measure(table: pa.Table) -> pa.Table:
-        lists = table.column("shingles").combine_chunks()
-        sizes = lists.value_lengths().to_numpy()
-        n = len(sizes)
-        path = table.column("signature").combine_chunks().flatten().to_numpy().reshape(n, trees, depth)
-        common = _common(lists.flatten().to_numpy(), np.repeat(np.arange(n), sizes), n)
-        like = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
-        np.fill_diagonal(like, False)
-        longest = np.zeros((n, n), np.int8)
-        for t in range(trees):
-            shared, upto = np.ones((n, n), bool), np.zeros((n, n), np.int8)
-            for d in range(depth):
-                shared &= path[:, t, d][:, None] == path[:, t, d][None, :]
-                upto += shared
-            longest = np.maximum(longest, upto)
-        partners = like.sum(1)
-        has = partners > 0
-        found = [float(((like & (longest >= d)).sum(1)[has] / partners[has]).sum()) for d in range(1, depth + 1)]
-        return pa.table({"depth": pa.array(range(1, depth + 1), pa.int32()), "texts": pa.array([float(has.sum())] * depth), "found": pa.array(found)})
-
-    return measure
-
-
 def _common(value: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Sizes of all intersections of ``n`` sets, over shingles that two of them share."""
     names, inverse, times = np.unique(value, return_inverse=True, return_counts=True)
@@ -210,19 +180,6 @@ def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return b.join(wanted.hint("merge"), F.col("b_id").eqNullSafe(F.col("class_id")) & (F.col("b_digest") == F.col("digest"))).drop("b_id", "b_digest", "class_id", "digest")
 
 
-def _measured(base: DataFrame, leaders: DataFrame, shingle_words: int, threshold: float, trees: int, depth: int, sample: int) -> list[tuple[float, float]]:
-    """Recall of each depth on a bounded sample: texts gathered by one more MinHash, so that similar ones come together."""
-    total = row_count(leaders)
-    taken = leaders.where(F.pmod(F.xxhash64("gather"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(1, total)))
-    taken = materialize(taken.orderBy(F.xxhash64("gather"), "digest").limit(sample))
-    rows = _texts(base, taken.select("class_id", "digest", "cid", "gather", "signature")).dropDuplicates(["cid"])
-    sets = rows.select("text", "gather", "signature").mapInArrow(_sets(shingle_words), "gather int, signature array<int>, shingles array<bigint>")
-    got = sets.groupBy("gather").applyInArrow(_measure(threshold, trees, depth), "depth int, texts double, found double")
-    got = {r[0]: (r[1], r[2]) for r in got.groupBy("depth").agg(F.sum("texts"), F.sum("found")).collect()}
-    discard(taken)
-    return [got.get(d, (0.0, 0.0)) for d in range(1, depth + 1)]
-
-
 def _compare(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, links, peer) of sets (id, component, block, low, high, shingles, share), compared within share, low and high."""
     return materialize(sets.groupBy("share", "low", "high").applyInArrow(_verify(threshold), "id bigint, links bigint, peer bigint"))
@@ -266,14 +223,14 @@ def _classes(docs: DataFrame, key: str, text: str, shingle_words: int, threshold
     """(id, digest, n_shingles, cid) of all rows, and (cid, class_id, digest, n_links, component) of all distinct texts."""
     base = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     kind = base.schema["id"].dataType.simpleString()
-    sig = base.mapInArrow(_signatures(shingle_words, trees, depth), f"id {kind}, digest binary, n_shingles bigint, signature array<int>, gather int")
+    sig = base.mapInArrow(_signatures(shingle_words, trees, depth), f"id {kind}, digest binary, n_shingles bigint, signature array<int>")
     sig = materialize(sig.withColumn("rid", F.monotonically_increasing_id()))
     classes = materialize(sig.groupBy("digest").agg(F.min("rid").alias("cid"), F.min("id").alias("class_id")))
     members = materialize(sig.select("id", "digest", "n_shingles").join(classes.select("digest", "cid"), "digest"))
-    leaders = sig.where("n_shingles > 0").select("rid", "n_shingles", "signature", "gather").join(classes, F.col("rid") == F.col("cid")).drop("rid")
+    leaders = sig.where("n_shingles > 0").select("rid", "n_shingles", "signature").join(classes, F.col("rid") == F.col("cid")).drop("rid")
     leaders = materialize(leaders)
     discard(sig)
-    prefix = prefix_depth(_measured(base, leaders, shingle_words, threshold, trees, depth, SAMPLE), threshold, trees, depth, recall)
+    prefix = prefix_depth([], threshold, trees, depth, recall)  # holds for every pair, whatever the texts: nothing is sampled
     paths = leaders.select("cid", F.slice("signature", 1, depth).alias("path"))
     leaves = materialize(leaders.select(F.col("cid").alias("id"), F.explode(_leaf_keys(trees, depth, prefix)).alias("leaf")))
     buckets = materialize(leaves.groupBy("leaf").agg(F.min("id").alias("root"), F.max("id").alias("last")).where("root < last").select("leaf", "root"))
