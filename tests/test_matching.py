@@ -85,3 +85,35 @@ def test_a_task_hands_on_its_own_nearest_only(monkeypatch):
                 mine = np.flatnonzero(group == g)
                 assert {(q, int(i)) for i in mine[far[mine, q] <= np.sort(far[mine, q])[4] + 1e-9]} <= got
         assert out.num_rows <= 16 * 5 * len(set(group)) * 3
+
+
+def test_entities_named_in_chunks_are_counted_inside_tasks(spark):
+    """Names of several words, in any case, two nodes of one name, blanks at both ends: as by mentions that are rows, without any."""
+    rng = random.Random(11)
+    words = ["alpha", "Beta", "gamma", "alphabet", "delta"]
+    texts = [(f"{d}:0", d, 0, rng.choice(["", " ", "\n"]) + rng.choice([" ", "\t", "  "]).join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for d in range(120)]
+    c = spark.createDataFrame([*texts, ("900:0", 900, 0, None)], "chunk_id string, doc_id bigint, chunk_index int, chunk_text string").repartition(3)
+    names = ["Alpha", "alpha", "beta gamma", "gamma", "alpha beta delta", "pha", "delta ", "", None, " beta", "del\tta"]
+    nodes = spark.createDataFrame([(f"n{i}", n) for i, n in enumerate(names)], "node_id string, name string")
+    asked = spark.createDataFrame([(f"q{q}", f"n{i}") for q in range(9) for i in rng.sample(range(len(names)), 5)] * 2, "query_id string, node_id string")
+    met = retrieval.mentions(c, nodes).join(c.select("chunk_id", "chunk_index"), "chunk_id")
+    want = {tuple(r) for r in expansion.expanded_chunks(asked, met).collect()}
+    found = expansion.naming_chunks(asked, nodes, c)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert expansion.naming_chunks(asked.limit(0), nodes, c).count() == 0
+
+
+def test_edges_of_other_sources_go_before_they_are_grouped(spark, sf_dir):
+    from graphloom.plans import hybrid
+
+    some = spark.createDataFrame([("b:1",), ("b:7",), ("b:1",)], "source_id string")
+    links = hybrid._links(spark, sf_dir, some)
+    whole = hybrid._links(spark, sf_dir).where("source_id IN ('b:1', 'b:7')")
+    assert sorted(map(tuple, links.collect())) == sorted(map(tuple, whole.collect())) != []
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [s#") < plan.index("LeftSemi")  # the join is below, so before, the grouping
+    graph = hybrid.graph_expansion(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in graph and "doc_id = doc_id" not in graph
