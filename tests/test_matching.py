@@ -117,3 +117,24 @@ def test_edges_of_other_sources_go_before_they_are_grouped(spark, sf_dir):
     assert plan.index("Aggregate [s#") < plan.index("LeftSemi")  # the join is below, so before, the grouping
     graph = hybrid.graph_expansion(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in graph and "doc_id = doc_id" not in graph
+
+
+@pytest.mark.parametrize("rows", [1_000, 2])
+def test_only_listed_chunks_leave_their_table(spark, rows):
+    c = spark.createDataFrame([(f"{i}:0", f"text {i}") for i in range(40)], "chunk_id string, chunk_text string").repartition(3)
+    lists = {k: spark.createDataFrame([(f"q{i}", f"{i * step % 40}:0", 1) for i in range(9)], "query_id string, chunk_id string, rank int") for k, step in (("vector", 3), ("graph", 7))}
+    ids = {f"{i * step % 40}:0" for i in range(9) for step in (3, 7)}
+    assert sorted(map(tuple, retrieval.listed(lists, c, rows).collect())) == sorted((i, f"text {i[:-2]}") for i in ids)
+
+
+def test_a_search_writes_its_chunks_once_and_moves_no_text(spark, sf_dir, monkeypatch):
+    from graphloom.plans import hybrid
+
+    written = []
+    real = hybrid.materialize
+    monkeypatch.setattr(hybrid, "materialize", lambda df: written.append(df) or real(df))
+    texts, lists, _, _ = hybrid.search_lists(spark, sf_dir)
+    whole = [df for df in written if "chunk_text" in df.columns]
+    assert [sorted({"stored", "embedded"} & set(df.columns)) for df in whole] == [[], []]  # all chunks, and those of the lists
+    assert all("Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString() for df in whole)
+    assert texts.count() == retrieval.candidates(lists).select("chunk_id").distinct().count()
