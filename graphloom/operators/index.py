@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.vectors import matrix, pair_distances
+from graphloom.functions.vectors import PAIRS, TILE_ROWS, matrix
 from graphloom.sources.storage import materialize, shared_dir
 
 #: Vectors that the centroids are fitted on, and the most cells there are.
@@ -139,23 +139,58 @@ def search(index: CellIndex, queries: DataFrame, k: int, probes: int | None = No
     return far.withColumn("distance", F.round("distance", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _reachable_cells(centroids: np.ndarray, reach: np.ndarray):
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, places = matrix(batch.column("embedding"), centroids.shape[1])
-            row, cell = np.nonzero(np.arccos(np.clip(x @ centroids.T, -1, 1)) <= reach)
-            kept = batch.take(pa.array(places[row]))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell, pa.int32())], [*kept.schema.names, "cell"])
+def _nearest(centroids: np.ndarray, reach: np.ndarray, most: float):
+    """(left_id, right_id, distance) of two tiles: each left vector's nearest, by products with the cells in reach.
 
-    return cells
-
-
-def within(left: DataFrame, right: DataFrame, most: float, on: str, cells: int | None = None) -> DataFrame:
+    Distances are rounded later: the least id of the nearest that surely round alike is
+    handed on, and beside it those so close to a half that the rounding decides.
+    """
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, i = matrix(left.column("embedding"), centroids.shape[1])
+        y, j = matrix(right.column("embedding"), centroids.shape[1])
+        ids, cell = right.column("vec_id").take(pa.array(j)), right.column("cell").to_numpy()[j]
+        order = pc.sort_indices(ids).to_numpy()
+        y, ids, cell = y[order], ids.take(pa.array(order)), cell[order]
+        columns = [np.flatnonzero(cell == c) for c in np.unique(cell)]
+        rows, to, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        lot = max(1, PAIRS // max(1, len(y), len(centroids)))
+        for lo in range(0, len(x) if len(y) else 0, lot):
+            part = x[lo : lo + lot]
+            met = np.arccos(np.clip(part @ centroids.T, -1, 1)) <= reach
+            if met[:, cell].mean() > 0.5:
+                d = 1 - part @ y.T
+            else:
+                d = np.full((len(part), len(y)), np.inf)
+                for mine in columns:
+                    some = np.flatnonzero(met[:, cell[mine[0]]])
+                    d[np.ix_(some, mine)] = 1 - part[some] @ y[mine].T
+            row, col = np.nonzero(d <= np.minimum(d.min(1, keepdims=True) + 2e-6, most + 1e-6))
+            exact = np.concatenate([1 - (part[row[k : k + lot]] * y[col[k : k + lot]]).sum(1) for k in range(0, len(row), lot)] or [np.zeros(0)])
+            whole = np.rint(exact * 1e6)
+            sure = np.abs(np.abs(exact * 1e6 - whole) - 0.5) > 1e-4
+            # the first of a row's sure ones by rounded distance, then id; equal doubtful ones by id
+            key = np.where(sure, whole, exact * 1e6)
+            first = np.lexsort((col, key, ~sure, row))
+            r, s, k = row[first], sure[first], key[first]
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (~s[1:] & (k[1:] != k[:-1]))
+            kept = first[new]
+            rows.append(row[kept] + lo)
+            to.append(col[kept])
+            far.append(exact[kept])
+        rows, to = (pa.array(np.concatenate(v)) for v in (rows, to))
+        return pa.table([left.column("vec_id").take(pa.array(i)).take(rows), ids.take(to), pa.array(np.concatenate(far))], ["left_id", "right_id", "distance"])
+
+    return near
+
+
+def within(left: DataFrame, right: DataFrame, most: float, on: str, cells: int | None = None, rows: int = TILE_ROWS) -> DataFrame:
     """(left_id, right_id, distance): for each vector of ``left`` the nearest one of ``right`` with the same ``on`` and a cosine distance below ``most``; of equally near ones the least id.
 
-    Both sides have (vec_id, ``on``, embedding). Exact, without all pairs: equal
-    vectors of a side are one row, and a vector meets only cells of the other
-    side that its angle lets it reach: those whose centroid is no farther than the
+    Both sides have (vec_id, ``on``, embedding). Exact, and no pair becomes a row: equal
+    vectors of a side are one row; each value of ``on`` is dealt into tiles of about
+    ``rows`` rows a side, and a task multiplies two tiles, a vector only with cells
+    that its angle lets it reach: those whose centroid is no farther than the
     cell's widest member and the angle of ``most`` together.
     """
     def alike(df: DataFrame) -> DataFrame:
@@ -166,10 +201,19 @@ def within(left: DataFrame, right: DataFrame, most: float, on: str, cells: int |
     held = materialize(assigned(b, centroids))
     widest = {r.cell: r.angle for r in held.groupBy("cell").agg(F.max("angle").alias("angle")).collect()}
     reach = np.array([widest.get(c, -10.0) for c in range(len(centroids))]) + math.acos(max(-1.0, 1 - most - 1e-6)) + 1e-6
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in a.schema), "cell int"])
-    met = a.mapInArrow(_reachable_cells(centroids, reach), schema)
-    pairs = met.select(on, "cell", F.col("vec_id").alias("left_id"), F.col("embedding").alias("a")).join(held.select(on, "cell", F.col("vec_id").alias("right_id"), F.col("embedding").alias("b")), [on, "cell"])
-    near = pair_distances(pairs.select("left_id", "right_id", "a", "b"), "a", "b").where(F.col("distance") < most)
+    tiles = lambda df, name: df.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
+    counts = materialize(tiles(a, "_na").join(tiles(held, "_nb"), on))
+    slot = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    mine = a.join(counts, on).select(on, slot("_na").alias("_a"), each("_nb").alias("_b"), "vec_id", "embedding")
+    other = held.join(counts, on).select(on, each("_na").alias("_a"), slot("_nb").alias("_b"), "vec_id", "embedding", "cell")
+    # about a tile of each side a task
+    n_tiles = counts.agg(F.sum(F.col("_na") * F.col("_nb"))).first()[0] or 0
+    n = max(a.sparkSession.sparkContext.defaultParallelism, min(n_tiles, (mine.count() + other.count()) // rows))
+    kind = lambda df: df.schema["vec_id"].dataType.simpleString()
+    by = lambda df: df.repartition(n, on, "_a", "_b").groupBy(on, "_a", "_b")
+    near = by(mine).cogroup(by(other)).applyInArrow(_nearest(centroids, reach, most), f"left_id {kind(a)}, right_id {kind(held)}, distance double")
+    near = near.withColumn("distance", F.round("distance", 6)).where(F.col("distance") < most)
     best = near.groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("best")).select("left_id", "best.right_id", "best.distance")
     # every row of the left side gets what its equals have
     same = left.join(a.select(on, F.col("vec_id").alias("left_id"), "embedding"), [on, "embedding"]).select(F.col("vec_id"), "left_id")
