@@ -50,6 +50,28 @@ def test_the_best_chunks_of_each_question(spark, monkeypatch, whole, questions):
     assert retrieval.keyword_ranks(q.limit(0), c).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["matches at once", "a word that all ask for"])
+def test_a_task_holds_few_matches_at_once(monkeypatch, shape):
+    """One batch that meets all questions: neither its matches nor the terms met that are asked by many are held at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(matching, "PAIRS", 256)
+    held, real_add, real_spans = [], matching._Best.add, matching.spans
+    if shape == "matches at once":
+        monkeypatch.setattr(matching._Best, "add", lambda self, question, *more: held.append(self.size + len(question)) or real_add(self, question, *more))
+    else:
+        monkeypatch.setattr(matching, "spans", lambda starts, counts: held.append(counts.sum()) or real_spans(starts, counts))
+    terms, questions, rows = [f"t{i}" for i in range(8)], [f"q{i}" for i in range(16)], 900
+    texts = [" ".join(terms[: 1 + i % 8]).split() for i in range(rows)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}:0" for i in range(rows)]), pa.array(range(rows)), pa.array([0] * rows, pa.int32()), pa.array(texts)], ["chunk_id", "doc_id", "chunk_index", "_held"])
+    find = matching.words_finder(pa.array(terms))
+    out = pa.Table.from_batches(matching.best_of(find, pa.array(questions), np.arange(0, 129, 16), np.tile(np.arange(16), 8), 5)(iter([batch])))
+    want = {(q, f"{i}:0", 8) for q in questions for i in range(7, 40, 8)}
+    assert {(r["query_id"], r["chunk_id"], r["n_matched"]) for r in out.to_pylist()} == want and out.num_rows == 80
+    assert 0 < max(held) <= 256 + 2 * 5 * 16
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
