@@ -72,6 +72,25 @@ def test_a_task_holds_few_matches_at_once(monkeypatch, shape):
     assert 0 < max(held) <= 256 + 2 * 5 * 16
 
 
+@pytest.mark.parametrize("finder", [matching.names_finder, matching.substring_finder])
+def test_the_searches_of_a_run_hold_few_matches_at_once(monkeypatch, finder):
+    """Names and keywords within texts, as an evaluation run looks them up: one batch is looked through in parts, and its matches are kept in lots."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(matching, "PAIRS", 256)
+    held, looked, real = [], [], matching._Best.add
+    monkeypatch.setattr(matching._Best, "add", lambda self, question, *more: held.append(len(question)) or real(self, question, *more))
+    texts = [" ".join(f"name{j}" for j in range(1 + i % 3)) for i in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}:0" for i in range(2500)]), pa.array(range(2500)), pa.array([0] * 2500, pa.int32()), pa.array(texts)], ["chunk_id", "doc_id", "chunk_index", "_held"])
+    find = finder(pa.array([f"name{j}" for j in range(3)]))
+    met = lambda column: looked.append(len(column)) or find(column)
+    questions = pa.array([f"q{i}" for i in range(40)])
+    out = pa.Table.from_batches(matching.best_of(met, questions, np.arange(0, 121, 40), np.tile(np.arange(40), 3), 2)(iter([batch])))
+    assert {(r["query_id"], r["chunk_id"], r["n_matched"]) for r in out.to_pylist()} == {(q, f"{i}:0", 3) for q in questions.to_pylist() for i in (2, 5)}
+    assert max(held) <= 256 and max(looked) <= 1000
+
+
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
