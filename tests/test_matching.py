@@ -179,3 +179,73 @@ def test_a_search_writes_its_chunks_once_and_moves_no_text(spark, sf_dir, monkey
     assert [sorted({"stored", "embedded"} & set(df.columns)) for df in whole] == [[], []]  # all chunks, and those of the lists
     assert all("Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString() for df in whole)
     assert texts.count() == retrieval.candidates(lists).select("chunk_id").distinct().count()
+
+
+def test_query_variants_ask_all_conversations(spark, sf_dir):
+    """Conversations whose number isn't divisible by 100 have their chunks too."""
+    from graphloom.plans import catalogue
+
+    asked = {str(r.conv_id) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user' AND text IS NOT NULL").select("conv_id").distinct().collect()}
+    found = catalogue.queries()["query_variants"](spark, sf_dir)
+    assert {r.conv_id for r in found.select("conv_id").distinct().collect()} == asked and len(asked) > 10
+    assert "% 100" not in catalogue.oracle_sql()["query_variants"]
+
+
+@pytest.mark.parametrize("within", [(), ("label",)])
+def test_many_queries_meet_vectors_in_tiles(spark, monkeypatch, within):
+    """Several tiles and slices, of unlike size, small lots of rows, equals, odd vectors on both sides: as with queries in every task, and no pair is a row."""
+    import numpy as np
+
+    from graphloom.functions import vectors
+
+    rng = np.random.default_rng(6)
+    rows = [(f"v{i}", int(i % 3), rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(500)]
+    odd = [("null", 0, None), ("zero", 0, [0.0] * 6), ("short", 1, [1.0]), ("nan", 2, [float("nan")] * 6), ("hole", 2, [1.0, None, 1.0, 1.0, 1.0, 1.0]), ("inf", 0, [float("inf")] * 6)]
+    v = spark.createDataFrame(rows + odd, "vec_id string, label int, embedding array<double>").repartition(3)
+    q = v.where("vec_id LIKE '%7' OR vec_id IN ('null', 'zero', 'short')").selectExpr("vec_id AS query_id", "embedding AS query")
+    want = sorted(map(tuple, vectors.nearest(q, v, 4, within).collect()))
+    assert len(want) == len(rows) // 10 * 4 * (3 if within else 1)
+    for name, value in {"TILE_QUERIES": 7, "SLICE_ROWS": 90, "TILE_ROWS": 60, "PAIRS": 64}.items():
+        monkeypatch.setattr(vectors, name, value)
+    got = vectors.nearest(q, v, 4, within, small=5)
+    plan = _plan(got)
+    assert "Join" not in plan and sorted(map(tuple, got.collect())) == want
+
+
+def test_distances_of_whole_numbers_round_as_in_sql(spark):
+    """Distances that end in a half behind the sixth digit."""
+    import duckdb
+
+    from graphloom.functions import vectors
+
+    rows = [(i, [float(a), float(b), float(c), 1.0]) for i, (a, b, c) in enumerate((a, b, c) for a in range(-8, 9, 3) for b in range(9) for c in range(7))]
+    v = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    q = spark.createDataFrame([(0, [8.0, 0.0, 0.0, 0.0]), (1, [5.0, 5.0, 3.0, 1.0])], "query_id int, query array<double>")
+    got = {(r.query_id, r.vec_id): r.distance for small in (5, 0) for r in vectors.nearest(q, v, 1000, small=small).collect()}
+    sql = "SELECT round(list_cosine_distance(?::DOUBLE[], ?::DOUBLE[]), 6)"
+    asked = {r.query_id: r.query for r in q.collect()}
+    con = duckdb.connect()
+    assert all(got[k, i] == con.execute(sql, [x, asked[k]]).fetchone()[0] for k in asked for i, x in rows)
+
+
+def test_copies_of_a_vector_are_not_handed_on_to_all_queries(monkeypatch):
+    """Of many equal vectors a task hands on the first ones by id, as text or number, whatever the order they come in."""
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.functions import vectors
+
+    monkeypatch.setattr(vectors, "PAIRS", 640)
+    rng = np.random.default_rng(3)
+    asked = rng.normal(size=(20, 4))
+    x = np.concatenate([np.repeat(asked[:2] + 0.1, 1500, 0), rng.normal(size=(300, 4))])
+    for ids in (rng.permutation(len(x)), np.array([f"v{i}" for i in rng.permutation(len(x))])):
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 500]), pa.array(x[a : a + 500].tolist())], ["vec_id", "embedding"]) for a in range(0, len(x), 500)]
+        out = pa.Table.from_batches(vectors._near(asked, pa.array(range(20)), 3, (), False)(iter(batches)))
+        unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+        far = np.round(1 - unit(x) @ unit(asked).T, 9)
+        got = {}
+        for q, i, d in zip(*(out.column(c).to_pylist() for c in ("query_id", "vec_id", "distance"))):
+            got.setdefault(q, []).append((round(d, 9), i))
+        assert {q: sorted(r)[:3] for q, r in got.items()} == {q: sorted(zip(far[:, q].tolist(), ids.tolist()))[:3] for q in range(20)}
+        assert out.num_rows <= 20 * 3 * 2
